@@ -6,8 +6,10 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ._common import read_table
+from . import langid
+from ._common import read_table, train_filter
 from .packing import best_fit_packing
 from .token_counts import token_counts
 
@@ -28,12 +30,20 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(read_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(train_filter("doc_id", 3, 1)))
+    found = langid.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (~train_filter("doc_id", 3, 1)).alias("held_out"), F.col("lang_id.lang_pred").alias("lang_pred"), F.col("lang_id.score").alias("score"), F.col("lang_id.rejected").alias("rejected"), F.col("lang_id.bits").alias("bits"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op8_language_id": op8_language_id,
     "op9_token_counts": op9_token_counts,
 }
 
