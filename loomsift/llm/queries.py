@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import langid
 from ._common import read_table, train_filter
+from .lm_scoring import lm_scores
 from .packing import best_fit_packing
 from .token_counts import token_counts
 
@@ -30,6 +31,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(read_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(read_table(spark, sf_dir, "documents"), train_filter("doc_id", 7, 2))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     model = langid.fit(docs.where(train_filter("doc_id", 3, 1)))
@@ -43,6 +48,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_language_id": op8_language_id,
     "op9_token_counts": op9_token_counts,
 }
