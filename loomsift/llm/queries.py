@@ -12,6 +12,7 @@ from . import langid
 from ._common import read_table, train_filter
 from .lm_scoring import lm_scores
 from .packing import best_fit_packing
+from .secret_scan import scan_secrets
 from .token_counts import token_counts
 
 #: Folder of the public vocabulary files, or unset: then the installed package names it.
@@ -27,6 +28,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(read_table(spark, sf_dir, "documents"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(read_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -47,6 +52,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_secret_scan": op3_secret_scan,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op7_lm_scoring": op7_lm_scoring,
     "op8_language_id": op8_language_id,
