@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -17,22 +18,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import checkpoint
+from ._common import checkpoint, chunks, mix64, span_hashes, text_buffers, word_spans
 
-CACHE_ENTRIES = 250_000
-CACHE_CHARS = 48
+#: Distinct words a worker remembers before it starts anew; bounds its memory, not the result.
+CACHE_ENTRIES = 1_000_000
 #: Pieces of a shard, about. A shard wastes a few sequences at its end, so the share lost is small.
 SHARD_PIECES = 100_000
 
-_loaded: dict[str, object] = {}
+_ALNUM = np.array([chr(i).isalnum() and i < 128 for i in range(256)])
+_loaded: dict[str, WordIds] = {}
 
 
 class WordIds:
-    """Ids of a tokenizers file as little-endian unsigned 32-bit bytes.
+    """Ids of the texts of a tokenizers file, as unsigned 32-bit numbers.
 
-    Where the file's rules drop white space, the ids of a text are those of its parts between
-    spaces and line feeds, one after the other; else texts are encoded whole. Words of letters only
-    go to the library many in one text, since each is a unit that ends with an end-of-word token.
+    Where the file's rules drop white space and case, the ids of a text are those of its words, one
+    after the other, and a comma or full stop behind a letter is a unit of its own. Then a batch's
+    distinct words (by 64-bit hash) are looked up in sorted arrays, and only new ones are encoded;
+    words of letters many in one text, since each ends with an end-of-word token. Else texts are
+    encoded whole.
     """
 
     def __init__(self, path: str):
@@ -43,71 +47,101 @@ class WordIds:
         self.model.no_truncation()
         self.model.no_padding()
         self.ends = np.array([(self.model.id_to_token(i) or "").endswith("</w>") for i in range(self.model.get_vocab_size(True))])
-        probe = "one, two  three\nfour <|endoftext|> it's ÉTÉ... 12\n"
-        parts = [p for p in probe.replace("\n", " ").split(" ") if p]
+        probe = "one, two  three\nfour\t<|endoftext|> it's ÉTÉ... 12\r\v\f"
         plain = lambda t: self.model.encode(t, add_special_tokens=False).ids
-        self.safe = plain(probe) == [i for p in parts for i in plain(p)] and not any(map(plain, (" ", "\n", " \n ")))
-        self.letters = self.safe and plain("ÉTÉ,") == plain("été") + plain(",") and all(self.ends[plain(w)].sum() == 1 for w in ("a", "étexyzq", "ßwhontre"))
-        self.young: dict[str, bytes] = {"": b""}
-        self.old: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(x.ids, "<u4").tobytes() for x in self.model.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
-
-    def _words(self, words: list[str]) -> list[bytes]:
+        self.safe = (
+            plain(probe) == [i for p in probe.split() for i in plain(p)]
+            and not any(map(plain, (" ", "\n", " \n ")))
+            and plain("ÉTÉ,") == plain("Été") + plain(",")
+            and plain("a1x.") == plain("A1X") + plain(".")
+            and plain("it's,") == plain("IT'S") + plain(",")
+            and all(self.ends[plain(w)].sum() == 1 for w in ("a", "étexyzq", "ßwhontre"))
+        )
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys, self.at, self.size = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.pool: list[np.ndarray] = []
+        self.pooled = 0
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.asarray(x.ids, "<u4") for x in self.model.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def _words(self, words: list[str]) -> list[np.ndarray]:
         """Ids of words of letters, encoded a thousand at once."""
-        out: list[bytes] = []
+        out: list[np.ndarray] = []
         groups = [words[i : i + 1000] for i in range(0, len(words), 1000)]
-        for group, x in zip(groups, self.model.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False) if groups else [], strict=True):
-            ids = np.asarray(x.ids, "<u4")
+        for group, ids in zip(groups, self._encode([" ".join(g) for g in groups]), strict=True):
             cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) != len(group) or cuts[-1] != len(ids):
-                out += self._encode(group)
-                continue
-            raw, begin = ids.tobytes(), 0
-            for end in (4 * cuts).tolist():
-                out.append(raw[begin:end])
-                begin = end
+            out += np.split(ids, cuts[:-1]) if len(cuts) == len(group) and cuts[-1] == len(ids) else self._encode(group)
         return out
 
-    def _fetch(self, parts: set[str]) -> dict[str, bytes]:
-        """Ids of parts that the young cache doesn't hold."""
-        old, fresh, split, odd = self.old, {}, {}, []
-        for p in parts:
-            if p in old:
-                fresh[p] = old[p]
+    def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> None:
+        """Add words that no array holds yet."""
+        raw = data.tobytes() if len(starts) * 64 > len(data) else None
+        words = [(raw[s:e] if raw is not None else data[s:e].tobytes()).decode("utf-8", "replace") for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+        # Letters below U+0100 neither compose nor change in number.
+        letters = [i for i, w in enumerate(words) if w.isalpha() and max(w) < "\u0100"]
+        other = sorted(set(range(len(words))) - set(letters))
+        ids: list[np.ndarray] = [None] * len(words)
+        for i, x in zip(letters, self._words([words[i] for i in letters]), strict=True):
+            ids[i] = x
+        for i, x in zip(other, self._encode([words[i] for i in other]), strict=True):
+            ids[i] = x
+        size = np.array([len(x) for x in ids], np.int64)
+        at = self.pooled + np.concatenate([[0], np.cumsum(size)[:-1]])
+        self.pool = [np.concatenate([*self.pool, *ids])]
+        self.pooled = len(self.pool[0])
+        keys = np.concatenate([self.keys, hashes])
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.at, self.size = keys[order], np.concatenate([self.at, at])[order], np.concatenate([self.size, size])[order]
+
+    def ids(self, column: pa.Array, end_id: int) -> Iterator[np.ndarray]:
+        """The ids of each text, with `end_id` behind; whole texts, about a MB at once."""
+        data, offsets = text_buffers(column)
+        for i, j in chunks(offsets):
+            part, rows = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+            if not self.safe:
+                yield from (np.append(x, np.uint32(end_id)) for x in self._encode([part[a:b].tobytes().decode() for a, b in pairwise(rows.tolist())]))
                 continue
-            stem = p.rstrip(".,;:!?")
-            # Below U+0100 lower-casing is one letter for one, and no letters compose.
-            if self.letters and stem.isalpha() and max(stem) < "\u0100" and len(p) <= CACHE_CHARS:
-                split[p] = (stem.lower(), p[len(stem) :])
+            starts, ends, first = word_spans(part, rows)
+            # A mark behind an ASCII letter or digit, or behind a letter from U+00C0 to U+00FF.
+            last, before, third = part[ends - 1], part[np.maximum(ends - 2, 0)], part[np.maximum(ends - 3, 0)]
+            latin = (ends - starts > 2) & (third == 0xC3) & (before >= 0x80) & (before != 0x97) & (before != 0xB7)
+            cut = ((last == 44) | (last == 46)) & (ends - starts > 1) & (_ALNUM[before] | latin)
+            count = 1 + cut
+            place = np.concatenate([[0], np.cumsum(count)])
+            s, e = np.repeat(starts, count), np.repeat(ends, count)
+            marks = place[1:][cut] - 1
+            e[marks - 1] -= 1
+            s[marks] = e[marks] - 1
+            if len(self.keys) > CACHE_ENTRIES:
+                self.forget()
+            if len(s):
+                hashes = span_hashes(part, s, e)
+                opening = np.flatnonzero((part[:-1] == 60) & (part[1:] == 124))
+                # Case counts in what may be a special token.
+                for k in np.unique(np.searchsorted(s, opening, "right") - 1).tolist() if len(opening) else ():
+                    hashes[k] ^= mix64(np.array([zlib.crc32(part[s[k] : e[k]].tobytes())], np.uint64))[0]
+                hashes, at, of = np.unique(hashes, return_index=True, return_inverse=True)
+                where = np.minimum(np.searchsorted(self.keys, hashes), max(len(self.keys) - 1, 0))
+                new = self.keys[where] != hashes if len(self.keys) else np.ones(len(hashes), bool)
+                if new.any():
+                    self._learn(part, s[at[new]], e[at[new]], hashes[new])
+                    where = np.searchsorted(self.keys, hashes)
+                size, begin = self.size[where][of], self.at[where][of]
             else:
-                odd.append(p)
-        need = {x for pair in split.values() for x in pair} - fresh.keys()
-        have = {x: self.young.get(x, old.get(x)) for x in need}
-        stems = [x for x, ids in have.items() if ids is None and x.isalpha()]
-        marks = [x for x, ids in have.items() if ids is None and not x.isalpha()]
-        have.update(zip(stems, self._words(stems), strict=True))
-        have.update(zip(marks, self._encode(marks), strict=True))
-        fresh.update(have)
-        fresh.update((p, fresh[a] + fresh[b]) for p, (a, b) in split.items())
-        fresh.update(zip(odd, self._encode(odd), strict=True))
-        return fresh
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        if not self.safe:
-            return self._encode(texts)
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.young) > CACHE_ENTRIES:
-            self.young, self.old = {"": b""}, self.young
-        young = self.young
-        fresh = self._fetch({p for ps in split for p in set(ps) if p not in young})
-        if any(len(p) > CACHE_CHARS for p in fresh):
-            young.update((p, x) for p, x in fresh.items() if len(p) <= CACHE_CHARS)
-            return [b"".join([young[p] if p in young else fresh[p] for p in ps]) for ps in split]
-        young.update(fresh)
-        look = young.__getitem__
-        return [b"".join(map(look, ps)) for ps in split]
+                size = begin = np.empty(0, np.int64)
+            # Words and, behind each text, one more place for the end.
+            stop = np.concatenate([[0], np.cumsum(size)])
+            rows_first = place[first]
+            out = np.full(stop[-1] + len(rows) - 1, end_id, "<u4")
+            row = np.repeat(np.arange(len(rows) - 1), np.diff(rows_first))
+            if stop[-1]:
+                shift = np.arange(stop[-1]) - np.repeat(stop[:-1], size)
+                out[np.arange(stop[-1]) + np.repeat(row, size)] = self.pool[0][np.repeat(begin, size) + shift]
+            cuts = stop[rows_first] + np.arange(len(rows))
+            yield from (out[a:b] for a, b in pairwise(cuts.tolist()))
 
 
 def encoder(path: str) -> WordIds:
@@ -117,29 +151,20 @@ def encoder(path: str) -> WordIds:
 
 
 def cutting(path: str, limit: int, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(key, text) to a row per piece; whole texts are encoded, a few MB at once."""
-    end = np.asarray([end_id], "<u4").tobytes()
+    """(key, text) to a row per piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = encoder(path)
         for batch in batches:
-            texts = [x or "" for x in batch.column(1).to_pylist()]
             rows, piece, start, length, crc = [], [], [], [], []
-            begin = size = 0
-            for i, t in enumerate(texts):
-                size += len(t)
-                if size < 2_000_000 and i + 1 < len(texts):
-                    continue
-                for at, ids in enumerate(model.ids(texts[begin : i + 1]), begin):
-                    ids += end
-                    for k in range(0, len(ids) // 4, limit):
-                        part = ids[4 * k : 4 * (k + limit)]
-                        rows.append(at)
-                        piece.append(k // limit)
-                        start.append(k)
-                        length.append(len(part) // 4)
-                        crc.append(zlib.crc32(part))
-                begin, size = i + 1, 0
+            for at, ids in enumerate(model.ids(batch.column(1), end_id)):
+                for k in range(0, len(ids), limit):
+                    part = ids[k : k + limit]
+                    rows.append(at)
+                    piece.append(k // limit)
+                    start.append(k)
+                    length.append(len(part))
+                    crc.append(zlib.crc32(part))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["key", "piece", "start", "length", "ids_crc32"])
 
     return run
