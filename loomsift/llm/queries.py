@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import langid
 from ._common import read_table, train_filter
+from .embedding_dedup import near_duplicate_groups
 from .lm_scoring import lm_scores
 from .packing import best_fit_packing
 from .secret_scan import scan_secrets
@@ -41,6 +42,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(read_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_groups(read_table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(read_table(spark, sf_dir, "documents"), train_filter("doc_id", 7, 2))
 
@@ -60,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_top_k_search": op1_top_k_search,
     "op3_secret_scan": op3_secret_scan,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_embedding_dedup": op6_embedding_dedup,
     "op7_lm_scoring": op7_lm_scoring,
     "op8_language_id": op8_language_id,
     "op9_token_counts": op9_token_counts,
