@@ -12,6 +12,7 @@ from . import langid
 from ._common import read_table, train_filter
 from .embedding_dedup import near_duplicate_groups
 from .lm_scoring import lm_scores
+from .ngram_jaccard import jaccard_components
 from .packing import best_fit_packing
 from .secret_scan import scan_secrets
 from .token_counts import token_counts
@@ -34,6 +35,10 @@ def op1_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k_search(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(read_table(spark, sf_dir, "documents"), width=4, num=85, den=100)
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(read_table(spark, sf_dir, "documents"))
 
@@ -63,6 +68,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_top_k_search": op1_top_k_search,
+    "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_secret_scan": op3_secret_scan,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_embedding_dedup": op6_embedding_dedup,
