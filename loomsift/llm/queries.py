@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from . import langid
 from ._common import read_table, train_filter
 from .embedding_dedup import near_duplicate_groups
+from .line_dedup import duplicate_lines
 from .lm_scoring import lm_scores
+from .mixing import mixture
 from .ngram_jaccard import jaccard_components
 from .packing import best_fit_packing
 from .secret_scan import scan_secrets
@@ -43,6 +45,11 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(read_table(spark, sf_dir, "documents"))
 
 
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixture(docs, repetition_limit=2.0).select("doc_id", "source", "mix.*")
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(read_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -66,17 +73,77 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    found = duplicate_lines(docs, edits=2, least_chars=30)
+    lines = docs.select("doc_id", F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long").alias("n_lines"))
+    met = lines.join(found.withColumnRenamed("key", "doc_id"), "doc_id", "left")
+    return met.select("doc_id", "n_lines", F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce(F.array_join("dropped", ","), F.lit("")).alias("dropped"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_top_k_search": op1_top_k_search,
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_secret_scan": op3_secret_scan,
+    "op4_source_mixing": op4_source_mixing,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_embedding_dedup": op6_embedding_dedup,
     "op7_lm_scoring": op7_lm_scoring,
     "op8_language_id": op8_language_id,
     "op9_token_counts": op9_token_counts,
+    "op10_line_dedup": op10_line_dedup,
 }
 
+_OP4_SQL = """
+    WITH d AS (
+        SELECT doc_id, source, coalesce(source, '') AS name, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS n_tokens,
+            CAST('0x' || substr(md5('block:1:' || coalesce(source, '') || ':' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h
+        FROM documents
+    ), t AS (
+        SELECT name, CAST(sum(n_tokens) AS DOUBLE) AS tokens FROM d WHERE n_tokens > 0 GROUP BY name
+    ), e AS (
+        SELECT CASE WHEN max(tokens) <= 2 * min(tokens) THEN 0 ELSE 1 - ln(2) / ln(max(tokens) / min(tokens)) END AS x, sum(tokens) AS every FROM t
+    ), w AS (
+        SELECT name, tokens, tokens / every AS p, pow(tokens / every, x) AS w,
+            CAST(pow(2, ceil(log2(least(4096, greatest(1, ceil(tokens / 20000)))))) AS BIGINT) AS blocks
+        FROM t, e
+    ), r AS (
+        SELECT name, tokens, blocks, (SELECT max(p / w) FROM w) * w / p AS repeat FROM w
+    ), b AS (
+        SELECT d.name, d.h % r.blocks AS block, r.tokens, r.repeat, floor(r.repeat + 1e-9) AS whole, sum(d.n_tokens) AS n
+        FROM d JOIN r USING (name) WHERE d.n_tokens > 0 GROUP BY ALL
+    ), k AS (
+        SELECT b.*, unnest(generate_series(0, CAST(whole AS BIGINT))) AS epoch FROM b
+    ), o AS (
+        SELECT *, row_number() OVER q AS position, sum(n) OVER (q ROWS UNBOUNDED PRECEDING) - n AS before
+        FROM k
+        WINDOW q AS (PARTITION BY name, epoch ORDER BY CAST('0x' || substr(md5('pass:1:' || name || ':' || epoch || ':' || block), 1, 8) AS BIGINT), block)
+    )
+    SELECT d.doc_id, d.source, CAST(o.epoch AS BIGINT) AS epoch, CAST(o.block AS BIGINT) AS block, CAST(o.position AS BIGINT) AS position, d.n_tokens
+    FROM d JOIN r USING (name) JOIN o ON o.name = d.name AND o.block = d.h % r.blocks
+    WHERE d.n_tokens > 0 AND (o.epoch < o.whole OR o.before + o.n / 2 <= (o.repeat - o.whole) * o.tokens)
+    UNION ALL
+    SELECT doc_id, source, 0, 0, 0, 0 FROM d WHERE n_tokens = 0
+"""
+
+_OP10_SQL = """
+    WITH l AS (
+        SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos
+        FROM documents
+    ), k AS (
+        SELECT line, len(line) AS n, min((doc_id, pos)) AS first FROM l WHERE len(line) >= 30 GROUP BY line
+    ), late AS (
+        SELECT DISTINCT b.line FROM k a JOIN k b ON a.n BETWEEN b.n - 2 AND b.n + 2 AND a.first < b.first AND levenshtein(a.line, b.line) <= 2
+    ), gone AS (
+        SELECT l.doc_id, string_agg(CAST(l.pos AS VARCHAR), ',' ORDER BY l.pos) AS dropped, count(*) AS n
+        FROM l JOIN k USING (line) LEFT JOIN late ON late.line = l.line
+        WHERE late.line IS NOT NULL OR (l.doc_id, l.pos) <> k.first
+        GROUP BY l.doc_id
+    )
+    SELECT d.doc_id, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_lines, CAST(coalesce(g.n, 0) AS BIGINT) AS n_dropped, coalesce(g.dropped, '') AS dropped
+    FROM documents d LEFT JOIN gone g USING (doc_id)
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_top_k_search": """
         WITH v AS (
@@ -91,4 +158,6 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
     """,
+    "op4_source_mixing": _OP4_SQL,
+    "op10_line_dedup": _OP10_SQL,
 }
