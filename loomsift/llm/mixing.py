@@ -79,7 +79,7 @@ def mixture(docs: DataFrame, key: str = "doc_id", source: str = "source", text:
     shares = totals.withColumn("p", F.col("tokens") / F.lit(float(every or 1)))
     power = exponent(shares, repetition_limit, target_entropy)
     weighed = shares.withColumn("w", F.pow("p", F.lit(power)))
-    z, need = weighed.agg(F.sum("w"), F.max(F.col("p") / F.col("w"))).first()
+    z, need, sources = weighed.agg(F.sum("w"), F.max(F.col("p") / F.col("w")), F.count("*")).first()
     # Repetitions of a source: its weight's share of the budget over its own tokens.
     scale = (budget_tokens / every / z if budget_tokens is not None else need) if every else 1.0
     plan = weighed.withColumn("repeat", F.lit(scale) * F.col("w") / F.col("p")).withColumn("whole", F.floor(F.col("repeat") + 1e-9))
@@ -95,12 +95,16 @@ def mixture(docs: DataFrame, key: str = "doc_id", source: str = "source", text:
     ranked = passes.withColumns({"position": F.row_number().over(order).cast("long"), "before": F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")})
     rest = (F.col("repeat") - F.col("whole")) * F.col("tokens")
     chosen = ranked.where((F.col("epoch") < F.col("whole")) | (F.col("before") + F.col("n") / 2 <= rest)).select("name", "block", "blocks", "epoch", "position")
-    # One row per block, with its passes in an array no longer than the repetitions.
+    # One row per fine part of a source, with its block's passes in an array no longer than the repetitions.
     by_block = chosen.groupBy("name", "block", "blocks").agg(F.array_sort(F.collect_list(F.struct("epoch", "position"))).alias("passes"))
-    counts = plan.select("name", "blocks")
-    keyed = placed.where("mix.n_tokens > 0").join(counts.select(F.col("name").alias("_name"), F.col("blocks").alias("_blocks")), F.col("mix.name") == F.col("_name"))
-    keyed = keyed.withColumn("_block", F.pmod("mix.hash", F.col("_blocks")))
-    met = keyed.join(by_block.select(F.col("name").alias("_n"), F.col("block").alias("_b"), "passes"), (F.col("_name") == F.col("_n")) & (F.col("_block") == F.col("_b")))
+    parts = sizes.join(plan.select("name", "blocks"), "name").select("name", "part", F.pmod("part", "blocks").alias("block"))
+    by_part = parts.join(by_block, ["name", "block"]).select(F.col("name").alias("_name"), F.col("part").alias("_part"), F.col("block").alias("_block"), "passes")
+    # At most MOST_BLOCKS rows a source: sent to every executor for so few sources that this is under 64 MB.
+    passes_bytes = 16 * (2 + math.ceil(repetition_limit or 1) if budget_tokens is None and repetition_limit else 1 << 20)
+    if sources * MOST_BLOCKS * (64 + passes_bytes) <= 64 << 20:
+        by_part = F.broadcast(by_part)
+    worded = placed.where("mix.n_tokens > 0")
+    met = worded.join(by_part, (worded["mix.name"] == by_part["_name"]) & (F.pmod(worded["mix.hash"], F.lit(MOST_BLOCKS)) == by_part["_part"]))
     out = [F.col(f"`{c}`") for c in docs.columns]
     mixed = met.withColumn("_pass", F.explode("passes")).select(*out, F.struct(F.col("_pass.epoch").alias("epoch"), F.col("_block").alias("block"), F.col("_pass.position").alias("position"), F.col("mix.n_tokens").alias("n_tokens")).alias("mix"))
     zero = F.lit(0).cast("long")

@@ -81,6 +81,13 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.select("doc_id", "n_lines", F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce(F.array_join("dropped", ","), F.lit("")).alias("dropped"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # It calls this subpackage, so it is imported when the query runs.
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_top_k_search": op1_top_k_search,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -92,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_token_counts": op9_token_counts,
     "op10_line_dedup": op10_line_dedup,
+    "pipeline": pipeline,
 }
 
 _OP4_SQL = """
