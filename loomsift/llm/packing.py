@@ -2,11 +2,13 @@
 
 A document's ids are cut only where it is longer than a sequence. Pieces go to shards by hash, and
 in each shard every piece is placed where the squared counts of open bins per residual gap become
-smallest. Pieces that fill a sequence alone need no placement.
+smallest. What the few bins that stay open hold is then placed once more, each piece into the least
+gap that holds it. Pieces that fill a sequence alone need no placement.
 """
 
 from __future__ import annotations
 
+import bisect
 import os
 import zlib
 from collections.abc import Callable, Iterator
@@ -202,6 +204,33 @@ def sum_of_squares(lengths: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndar
     return where, offset
 
 
+def tighten(lengths: np.ndarray, where: np.ndarray, offset: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Place the items of bins that stayed open once more, the longest first, each into the least gap that holds it."""
+    bins = int(where.max(initial=-1)) + 1
+    fill = np.bincount(where, lengths, bins).astype(np.int64)
+    again = np.flatnonzero(fill[where] < limit)
+    again = again[np.argsort(-lengths[again], kind="stable")]
+    numbers = np.flatnonzero(fill < limit).tolist()
+    gaps: list[tuple[int, int]] = []
+    place, used = [], 0
+    for s in lengths[again].tolist():
+        k = bisect.bisect_left(gaps, (s, -1))
+        if k < len(gaps):
+            gap, b = gaps.pop(k)
+        else:
+            gap, b = limit, used
+            used += 1
+        place.append((b, limit - gap))
+        if gap > s:
+            bisect.insort(gaps, (gap - s, b))
+    if used > len(numbers):
+        return where, offset
+    where, offset = where.copy(), offset.copy()
+    for i, (b, at) in zip(again.tolist(), place, strict=True):
+        where[i], offset[i] = numbers[b], at
+    return where, offset
+
+
 def best_fit_packing(docs: DataFrame, path: str, limit: int = 2048, end_id: int = 0, key: str = "doc_id", text: str = "text", shard_pieces: int = SHARD_PIECES) -> DataFrame:
     """Pack whole documents; one row per piece.
 
@@ -222,7 +251,8 @@ def best_fit_packing(docs: DataFrame, path: str, limit: int = 2048, end_id: int
 
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "key", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
-        where, offset = sum_of_squares(pdf["length"].to_numpy(), limit)
+        lengths = pdf["length"].to_numpy()
+        where, offset = tighten(lengths, *sum_of_squares(lengths, limit), limit)
         return pdf.assign(sequence_id=(pdf["shard"].to_numpy(np.int64) << 32) + where, offset=offset)[["key", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]]
 
     salted = parts.withColumn("shard", F.pmod(F.xxhash64("key", "piece", "ids_crc32"), F.lit(shards)))
