@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import checkpoint
 
 
+def least_labels(linked: np.ndarray) -> np.ndarray:
+    """Least node of each node's component, from a square boolean matrix of links."""
+    label = np.arange(len(linked))
+    while True:
+        least = np.minimum(label, np.where(linked, label[None, :], len(linked)).min(1, initial=len(linked)))
+        least = least[least]
+        if (least == label).all():
+            return label
+        label = least
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every greater neighbour of a node is tied to the least of the node and its neighbours."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import checkpoint
-from ._components import connected_components
+from ._components import connected_components, least_labels
 
 #: Vectors that the centroids are fitted on, about; a bound, chosen by hash.
 SAMPLE = 20_000
@@ -73,17 +73,6 @@ def _assigning(shared, margin: float):
     return run
 
 
-def spanning_edges(linked: np.ndarray) -> np.ndarray:
-    """Least node of each node's component, from a square boolean matrix of links."""
-    label = np.arange(len(linked))
-    while True:
-        least = np.minimum(label, np.where(linked, label[None, :], len(linked)).min(1, initial=len(linked)))
-        least = least[least]
-        if (least == label).all():
-            return label
-        label = least
-
-
 def near_duplicate_groups(vectors: DataFrame, threshold: float = 0.93, key: str = "vec_id", vector: str = "embedding", label: str = "label", margin: float | None = None) -> DataFrame:
     """One row per row of `vectors`: key, n_links, component_id, kept.
 
@@ -141,7 +130,7 @@ def near_duplicate_groups(vectors: DataFrame, threshold: float = 0.93, key: str
         held = np.flatnonzero(links.any(1))
         links = links[np.ix_(held, held)]
         n_links = links @ copies[held]
-        root = spanning_edges(links)
+        root = least_labels(links)
         parts = {"id": ids[held], "n": n_links.astype(np.int64), "root": ids[held][root]}
         return pa.table(parts)
 
