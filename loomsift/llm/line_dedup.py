@@ -48,33 +48,27 @@ def duplicate_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", ed
     """
     if least_chars < edits + 1:
         raise ValueError("least_chars must exceed the edits, or a segment would be empty")
-    long = F.length("line") >= least_chars
-    seen = lines_of(docs, key, text).where(long).select("key", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), "line")
     n = F.length("line")
-    keys = []
+    seen = lines_of(docs, key, text).where(n >= least_chars).select("key", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), "line")
+    # Equal lines become one, with their first place; copies are merged before they move.
+    distinct = seen.groupBy("h1").agg(F.min(F.struct("key", "pos", "h2", "line")).alias("first"))
+    distinct = distinct.select("h1", F.struct("first.key", "first.pos").alias("first"), F.col("first.line").alias("line"))
+    entries = []
     for gap, i, shift in windows(edits):
         first, size = segment(n - gap, i, edits)
-        keys.append(F.xxhash64(n - gap, F.lit(i), F.col("line").substr(first + shift, size)))
-    own = [k for k, (gap, _, shift) in zip(keys, windows(edits), strict=True) if not gap and not shift]
-    probes = [k for k, (gap, _, shift) in zip(keys, windows(edits), strict=True) if gap or shift]
-    # Equal lines become one, with their first place; equal lines have equal keys.
-    kinds = seen.select("h1", "h2", F.struct("key", "pos").alias("at"), F.array(*own).alias("own"), F.array(*probes).alias("probes"))
-    distinct = kinds.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.any_value("own").alias("own"), F.any_value("probes").alias("probes"))
-    entry = lambda c, own: F.transform(c, lambda x: F.struct(x.alias("part"), F.lit(own).alias("own")))
-    posted = distinct.select("h1", F.explode(F.concat(entry("own", True), entry("probes", False))).alias("e")).select("h1", "e.part", "e.own")
+        entries.append(F.struct(F.xxhash64(n - gap, F.lit(i), F.col("line").substr(first + shift, size)).alias("part"), F.lit(not gap and not shift).alias("own")))
+    posted = distinct.select("h1", F.explode(F.array(*entries)).alias("e")).select("h1", "e.part", "e.own")
     same = Window.partitionBy("part")
     shared = posted.withColumns({"low": F.min("h1").over(same), "high": F.max("h1").over(same), "indexed": F.max("own").over(same)}).where("low <> high and indexed").select("part", "h1", "own")
-    pairs = shared.where("own").select("part", F.col("h1").alias("x")).join(shared.select("part", F.col("h1").alias("y")), "part").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    # Texts and first places only of the lines that pairs name.
-    named = pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct()
-    texts = seen.join(named, "h1", "left_semi").groupBy("h1", "h2").agg(F.min(F.struct("key", "pos")).alias("first"), F.any_value("line").alias("line"))
-    left = texts.select(F.col("h1").alias("a"), F.col("h2").alias("a2"), F.col("first").alias("fa"), F.col("line").alias("la"))
-    right = texts.select(F.col("h1").alias("b"), F.col("h2").alias("b2"), F.col("first").alias("fb"), F.col("line").alias("lb"))
-    near = pairs.join(left, "a").join(right, "b").where(F.levenshtein("la", "lb", edits) >= 0)
-    # Of a linked pair the later line goes, in all its places.
-    later = near.select(F.when(F.col("fa") < F.col("fb"), F.struct(F.col("b").alias("h1"), F.col("b2").alias("h2"))).otherwise(F.struct(F.col("a").alias("h1"), F.col("a2").alias("h2"))).alias("line")).select("line.*").distinct().withColumn("late", F.lit(True))
-    firsts = seen.groupBy("h1", "h2").agg(F.min(F.struct("key", "pos")).alias("first"), F.count("*").alias("n")).join(later, ["h1", "h2"], "left").where("n > 1 or late")
-    places = seen.select("key", "pos", "h1", "h2").join(firsts, ["h1", "h2"]).where(F.col("late").isNotNull() | ~F.struct("key", "pos").eqNullSafe(F.col("first")))
+    # Only lines that share a segment take their text along. A line looks for any earlier one and
+    # stops at the first it finds, so no pairs come out.
+    told = shared.join(distinct, "h1")
+    late, early = told.select("part", "h1", "own", "first", "line"), told.select(F.col("part").alias("p"), F.col("own").alias("o"), F.col("first").alias("f"), F.col("line").alias("l"))
+    near = (F.col("part") == F.col("p")) & (F.col("own") | F.col("o")) & (F.col("f") < F.col("first")) & (F.abs(F.length("line") - F.length("l")) <= edits) & (F.levenshtein("line", "l", edits) >= 0)
+    found = late.join(early, near, "left_semi").select("h1").distinct().withColumn("late", F.lit(True))
+    # Lines of equal h1 and another h2 are no copies of the first; they stay.
+    firsts = seen.groupBy("h1").agg(F.min(F.struct("key", "pos", "h2")).alias("first"), F.count("*").alias("n")).join(found, "h1", "left").where("n > 1 or late")
+    places = seen.select("key", "pos", "h1", "h2").join(firsts, "h1").where((F.col("h2") == F.col("first.h2")) & (F.col("late").isNotNull() | ~(F.col("key").eqNullSafe(F.col("first.key")) & (F.col("pos") == F.col("first.pos")))))
     return places.groupBy("key").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
 
 
