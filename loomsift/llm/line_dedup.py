@@ -77,8 +77,9 @@ def drop_duplicate_lines(docs: DataFrame, key: str = "doc_id", text: str = "text
 
     A text without such lines, null ones too, stays as it is; one of which no line is left is empty.
     """
-    found = duplicate_lines(docs, key, text, edits, least_chars).select(F.col("key").alias("_key"), F.col("dropped").alias("_dropped"))
-    met = docs.join(found, docs[key].eqNullSafe(found["_key"]), "left")
-    kept = F.array_join(F.filter(F.split(F.col(text), "\n", -1), lambda x, i: ~F.array_contains("_dropped", i)), "\n")
-    cleaned = F.when(F.col("_dropped").isNull(), F.col(text)).otherwise(kept).alias(text)
-    return met.select(*[cleaned if c == text else docs[f"`{c}`"] for c in docs.columns], F.coalesce(F.size("_dropped"), F.lit(0)).alias("n_dropped"))
+    found = duplicate_lines(docs, key, text, edits, least_chars).select(F.col("key").alias("found_key"), "dropped")
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
+    met = rows.join(found, rows["row"][key].eqNullSafe(found["found_key"]), "left")
+    kept = F.array_join(F.filter(F.split(F.col("row")[text], "\n", -1), lambda x, i: ~F.array_contains("dropped", i)), "\n")
+    cleaned = F.when(F.col("dropped").isNull(), F.col("row")[text]).otherwise(kept).alias(text)
+    return met.select(*[cleaned if c == text else F.col("row")[c].alias(c) for c in docs.columns], F.coalesce(F.size("dropped"), F.lit(0)).alias("n_dropped"))

@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import WORD
+from ._common import WORD, checkpoint
 
 #: Blocks of a source at most, so that ordering a source's blocks is a small task at any size.
 MOST_BLOCKS = 4096
@@ -72,9 +72,16 @@ def mixture(docs: DataFrame, key: str = "doc_id", source: str = "source", text:
     Rows without words take no budget and come once, with block and position 0. An empty table
     gives no rows. The order of rows of one key is that of their texts' blocks, so copies stay together.
     """
-    rows = docs.withColumn("mix", F.struct(F.coalesce(F.col(source), F.lit("")).alias("name"), token_count(text).alias("n_tokens")))
-    totals = rows.where("mix.n_tokens > 0").groupBy(F.col("mix.name").alias("name")).agg(F.sum("mix.n_tokens").alias("tokens"))
-    totals = totals.withColumn("blocks", F.least(F.lit(MOST_BLOCKS), F.greatest(F.lit(1), F.ceil(F.col("tokens") / block_tokens))).cast("long"))
+    name = F.coalesce(F.col(source), F.lit(""))
+    # A number below 2**32 for each row; its low bits are the fine part of its source, and lower ones its block.
+    drawn = dealt(F.lit("block"), F.lit(seed), name, F.coalesce(F.col(key).cast("string"), F.lit("")))
+    placed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.struct(name.alias("name"), F.pmod(drawn, F.lit(MOST_BLOCKS)).alias("part"), token_count(text).alias("n_tokens")).alias("mix"))
+    # The one pass that counts: what follows up to the last join works on these sums, MOST_BLOCKS a source at most.
+    sizes = checkpoint(placed.groupBy(F.col("mix.name").alias("name"), F.col("mix.part").alias("part")).agg(F.sum("mix.n_tokens").alias("n"))).where("n > 0")
+    totals = sizes.groupBy("name").agg(F.sum("n").alias("tokens"))
+    # A power of two, so that fine parts add up to blocks.
+    wanted = F.least(F.lit(MOST_BLOCKS), F.greatest(F.lit(1), F.ceil(F.col("tokens") / block_tokens)))
+    totals = totals.withColumn("blocks", F.pow(F.lit(2.0), F.ceil(F.log2(wanted.cast("double")))).cast("long"))
     every = totals.agg(F.sum("tokens")).first()[0] or 0
     shares = totals.withColumn("p", F.col("tokens") / F.lit(float(every or 1)))
     power = exponent(shares, repetition_limit, target_entropy)
@@ -84,11 +91,6 @@ def mixture(docs: DataFrame, key: str = "doc_id", source: str = "source", text:
     scale = (budget_tokens / every / z if budget_tokens is not None else need) if every else 1.0
     plan = weighed.withColumn("repeat", F.lit(scale) * F.col("w") / F.col("p")).withColumn("whole", F.floor(F.col("repeat") + 1e-9))
 
-    block = F.when(F.col("mix.n_tokens") > 0, dealt(F.lit("block"), F.lit(seed), F.col("mix.name"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
-    placed = rows.withColumn("mix", F.col("mix").withField("hash", block))
-    sizes = placed.where("mix.n_tokens > 0").groupBy(F.col("mix.name").alias("name"), F.pmod("mix.hash", F.lit(MOST_BLOCKS)).alias("part")).agg(F.sum("mix.n_tokens").alias("n"))
-    # The number of a source's blocks is a power of two up to MOST_BLOCKS, so the fine parts add up to blocks.
-    plan = plan.withColumn("blocks", F.pow(F.lit(2.0), F.ceil(F.log2(F.col("blocks").cast("double")))).cast("long"))
     blocks = sizes.join(plan.select("name", "blocks", "tokens", "repeat", "whole"), "name").groupBy("name", F.pmod("part", "blocks").alias("block"), "blocks", "tokens", "repeat", "whole").agg(F.sum("n").alias("n"))
     passes = blocks.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("whole"))))
     order = Window.partitionBy("name", "epoch").orderBy(dealt(F.lit("pass"), F.lit(seed), F.col("name"), F.col("epoch"), F.col("block")), "block")
@@ -103,10 +105,10 @@ def mixture(docs: DataFrame, key: str = "doc_id", source: str = "source", text:
     passes_bytes = 16 * (2 + math.ceil(repetition_limit or 1) if budget_tokens is None and repetition_limit else 1 << 20)
     if sources * MOST_BLOCKS * (64 + passes_bytes) <= 64 << 20:
         by_part = F.broadcast(by_part)
-    worded = placed.where("mix.n_tokens > 0")
-    met = worded.join(by_part, (worded["mix.name"] == by_part["_name"]) & (F.pmod(worded["mix.hash"], F.lit(MOST_BLOCKS)) == by_part["_part"]))
-    out = [F.col(f"`{c}`") for c in docs.columns]
-    mixed = met.withColumn("_pass", F.explode("passes")).select(*out, F.struct(F.col("_pass.epoch").alias("epoch"), F.col("_block").alias("block"), F.col("_pass.position").alias("position"), F.col("mix.n_tokens").alias("n_tokens")).alias("mix"))
+    met = placed.join(by_part, (placed["mix.name"] == by_part["_name"]) & (placed["mix.part"] == by_part["_part"]), "left")
     zero = F.lit(0).cast("long")
-    silent = placed.where("mix.n_tokens = 0").select(*out, F.struct(zero.alias("epoch"), zero.alias("block"), zero.alias("position"), zero.alias("n_tokens")).alias("mix"))
-    return mixed.unionByName(silent)
+    once = F.array(F.struct(zero.alias("epoch"), zero.alias("position")))
+    silent = F.col("mix.n_tokens") == 0
+    passes = F.when(silent, once).otherwise(F.col("passes"))
+    spread = met.select("row", "mix", F.when(silent, zero).otherwise(F.col("_block")).alias("_block"), F.explode(passes).alias("_pass"))
+    return spread.select("row.*", F.struct(F.col("_pass.epoch").alias("epoch"), F.col("_block").alias("block"), F.col("_pass.position").alias("position"), F.col("mix.n_tokens").alias("n_tokens")).alias("mix"))
