@@ -24,6 +24,8 @@ START, END = 1, 2
 BLOCK_LETTERS = 1 << 20
 #: Distinct words a worker remembers before it starts anew; bounds its memory, not the result.
 CACHE_WORDS = 400_000
+#: Fewer texts of a language than these aren't divided into some to fit and some to calibrate.
+FEW_TEXTS = 30
 
 _tables: list[np.ndarray] = []
 
@@ -245,10 +247,11 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", order: int = 5,
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.col("lang") != UNDETERMINED))
-    sizes = rows.groupBy("lang").agg(F.sum(F.octet_length("text").cast("double")).alias("bytes")).where("bytes > 0").orderBy(F.desc("bytes"), "lang").limit(max_languages).collect()
+    sizes = rows.groupBy("lang").agg(F.sum(F.octet_length("text").cast("double")).alias("bytes"), F.count("*").alias("n")).where("bytes > 0").orderBy(F.desc("bytes"), "lang").limit(max_languages).collect()
     if not sizes:
         return None
-    share = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(min(0.5, sample_bytes / r["bytes"]))) for r in sizes])
+    # A language of few texts is learned from all of them, and not calibrated.
+    share = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(min(0.5, sample_bytes / r["bytes"]) if r["n"] >= FEW_TEXTS else 1.0)) for r in sizes])
     place = (F.xxhash64("text").bitwiseAND(F.lit((1 << 40) - 1))) / float(1 << 40)
     placed = rows.withColumn("share", share).where("share is not null").withColumn("place", place)
     chosen = placed.where(F.col("place") < 2 * F.col("share")).withColumn("fits", F.col("place") < F.col("share")).select("lang", "text", "fits").distinct()
