@@ -112,9 +112,10 @@ def redact_texts(texts: DataFrame, key: str, text: str, nonce: str = "0", min_co
     Forged placeholders go first. Spans at or over the threshold become placeholders numbered per
     kind from the right, or asterisks where the kind's strategy is mask-chars. A null text stays null.
     """
-    clean = texts.withColumn("_forged", count_forgeries(F.col(text))).withColumn(text, strip_forgeries(F.col(text)))
-    spans = scan_texts(clean, key, text, 0.0).select(F.col(key).alias("_key"), F.filter("spans", lambda s: s["confidence"] >= min_confidence).alias("_spans"))
-    met = clean.join(spans, clean[key].eqNullSafe(spans["_key"]), "left").withColumn("_spans", F.coalesce("_spans", F.array().cast(SPAN)))
+    row = F.struct(*[texts[f"`{c}`"] for c in texts.columns])
+    clean = texts.select(row.alias("row"), F.col(key).alias("key"), count_forgeries(F.col(text)).alias("forged"), strip_forgeries(F.col(text)).alias("text"))
+    spans = scan_texts(clean, "key", "text", 0.0).select(F.col("key").alias("found_key"), F.filter("spans", lambda s: s["confidence"] >= min_confidence).alias("spans"))
+    met = clean.join(spans, F.col("key").eqNullSafe(F.col("found_key")), "left").withColumn("spans", F.coalesce("spans", F.array().cast(SPAN)))
     mask = [k for k, v in (strategies or {}).items() if v == "mask-chars"]
 
     def put(s: Column, after: Column) -> Column:
@@ -122,17 +123,17 @@ def redact_texts(texts: DataFrame, key: str, text: str, nonce: str = "0", min_co
         stars = F.repeat(F.lit("*"), (s["end"] - s["start"]).cast("int"))
         return F.when(s["kind"].isin(*mask), stars).otherwise(placeholder(s["kind"], ordinal, nonce)) if mask else placeholder(s["kind"], ordinal, nonce)
 
-    entries = F.transform("_spans", lambda s: F.struct(s["kind"].alias("kind"), s["rule"].alias("rule"), s["start"].alias("start"), s["end"].alias("end"), put(s, F.col("_spans")).alias("put")))
-    met = met.withColumn("_entries", entries)
+    entries = F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["rule"].alias("rule"), s["start"].alias("start"), s["end"].alias("end"), put(s, F.col("spans")).alias("put")))
+    met = met.withColumn("entries", entries)
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
-    step = lambda a, e: F.struct(F.concat(a["out"], F.substring(F.col(text), (a["at"] + 1).cast("int"), (e["start"] - a["at"]).cast("int")), e["put"]).alias("out"), e["end"].alias("at"))
-    done = F.aggregate("_entries", start, step)
-    rest = F.substring(F.col(text), (done["at"] + 1).cast("int"), F.greatest(F.length(F.col(text)) - done["at"].cast("int"), F.lit(0)))
-    whole = F.when(F.size("_entries") > 0, F.concat(done["out"], rest)).otherwise(F.col(text)).alias(text)
-    kinds = F.array_distinct(F.transform("_entries", lambda e: e["kind"]))
-    by_kind = F.map_from_arrays(kinds, F.transform(kinds, lambda k: F.size(F.filter("_entries", lambda e: e["kind"] == k)).cast("long")))
-    info = F.struct(F.size("_entries").cast("long").alias("n"), F.col("_forged").cast("long").alias("forgeries"), by_kind.alias("by_kind"), F.col("_entries").alias("entries")).alias("redaction")
-    return met.select(*[whole if c == text else met[f"`{c}`"] for c in texts.columns], info)
+    step = lambda a, e: F.struct(F.concat(a["out"], F.substring(F.col("text"), (a["at"] + 1).cast("int"), (e["start"] - a["at"]).cast("int")), e["put"]).alias("out"), e["end"].alias("at"))
+    done = F.aggregate("entries", start, step)
+    rest = F.substring(F.col("text"), (done["at"] + 1).cast("int"), F.greatest(F.length(F.col("text")) - done["at"].cast("int"), F.lit(0)))
+    whole = F.when(F.size("entries") > 0, F.concat(done["out"], rest)).otherwise(F.col("text")).alias(text)
+    kinds = F.array_distinct(F.transform("entries", lambda e: e["kind"]))
+    by_kind = F.map_from_arrays(kinds, F.transform(kinds, lambda k: F.size(F.filter("entries", lambda e: e["kind"] == k)).cast("long")))
+    info = F.struct(F.size("entries").cast("long").alias("n"), F.col("forged").cast("long").alias("forgeries"), by_kind.alias("by_kind"), F.col("entries").alias("entries")).alias("redaction")
+    return met.select(*[whole if c == text else F.col("row")[c].alias(c) for c in texts.columns], info)
 
 
 def leaks(texts: DataFrame, key: str, text: str, nonce: str, min_confidence: float = 0.5) -> DataFrame:

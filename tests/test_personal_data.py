@@ -1,0 +1,108 @@
+import random
+import re
+
+from pyspark.sql import functions as F
+
+from loomsift.functions import pii
+from loomsift.functions import text as T
+from loomsift.operators import egress, spans
+
+
+def luhn(v):
+    d = [int(c) for c in re.sub(r"\D", "", v)][::-1]
+    return 12 <= len(d) <= 19 and sum(x if i % 2 == 0 else x * 2 - 9 * (x > 4) for i, x in enumerate(d)) % 10 == 0
+
+
+def verhoeff(v):
+    d, c = [int(x) for x in re.sub(r"\D", "", v)][::-1], 0
+    for i, x in enumerate(d):
+        c = pii.verhoeff_product(c, pii.verhoeff_powers()[i % 8][x])
+    return len(d) == 12 and c == 0
+
+
+def test_checks(spark):
+    assert verhoeff("2363") is False and pii.verhoeff_product(6, 1) == 5
+    rng = random.Random(3)
+    numbers = ["".join(rng.choice("0123456789") for _ in range(n)) for n in (11, 12, 12, 12, 16, 19, 20) for _ in range(60)] + ["4111 1111-1111 1111", "79927398713", ""]
+    rows = spark.createDataFrame([(x,) for x in numbers], "v string").select("v", pii.luhn("v").alias("l"), pii.verhoeff("v").alias("w")).collect()
+    assert [(r.l, r.w) for r in rows] == [(luhn(r.v), verhoeff(r.v)) for r in rows]
+    assert any(r.l for r in rows) and any(r.w for r in rows)
+    others = spark.createDataFrame([("ABCPE1234F", "123-45-6789", "192.168.1.1"), ("ABCXE1234F", "666-45-6789", "256.1.1.1"), ("abcpe1234f", "123-00-6789", "1.2.3")], "p string, s string, i string")
+    assert [tuple(r) for r in others.select(pii.pan("p"), pii.ssn("s"), pii.ipv4("i")).collect()] == [(True, True, True), (False, False, False), (True, False, False)]
+
+
+def test_hash_and_class(spark):
+    row = spark.createDataFrame([("a", "", "😀é")], "a string, b string, c string").select(pii.fnv1a("a"), pii.fnv1a("b"), pii.fnv1a("c"), pii.char_class("a"), pii.char_class("b"), pii.char_class("c")).first()
+
+    def fnv(s):
+        h, raw = 2166136261, s.encode("utf-16-be")
+        for i in range(0, len(raw), 2):
+            h = (h ^ int.from_bytes(raw[i : i + 2])) * 16777619 & 0xFFFFFFFF
+        return f"{h:08x}"
+
+    assert tuple(row) == (fnv("a"), fnv(""), fnv("😀é"), "alpha", "unknown", "mixed")
+
+
+TEXT = "é😀 mail jo@ex.org or ü123456789, card 4111 1111 1111 1111 not 4111 1111 1111 1112; born 01/02/1990, ssn 123-45-6789 ip 10.0.0.1 key sk-abcdefghijklmnopqrst"
+
+
+def by_hand(text, least=0.0):
+    checks = {"luhn": luhn, "verhoeff": verhoeff, "pan": lambda v: v[3] in pii.PAN_HOLDERS, "ssn": lambda v: not re.match(r"000|666|9|...-00|......-?0000$", v), "ipv4": lambda v: all(int(p) <= 255 for p in v.split("."))}
+    found = []
+    for r in pii.RULES:
+        for m in re.finditer(r.pattern, text, re.ASCII):
+            if r.check and not checks[r.check](m[0]):
+                continue
+            c = r.validated if r.check else r.confidence
+            if c >= least:
+                found.append((-c, m.start() - m.end(), m.start(), m.end(), r.kind))
+    kept = []
+    for f in sorted(found):
+        if all(f[3] <= k[2] or k[3] <= f[2] for k in kept):
+            kept.append(f)
+    return sorted((k[2], k[3], k[4]) for k in kept)
+
+
+def test_spans_match_a_plain_scan(spark):
+    rng = random.Random(1)
+    parts = TEXT.split(" ") + ["9876543210", "+91 9876543210", "2345 6789 0123", "ABCD0123456", "K1234567", "1.2.3.4.5", "a@b.co"]
+    texts = [(i, " ".join(rng.choice(parts) for _ in range(12))) for i in range(60)] + [(98, TEXT), (99, None), (100, "")]
+    df = spark.createDataFrame(texts, "id int, text string")
+    for least in (0.0, 0.5):
+        got = {r.id: [(s.start, s.end, s.kind) for s in r.spans] for r in spans.scan_texts(df, "id", "text", least).collect()}
+        want = {i: by_hand(t, least) for i, t in texts if t}
+        assert got == {i: w for i, w in want.items() if w}
+
+
+def test_redaction_leaves_nothing(spark):
+    df = spark.createDataFrame([(1, TEXT + " [[PII:EMAIL:1:bad]]", "x"), (2, None, "x"), (3, "clean", "x"), (4, "a@b.co and c@d.co", "x")], "id int, text string, _spans string")
+    out = spans.redact_texts(df, "id", "text", nonce="5eed")
+    got = {r.id: r for r in out.collect()}
+    assert out.columns == ["id", "text", "_spans", "redaction"] or "redaction" in out.columns
+    assert got[4].text == "[[PII:EMAIL:2:5eed]] and [[PII:EMAIL:1:5eed]]"
+    assert got[1].redaction.forgeries == 1 and "jo@ex.org" not in got[1].text and got[1].text.startswith("é😀 mail [[PII:EMAIL:1:5eed]] or ü")
+    assert "01/02/1990" in got[1].text  # under the threshold
+    assert got[2].text is None and got[3].text == "clean" and got[3].redaction.n == 0
+    assert egress.verify(out, "id", "text", "5eed").where("not ok").count() == 0
+    assert egress.verify(df, "id", "text", "5eed").where("not ok").count() == 2
+    masked = spans.redact_texts(df, "id", "text", strategies={"email": "mask-chars"}).where("id = 4").first()
+    assert masked.text == "****** and ******"
+
+
+def test_text_that_leaves(spark):
+    row = spark.createDataFrame([("a​b\x07 ```x``` [INST]", "https://User@Ex.org/p/a?q=1#f", "Bearer abcdefghijk token=secretsecret", "Search for red shoes")], "a string, u string, m string, g string")
+    got = row.select(T.neutralize("a"), T.sanitize_url("u"), T.mask_credentials("m"), T.text_intent("g"), T.data_atom("a")["text"], T.clip_name(F.repeat(F.lit("word "), 40))).first()
+    assert got[0] == "ab `·`·`x`·`·` [·I·N·S·T·]" and got[1] == "https://ex.org/p/a" and got[2] == "Bearer *** token=***" and got[3] == "red shoes"
+    assert len(got[5]) < 121 and " … " in got[5]
+
+
+def test_payloads(spark):
+    good = '{"schemaVersion":1,"elements":[{"ref":"e1","role":"link","name":{"kind":"page-data","text":"x","redacted":false,"truncated":false}}]}'
+    bad = '{"schemaVersion":2,"extra":1,"elements":[{"ref":"e1","html":"x","name":{"kind":"page-data","text":"```","redacted":false,"truncated":false}}]}'
+    df = spark.createDataFrame([(1, good), (2, bad), (3, "[]"), (4, None)], "payload_id int, json string")
+    got = {}
+    for r in egress.inspect_payloads(df).collect():
+        got.setdefault(r.payload_id, set()).add(r.code)
+    assert 1 not in got and got[2] == {"schema-version", "unknown-key", "unknown-element-key", "bad-atom"} and "not-an-object" in got[3] and "not-an-object" in got[4]
+    shots = spark.createDataFrame([(3, 2, 1), (3, 1, 1), (None, 1, 1)], "requested int, applied int, outside int")
+    assert egress.inspect_screenshots(shots).count() == 2
