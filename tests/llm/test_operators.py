@@ -344,9 +344,13 @@ def test_embedding_groups(spark, monkeypatch):
     assert near_duplicate_groups(df.where("false")).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("local", [0, 10**6])
+def test_components(spark, monkeypatch, local):
+    from loomsift.llm import _components
     from loomsift.llm._components import connected_components
 
+    monkeypatch.setattr(_components, "LOCAL_EDGES", local)
+
     rng = np.random.default_rng(0)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(i, i + 1) for i in range(500, 560)]
     low = {x: x for p in pairs for x in p}
