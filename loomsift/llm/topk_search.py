@@ -147,15 +147,13 @@ def top_k_search(vectors: DataFrame, is_query, k: int = 5, scale: float = 256.0,
     blocks = ranged.mapInArrow(_packing(scale, BLOCK_ROWS), _PACKED)
     asked = rows.where("q").dropDuplicates(["id"]).select("id", "x").repartitionByRange(max(1, splits // 8), "id").sortWithinPartitions("id")
     tiles = asked.mapInArrow(_packing(scale, TILE_QUERIES), _PACKED)
-    # A grid of query tiles and block groups: each tile meets each group once.
-    numbered = tiles.select("*", F.hash("low").alias("tile"))
-    blocks = blocks.persist()
-    n_blocks = blocks.count()
-    groups = max(1, -(-n_blocks // GROUP_BLOCKS))
-    grouped = blocks.withColumn("group", F.pmod(F.xxhash64("low"), F.lit(groups)))
-    left = numbered.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<bigint>")))
-    names = [r["tile"] for r in numbered.select("tile").distinct().collect()]
-    right = grouped.withColumn("tile", F.explode(F.array(*[F.lit(t) for t in names]))) if names else grouped.withColumn("tile", F.lit(0)).where("false")
+    # A grid of query tiles and block groups: each tile meets each group once. Both numbers follow the
+    # counts of rows, so that a tile and a group keep their size.
+    groups = max(1, -(-rows.count() // (BLOCK_ROWS * GROUP_BLOCKS)))
+    n_tiles = max(1, -(-rows.where("q").count() // TILE_QUERIES))
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = tiles.withColumn("tile", F.pmod(F.xxhash64("low"), F.lit(n_tiles))).withColumn("group", upto(groups))
+    right = blocks.withColumn("group", F.pmod(F.xxhash64("low"), F.lit(groups))).withColumn("tile", upto(n_tiles))
 
     def search(tile: pa.Table, group: pa.Table) -> pa.Table:
         found = [[], [], []]
