@@ -11,7 +11,7 @@ from loomsift.functions import cells as C
 from loomsift.functions import geometry as G
 from loomsift.functions import pii
 from loomsift.functions import text as T
-from loomsift.operators import detections, egress, elements, scoring, spans
+from loomsift.operators import actions, detections, egress, elements, scoring, spans
 from loomsift.operators import table_stats as S
 from loomsift.sources import html
 from loomsift.streaming import events as E
@@ -455,3 +455,78 @@ def h4_latency_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 def h9_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An extension beside the folds: sessions by event time."""
     return E.session_counts(table(spark, sf_dir, "events"))
+
+
+# Operators on detections, targets and actions
+
+
+def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Redaction entries made of line items: a page is a supplier."""
+    li = table(spark, sf_dir, "lineitem")
+    pick = lambda c, *names: F.element_at(F.array(*map(F.lit, names)), (c % len(names) + 1).cast("int"))
+    return li.select(F.col("l_suppkey").alias("page_id"), (F.col("l_orderkey") * 1000 + F.col("l_linenumber") * 100 + F.col("l_partkey") % 100).alias("ord"), pick(F.col("l_partkey"), "email", "phone", "face").alias("kind"), pick(F.col("l_orderkey"), "regex", "vision").alias("source"), (F.col("l_linenumber") != 3).alias("applied"), pick(F.col("l_linenumber"), "placeholder", "blur", "remove-node", "drop-attribute").alias("strategy"))
+
+
+_SQL_ENTRIES = """
+    WITH e AS (
+        SELECT l_suppkey AS page_id, l_orderkey * 1000 + l_linenumber * 100 + l_partkey % 100 AS ord, (['email', 'phone', 'face'])[l_partkey % 3 + 1] AS kind, (['regex', 'vision'])[l_orderkey % 2 + 1] AS source, l_linenumber <> 3 AS applied,
+            (['placeholder', 'blur', 'remove-node', 'drop-attribute'])[l_linenumber % 4 + 1] AS strategy
+        FROM lineitem
+    )
+"""
+
+
+@query(_SQL_ENTRIES + "SELECT page_id, kind, max(o) AS last, CAST(sum(o * (ord % 7)) AS BIGINT) AS mixed FROM (SELECT *, row_number() OVER (PARTITION BY page_id, kind ORDER BY ord) AS o FROM (SELECT DISTINCT page_id, kind, ord FROM e)) GROUP BY ALL")
+def c6_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    numbered = detections.ordinals(_entries(spark, sf_dir).select("page_id", "kind", "ord").distinct(), ["page_id"], "ord")
+    return numbered.groupBy("page_id", "kind").agg(F.max("ordinal").cast("long").alias("last"), F.sum(F.col("ordinal") * (F.col("ord") % 7)).alias("mixed"))
+
+
+@query(_SQL_ENTRIES + "SELECT page_id, count(*) FILTER (applied) AS applied, count(*) FILTER (NOT applied) AS failed, count(*) FILTER (strategy = 'remove-node') AS removed, count(*) FILTER (strategy = 'drop-attribute') AS dropped, count(*) FILTER (applied AND kind = 'email') AS emails, count(*) FILTER (applied AND source = 'vision') AS seen FROM e GROUP BY 1")
+def c14_summarize_redactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = detections.summarize_redactions(_entries(spark, sf_dir), ["page_id"])
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return out.select("page_id", "applied", "failed", "removed", "dropped", zero(F.col("by_kind")["email"]).alias("emails"), zero(F.col("by_source")["vision"]).alias("seen"))
+
+
+@query(_SQL_ENTRIES + "SELECT kind, count(*) AS n, array_to_string(list_sort(list(DISTINCT strategy)), ',') AS strategies FROM e GROUP BY 1")
+def h3_group_redactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.group_redactions(_entries(spark, sf_dir)).select("kind", "n", F.array_join("strategies", ",").alias("strategies"))
+
+
+@query(_SQL_ENTRIES + "SELECT page_id, ord, CASE WHEN kind = 'face' THEN CASE WHEN source = 'vision' THEN 'blur' ELSE 'placeholder' END WHEN strategy = 'drop-attribute' THEN 'placeholder' ELSE 'placeholder' END AS strategy FROM e")
+def c5_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    attr = F.when(F.col("strategy") == "drop-attribute", "value")
+    out = spans.strategy_for(F.col("kind"), F.col("source") == "vision", F.lit(False), attr)
+    return _entries(spark, sf_dir).select("page_id", "ord", out.alias("strategy"))
+
+
+@query()
+def c2_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _rects(spark, sf_dir)
+    none = F.lit(None).cast("string")
+    rows = found.select("l_suppkey", F.col("id").cast("string").alias("det_id"), F.col("id").alias("ord"), F.lit("face").alias("kind"), F.when(F.col("id") % 2 == 0, "vision").otherwise("dom-heuristic").alias("source"), (F.col("l_discount") + 0.5).alias("confidence"), F.when(F.col("id") % 3 == 0, F.concat(F.lit("p"), F.col("id") % 11)).alias("path"), none.alias("attr"), F.lit(None).cast("int").alias("node_index"), "rect", F.lit("r").alias("rule"))
+    return detections.merge(rows, "l_suppkey").select("l_suppkey", "det_id", "confidence", "path")
+
+
+@query()
+def g1_resolve_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target of each page's first link, by its text."""
+    found = elements.extract(html.dom_nodes(table(spark, sf_dir, "pages")))
+    spec = F.create_map(F.lit("role"), F.lit("link"), F.lit("text"), F.col("name"))
+    targets = found.where("role = 'link' and name is not null").groupBy("page_id").agg(F.min_by("name", "ord").alias("name")).select("page_id", F.lit(0).alias("target_id"), spec.alias("spec"))
+    return elements.resolve_targets(found, targets)
+
+
+@query()
+def n1_ambiguous_goals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = elements.extract(html.dom_nodes(table(spark, sf_dir, "pages")))
+    goals = found.where("role = 'link'").select("page_id", F.col("ord").alias("goal_id"), F.col("name").alias("goal"))
+    out = elements.ambiguous_goals(found, goals)
+    return out.select("page_id", "goal_id", "term", "role", elements.question(F.col("candidates")).alias("question"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN trim(coalesce(text, '')) = '' THEN 'empty-input' ELSE 'no-json-found' END AS code FROM conversations WHERE text IS NULL OR NOT contains(text, '{')")
+def n6_parse_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").where(F.col("text").isNull() | ~F.contains("text", F.lit("{")))
+    return actions.parse_actions(rows.select("conv_id", "turn", "text")).select("conv_id", "turn", "action.code")
