@@ -236,6 +236,7 @@ def test_ngram_jaccard_in_small_tiles(spark, monkeypatch):
     from loomsift.llm import ngram_jaccard
 
     monkeypatch.setattr(ngram_jaccard, "TILE_SETS", 3)
+    monkeypatch.setattr(ngram_jaccard, "TILE_MARKS", 7)
     rng = np.random.default_rng(5)
     base = [" ".join(rng.choice([f"w{i}" for i in range(400)], 60)) for _ in range(4)]
     rows = []
