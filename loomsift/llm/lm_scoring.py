@@ -1,15 +1,15 @@
 """LM scoring with a weighted back-off automaton over words.
 
 States are word histories (the empty one, words, word pairs, ...); an arc (state, word) is kept when
-its n-gram is frequent enough, and every state has a failure arc to its longest proper suffix. As
-the arcs of one order are at most 1 / `arc_share`, they are broadcast whatever the corpus size. The
-unigrams, which grow with the corpus, stay distributed: each block of documents asks for the
-counts of its own distinct words.
+its n-gram occurs at least `min_count` times, and every state has a failure arc to its longest proper
+suffix. Arcs and states grow with the corpus, so they stay distributed: each block of documents asks
+for its own distinct n-grams, parts of the n-grams add up what all blocks ask, and the answers go
+back in the order of the asking. An n-gram of two words or more is in the part of its first two
+words, so that the arcs of these states are together; the arcs of one word are summed over parts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -17,10 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import CHUNK_BYTES, checkpoint, chunks, mix64, n_splits, text_buffers, word_hashes
+from ._common import CHUNK_BYTES, WORD, checkpoint, chunks, mix64, n_splits, text_buffers, word_hashes
 
 #: The token that ends every text.
 END = int(mix64(np.array([77], np.uint64))[0])
+#: Taken from the count of every kept arc.
+DISCOUNT = 0.75
+#: Places a history in the hash of an n-gram.
+_HISTORY = np.uint64(0x9E3779B97F4A7C15)
+_REPLY, _ASK, _SUMS = 0, 1, 2
 
 
 def tokens(column: pa.Array):
@@ -37,239 +42,253 @@ def tokens(column: pa.Array):
         yield i, out, starts
 
 
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(np.ascontiguousarray(x).view(np.int64))
+def _pack(arrays: list[np.ndarray]) -> bytes:
+    """64-bit arrays as one compressed value, equal bytes of the numbers side by side."""
+    raw = b"".join([np.array([len(arrays), *map(len, arrays)], np.int64).tobytes(), *(np.ascontiguousarray(a).view(np.uint8).reshape(-1, 8).T.tobytes() for a in arrays)])
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
-class _Counts:
-    """Distinct keys and their counts so far; merged when the pending keys are many."""
+def _unpack(data: bytes) -> list[np.ndarray]:
+    """The arrays of `_pack`, as int64."""
+    raw = np.frombuffer(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True), np.uint8)
+    count = int(raw[:8].view(np.int64)[0])
+    sizes = raw[8 : 8 * (count + 1)].view(np.int64)
+    ends = 8 * (count + 1 + np.cumsum(sizes))
+    return [np.ascontiguousarray(raw[e - 8 * s : e].reshape(8, -1).T).reshape(-1).view(np.int64) for s, e in zip(sizes.tolist(), ends.tolist())]
 
-    def __init__(self, columns: int = 1, pending: int = 1 << 21):
-        self.keys, self.values = np.empty(0, np.uint64), np.zeros((0, columns), np.int64)
-        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
-        self.size, self.pending = 0, pending
 
-    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
-        unique, of = np.unique(keys, return_inverse=True)
-        self.parts.append((unique, np.stack([np.bincount(of, v, len(unique)) for v in values.T], 1).astype(np.int64)))
-        self.size += len(unique)
-        if self.size > self.pending:
-            self.merge()
+def _steps(keys: np.ndarray) -> np.ndarray:
+    """Sorted keys as differences, which pack better; `np.cumsum` gives them back."""
+    return np.diff(keys, prepend=np.uint64(0))
 
-    def merge(self) -> None:
-        keys = np.concatenate([self.keys, *(k for k, _ in self.parts)])
-        values = np.concatenate([self.values, *(v for _, v in self.parts)])
-        self.keys, of = np.unique(keys, return_inverse=True)
-        self.values = np.stack([np.bincount(of, v, len(self.keys)) for v in values.T], 1).astype(np.int64)
-        self.parts, self.size = [], 0
 
-
-def _block_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, train, text): distinct tokens of each block with their training counts.
-
-    Flushed whenever a task holds many, so that its memory has a bound; a pair may come twice.
-    """
-    held: dict[int, _Counts] = {}
-
-    def flush():
-        for block, counts in held.items():
-            counts.merge()
-            for k in range(0, len(counts.keys), 1 << 18):
-                keys, n = counts.keys[k : k + (1 << 18)], counts.values[k : k + (1 << 18), 0]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), block, np.int64)), _signed(keys), pa.array(n)], names=["block", "token", "n"])
-        held.clear()
-
-    for batch in batches:
-        blocks = batch.column(0).to_numpy(zero_copy_only=False)
-        train = batch.column(1).to_numpy(zero_copy_only=False)
-        for i, toks, starts in tokens(batch.column(2)):
-            rows = np.repeat(np.arange(i, i + len(starts) - 1), np.diff(starts))
-            for b in np.unique(blocks[i : i + len(starts) - 1]).tolist():
-                own = blocks[rows] == b
-                held.setdefault(b, _Counts()).add(toks[own], train[rows[own]].astype(np.int64)[:, None])
-        if sum(len(c.keys) + c.size for c in held.values()) > 6_000_000:
-            yield from flush()
-    yield from flush()
+def _part(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Part of each key; it rises with the key."""
+    return ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
 @dataclass
-class Automaton:
-    """words: sorted hashes of the words on arcs. Per order n >= 2: sorted arc keys (state number of the history, word number) with log10 probability; per state of order n - 1 the log10 weight of its failure arc.
+class Grams:
+    """The n-grams of a block of texts (index m = 1..order), in an order that follows from their set.
 
-    State 0 is the empty history. The states of order m are numbered by their place in `arcs[m]`
-    (order 1: by their place in `words`).
+    keys: distinct hashes, sorted (from 3 words on by history first); history: number of the first
+    m - 1 words among those of order m - 1; at: number of the m-gram that ends at each token (-1 where
+    the text starts later); n: occurrences in training texts.
     """
 
-    words: np.ndarray
-    unigram: np.ndarray
-    arcs: list[np.ndarray] = field(default_factory=list)
-    log_p: list[np.ndarray] = field(default_factory=list)
-    log_fail: list[np.ndarray] = field(default_factory=list)
-    order: int = 1
-
-    def grams(self, toks: np.ndarray, starts: np.ndarray, order: int) -> list[np.ndarray]:
-        """For m = 1..order the number of the arc of the m tokens ending at each place, or -1 (index m)."""
-        at = np.minimum(np.searchsorted(self.words, toks), max(len(self.words) - 1, 0))
-        one = np.where(self.words[at] == toks, at, -1) if len(self.words) else np.full(len(toks), -1)
-        out = [np.zeros(len(toks), np.int64), one]
-        first = np.zeros(len(toks), bool)
-        first[starts[:-1][starts[:-1] < len(toks)]] = True
-        for m in range(2, order + 1):
-            history = np.full(len(toks), -1)
-            history[1:] = out[m - 1][:-1]
-            history[first] = -1
-            both = (history >= 0) & (one >= 0)
-            key = history[both] * len(self.words) + one[both]
-            if m < len(self.arcs):
-                keys = self.arcs[m]
-                at = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
-                found = np.where(keys[at] == key, at, -1) if len(keys) else np.full(len(key), -1)
+    starts: np.ndarray
+    keys: list[np.ndarray] = field(default_factory=lambda: [np.empty(0, np.uint64)])
+    history: list[np.ndarray] = field(default_factory=lambda: [np.empty(0, np.int64)])
+    at: list[np.ndarray] = field(default_factory=lambda: [np.empty(0, np.int64)])
+    n: list[np.ndarray] = field(default_factory=lambda: [np.empty(0, np.int64)])
+
+
+def grams(column: pa.ChunkedArray, train: np.ndarray, order: int) -> Grams:
+    parts, starts, size = [], [np.zeros(1, np.int64)], 0
+    for _, toks, first in tokens(column):
+        parts.append(toks)
+        starts.append(first[1:] + size)
+        size += len(toks)
+    toks, out = np.concatenate(parts), Grams(np.concatenate(starts))
+    length = np.diff(out.starts)
+    place = np.arange(size) - np.repeat(out.starts[:-1], length)
+    counted = np.repeat(train, length)
+    for m in range(1, order + 1):
+        where = np.flatnonzero(place >= m - 1)
+        history = out.at[m - 1][where - 1] if m > 1 else None
+        key = mix64(out.keys[m - 1][history] * _HISTORY + toks[where]) if m > 1 else toks
+        keys, first, of = np.unique(key, return_index=True, return_inverse=True)
+        of = of.reshape(-1)
+        own = history[first] if m > 1 else np.zeros(len(keys), np.int64)
+        if m > 2:
+            order_ = np.argsort(own, kind="stable")
+            rank = np.empty(len(keys), np.int64)
+            rank[order_] = np.arange(len(keys))
+            keys, own, of = keys[order_], own[order_], rank[of]
+        at = np.full(size, -1)
+        at[where] = of
+        out.keys.append(keys)
+        out.history.append(own)
+        out.at.append(at)
+        out.n.append(np.bincount(of[counted[where]], minlength=len(keys)).astype(np.int64))
+    return out
+
+
+def _bounds(g: Grams, parts: int) -> list[np.ndarray]:
+    """Per order the first n-gram of each part (parts + 1)."""
+    edges = np.arange(parts + 1)
+    out = [edges, *(np.searchsorted(_part(k, parts), edges) for k in g.keys[1:3])]
+    for history in g.history[3:]:
+        out.append(np.searchsorted(history, out[-1]))
+    return out
+
+
+def _rows(rows: list[tuple]) -> pa.Table:
+    """(kind, block, part, data) as a table."""
+    kind, block, part, data = zip(*rows) if rows else ([], [], [], [])
+    return pa.table({"kind": pa.array(kind, pa.int32()), "block": pa.array(block, pa.int64()), "part": pa.array(part, pa.int64()), "data": pa.array(data, pa.binary())})
+
+
+_ROWS = "kind int, block bigint, part bigint, data binary"
+
+
+def _asking(order: int, parts: int):
+    """One row per part that a block has n-grams in: the unigrams of the part, and its longer n-grams."""
+
+    def ask(texts: pa.Table) -> pa.Table:
+        block = texts.column("block")[0].as_py()
+        g = grams(texts.column("text"), texts.column("train").to_numpy(), order)
+        bounds, rows = _bounds(g, parts), []
+        for p in range(parts):
+            lo, hi = [int(b[p]) for b in bounds], [int(b[p + 1]) for b in bounds]
+            if hi[1] > lo[1]:
+                rows.append((_ASK, block, p, _pack([_steps(g.keys[1][lo[1] : hi[1]]), g.n[1][lo[1] : hi[1]]])))
+            if order > 1 and hi[2] > lo[2]:
+                arrays = [g.keys[1][g.history[2][lo[2] : hi[2]]], _steps(g.keys[2][lo[2] : hi[2]]), g.n[2][lo[2] : hi[2]]]
+                for m in range(3, order + 1):
+                    # Histories as the number of n-grams that each has.
+                    arrays += [np.bincount(g.history[m][lo[m] : hi[m]] - lo[m - 1], minlength=hi[m - 1] - lo[m - 1]), g.keys[m][lo[m] : hi[m]], g.n[m][lo[m] : hi[m]]]
+                rows.append((_REPLY, block, p, _pack(arrays)))
+        return _rows(rows)
+
+    return ask
+
+
+def _split(x: np.ndarray, sizes: list[int]) -> list[np.ndarray]:
+    return np.split(x, np.cumsum(sizes)[:-1])
+
+
+def _answering(order: int, parts: int, least: int):
+    """Replies to the n-grams of a part from two words on, the kept arcs of single words summed by word, and the unigrams passed on."""
+
+    def answer(asked: pa.Table) -> pa.Table:
+        part, rows, blocks, asks = asked.column("part")[0].as_py(), [], [], []
+        for kind, block, data in zip(*(asked.column(c).to_pylist() for c in ("kind", "block", "data"))):
+            if kind == _ASK:
+                rows.append((_ASK, block, part, data))
             else:
-                found = key  # an arc that may come to be
-            number = np.full(len(toks), -1)
-            number[both] = found
-            out.append(number)
-        return out
-
-    def traverse(self, toks: np.ndarray, starts: np.ndarray, log_unigram: np.ndarray) -> np.ndarray:
-        """log10 probability of each token, each text read from its start.
-
-        The state before a token is the longest history on an arc; while the state lacks an arc
-        for the token, its failure arc is taken and its weight is added.
-        """
-        total = np.zeros(len(toks))
-        grams = self.grams(toks, starts, self.order)
-        first = np.zeros(len(toks), bool)
-        first[starts[:-1][starts[:-1] < len(toks)]] = True
-        rest = np.ones(len(toks), bool)
-        for m in range(self.order, 1, -1):
-            state = np.full(len(toks), -1)
-            state[1:] = grams[m - 1][:-1]
-            state[first] = -1
-            hit = rest & (grams[m] >= 0)
-            total[hit] += self.log_p[m][grams[m][hit]]
-            rest &= ~hit
-            fail = rest & (state >= 0)
-            total[fail] += self.log_fail[m - 1][state[fail]]
-        total[rest] += log_unigram[rest]
-        return total
-
-
-def _arc_counts(shared, order: int):
-    """text: counts of the n-grams of `order` whose shorter parts are on arcs."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton, counts = shared.value, _Counts(pending=1 << 20)
-
-        def flush():
-            counts.merge()
-            for k in range(0, len(counts.keys), 1 << 18):
-                yield pa.RecordBatch.from_arrays([_signed(counts.keys[k : k + (1 << 18)]), pa.array(counts.values[k : k + (1 << 18), 0])], names=["arc", "n"])
-            counts.keys, counts.values = counts.keys[:0], counts.values[:0]
-
-        for batch in batches:
-            for _, toks, starts in tokens(batch.column(0)):
-                grams = automaton.grams(toks, starts, order)
-                kept = (grams[order] >= 0) & (grams[order - 1] >= 0)
-                counts.add(grams[order][kept].astype(np.uint64), np.ones((int(kept.sum()), 1), np.int64))
-            if len(counts.keys) > 3_000_000:
-                yield from flush()
-        yield from flush()
-
-    return run
-
-
-def train(docs: DataFrame, counts: DataFrame, totals: dict, text: str, order: int, arc_share: float, min_count: int) -> Automaton:
-    """The automaton from the training texts `docs` and their unigram counts (token, c)."""
-    spark = docs.sparkSession
-    least = max(min_count, int(np.ceil(arc_share * totals["n"])))
-    # At most 1 / arc_share words have as high a share of all tokens.
-    frequent = counts.where(F.col("c") >= least).orderBy("token").toPandas()
-    words = frequent["token"].to_numpy(np.int64).view(np.uint64)
-    sort = np.argsort(words)
-    automaton = Automaton(words[sort], frequent["c"].to_numpy(np.float64)[sort])
-    automaton.arcs, automaton.log_p, automaton.log_fail = [np.empty(0, np.int64)] * 2, [np.empty(0)] * 2, [np.empty(0)]
-    count = [np.empty(0), automaton.unigram]
-    p_lower = [np.empty(0), np.maximum(automaton.unigram - totals["cut"], 0) / totals["n"]]
-    for m in range(2, order + 1):
-        shared = spark.sparkContext.broadcast(automaton)
-        found = docs.select(text).mapInArrow(_arc_counts(shared, m), "arc bigint, n bigint").groupBy("arc").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toPandas().sort_values("arc", ignore_index=True)
-        arcs, n = found["arc"].to_numpy(np.int64), found["n"].to_numpy(np.float64)
-        history, word = arcs // max(len(words), 1), arcs % max(len(words), 1)
-        seen = count[m - 1]
-        kept = np.maximum(n - 0.75, 0) / seen[history] if len(arcs) else n
-        mass = np.bincount(history, kept, len(seen)) if len(arcs) else np.zeros(len(seen))
-        back = 1 - mass
-        # The suffix of an arc: the same word from the shorter history; it is on an arc as well, being as frequent.
-        suffix = word if m == 2 else _suffix(automaton, history, word, m)
-        p = kept + back[history] * p_lower[m - 1][suffix] if len(arcs) else n
-        automaton.arcs.append(arcs)
-        automaton.log_p.append(np.log10(p))
-        automaton.log_fail.append(np.log10(np.maximum(back, 1e-12)))
-        automaton.order = m
-        count.append(n)
-        p_lower.append(p)
-        if not len(arcs):
-            break
-    return automaton
-
-
-def _suffix(automaton: Automaton, history: np.ndarray, word: np.ndarray, m: int) -> np.ndarray:
-    """Number of the arc of order m - 1 that drops the first word of each arc (history, word) of order m."""
-    width = len(automaton.words)
-    last = automaton.arcs[m - 1][history] % width
-    if m == 3:
-        shorter = last
-    else:
-        shorter = _suffix(automaton, automaton.arcs[m - 1][history] // width, last, m - 1)
-    return np.searchsorted(automaton.arcs[m - 1], shorter * width + word)
-
-
-def lm_scores(docs: DataFrame, is_train, key: str = "doc_id", text: str = "text", order: int = 3, arc_share: float = 1e-5, min_count: int = 2) -> DataFrame:
+                blocks.append(block)
+                asks.append(_unpack(data))
+        if not asks:
+            return _rows(rows)
+        keys, first, of = np.unique(np.concatenate([np.cumsum(a[1].view(np.uint64)) for a in asks]), return_index=True, return_inverse=True)
+        of, word = of.reshape(-1), np.concatenate([a[0] for a in asks])[first]
+        sizes, ofs = [[len(a[1]) for a in asks]], [of]
+        counts = [np.bincount(of, np.concatenate([a[2] for a in asks]), len(keys)).astype(np.int64)]
+        sums = []
+        for m in range(3, order + 1):
+            j = 3 * (m - 2)
+            history = np.repeat(ofs[-1], np.concatenate([a[j] for a in asks]))
+            keys, first, of = np.unique(np.concatenate([a[j + 1] for a in asks]), return_index=True, return_inverse=True)
+            of = of.reshape(-1)
+            c = np.bincount(of, np.concatenate([a[j + 2] for a in asks]), len(keys)).astype(np.int64)
+            kept, own = c >= least, history[first]
+            sums.append([np.bincount(own[kept], x, len(counts[-1])).astype(np.int64) for x in (c[kept], None)])
+            sizes.append([len(a[j + 1]) for a in asks])
+            ofs.append(of)
+            counts.append(c)
+        replies: list[list[np.ndarray]] = [[] for _ in asks]
+        none = np.empty(0, np.int64)
+        for k, (of, c) in enumerate(zip(ofs, counts)):
+            kept = c >= least
+            # A state that isn't kept has no arcs.
+            values = [np.where(kept, x, 0)[of] for x in (c, *(sums[k] if k < len(sums) else ()))]
+            split = [_split(x, sizes[k]) for x in values]
+            for i, reply in enumerate(replies):
+                reply += [s[i] for s in split] + [none] * (3 - len(split))
+        rows += [(_REPLY, block, part, _pack(reply)) for block, reply in zip(blocks, replies)]
+        kept = counts[0] >= least
+        words, of = np.unique(word[kept].view(np.uint64), return_inverse=True)
+        of = of.reshape(-1)
+        total, arcs = (np.bincount(of, x, len(words)).astype(np.int64) for x in (counts[0][kept], None))
+        edges = np.searchsorted(_part(words, parts), np.arange(parts + 1))
+        rows += [(_SUMS, part, p, _pack([_steps(words[i:j]), total[i:j], arcs[i:j]])) for p, (i, j) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())) if j > i]
+        return _rows(rows)
+
+    return answer
+
+
+def _answer_words(asked: pa.Table) -> pa.Table:
+    """Replies to the unigrams of a part, and in a row without block what they are in all: tokens, words, those seen once and twice."""
+    part, blocks, asks, found = asked.column("part")[0].as_py(), [], [], []
+    for kind, block, data in zip(*(asked.column(c).to_pylist() for c in ("kind", "block", "data"))):
+        arrays = _unpack(data)
+        arrays[0] = np.cumsum(arrays[0].view(np.uint64))
+        if kind == _ASK:
+            blocks.append(block)
+            asks.append(arrays)
+        else:
+            found.append(arrays)
+    keys, of = np.unique(np.concatenate([a[0] for a in asks]), return_inverse=True)
+    of = of.reshape(-1)
+    values = [np.bincount(of, np.concatenate([a[1] for a in asks]), len(keys)).astype(np.int64)] + [np.zeros(len(keys), np.int64) for _ in range(2)]
+    for words, total, arcs in found:
+        at = np.searchsorted(keys, words)
+        values[1][at] += total
+        values[2][at] += arcs
+    split = [_split(x[of], [len(a[0]) for a in asks]) for x in values]
+    rows = [(_ASK, block, part, _pack([s[i] for s in split])) for i, block in enumerate(blocks)]
+    c = values[0]
+    return _rows([*rows, (_SUMS, None, part, _pack([np.array([c.sum(), (c > 0).sum(), (c == 1).sum(), (c == 2).sum()])]))])
+
+
+def _totals(rows) -> np.ndarray:
+    return sum((_unpack(bytes(r.data))[0] for r in rows), np.zeros(4, np.int64))
+
+
+def lm_scores(docs: DataFrame, is_train, key: str = "doc_id", text: str = "text", order: int = 3, arc_share: float = 0.0, min_count: int = 2) -> DataFrame:
     """Train on the rows where the column `is_train` holds, and score the whole text of every row.
 
     Columns: key, held_out, n_tokens (words and one end), n_known (tokens seen in training),
     train_tokens, base_score (add-one unigrams), score (the automaton's log10 probability). All
     unknown words are one token type for both. Unigrams: absolute discount; its mass is the unknown
-    word's. N-grams: absolute discount 0.75 of the arcs kept, the rest goes through the failure arc.
-    A null or empty text is its end token. Repeated rows each count and are each scored. Without
-    training rows every token is unknown and has probability 1. No other column of `docs` is read.
+    word's. N-grams: every one seen `min_count` times or more is an arc, with absolute discount 0.75;
+    the rest goes through the failure arc. An `arc_share` over 0 keeps only those of at least that
+    share of all training tokens. A null or empty text is its end token. Repeated rows each count
+    and are each scored. Without training rows every token is unknown and has probability 1. No
+    other column of `docs` is read.
     """
-    spark = docs.sparkSession
     blocks = n_splits(docs)
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.coalesce(is_train, F.lit(False)).alias("train"), F.col(text).alias("text"), F.pmod(F.xxhash64(F.col(key)), F.lit(blocks)).alias("block"))
     dealt = rows.repartition(blocks, "block")
-    asked = checkpoint(dealt.select("block", "train", "text").mapInArrow(_block_words, "block bigint, token bigint, n bigint").groupBy("token", "block").agg(F.sum("n").alias("n")))
-    counts = asked.groupBy("token").agg(F.sum("n").alias("c")).where("c > 0")
-    got = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.sum((F.col("c") == 1).cast("long")).alias("n1"), F.sum((F.col("c") == 2).cast("long")).alias("n2")).first()
-    n, v, n1, n2 = (int(x or 0) for x in got)
+    least = max(min_count, 1)
+    if arc_share > 0:
+        words = F.coalesce(F.size(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))), F.lit(0))
+        least = max(least, int(np.ceil(arc_share * (rows.where("train").agg(F.sum(words + 1)).first()[0] or 0))))
+    asked = dealt.select("block", "train", "text").groupBy("block").applyInArrow(_asking(order, blocks), _ROWS)
+    answered = checkpoint(asked.groupBy("part").applyInArrow(_answering(order, blocks, least), _ROWS))
+    of_words = checkpoint(answered.where(F.col("kind") != _REPLY).groupBy("part").applyInArrow(_answer_words, _ROWS))
+    n, v, n1, n2 = (int(x) for x in _totals(of_words.where(F.col("kind") == _SUMS).select("data").toLocalIterator()))
     cut = min(0.95, max(0.1, n1 / (n1 + 2 * n2))) if n1 + n2 else 0.5
-    automaton = train(rows.where("train"), counts, {"n": n, "cut": cut}, "text", order, arc_share, min_count) if n else Automaton(np.empty(0, np.uint64), np.empty(0))
-    shared = spark.sparkContext.broadcast(automaton)
-    known = asked.select("token", "block").join(counts, "token").select("block", "token", "c")
+    replies = answered.where(F.col("kind") == _REPLY).unionByName(of_words.where(F.col("kind") == _ASK))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        automaton = shared.value
         if not left.num_rows:
             return pa.table({k: pa.array([], t) for k, t in (("key", left.schema.field("key").type), ("train", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()))})
-        vocabulary = right.column("token").to_numpy().view(np.uint64)
-        sort = np.argsort(vocabulary)
-        vocabulary, c = vocabulary[sort], right.column("c").to_numpy().astype(np.float64)[sort]
-        # One more entry, at the end: a token unknown in training.
-        c = np.append(c, 0.0)
-        base = np.log10((c + 1) / (n + 1 * (v + 1)))
-        unigram = np.log10(np.where(c > 0, c - cut, max(cut * v, 1e-9)) / n) if n else np.zeros(len(c))
-        out = []
-        for chunk in left.select(["key", "train", "text"]).to_batches(max_chunksize=20_000):
-            sums = np.zeros((chunk.num_rows, 4))
-            for i, toks, starts in tokens(chunk.column(2)):
-                at = np.minimum(np.searchsorted(vocabulary, toks), max(len(vocabulary) - 1, 0))
-                at = np.where(vocabulary[at] == toks, at, len(vocabulary)) if len(vocabulary) else np.zeros(len(toks), np.int64)
-                values = np.stack([np.ones(len(toks)), c[at] > 0, base[at], automaton.traverse(toks, starts, unigram[at])], 1)
-                sums[i : i + len(starts) - 1] += np.add.reduceat(values, starts[:-1], axis=0)
-            out.append(pa.table({"key": pa.array(chunk.column(0)), "train": chunk.column(1), "n_tokens": sums[:, 0].astype(np.int64), "n_known": sums[:, 1].astype(np.int64), "base": sums[:, 2], "score": sums[:, 3]}))
-        return pa.concat_tables(out)
-
-    scored = dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(score, f"key {kind}, train boolean, n_tokens bigint, n_known bigint, base double, score double")
+        g = grams(left.column("text"), left.column("train").to_numpy(), order)
+        got: dict[int, list] = {_ASK: [], _REPLY: []}
+        for what, _, data in sorted(zip(*(right.column(c).to_pylist() for c in ("kind", "part", "data"))), key=lambda r: r[:2]):
+            got[what].append(_unpack(data))
+        # Per order: counts, and of the kept arcs that leave the n-gram the sum of counts and the number.
+        values = [None, [np.concatenate(x).astype(np.float64) for x in zip(*got[_ASK])]]
+        every = [np.concatenate(x).astype(np.float64) for x in zip(*got[_REPLY])] or [np.empty(0)] * 3 * (order - 1)
+        values += [every[k : k + 3] for k in range(0, len(every), 3)]
+        if any(len(x[0]) != len(k) for x, k in zip(values[1:], g.keys[1:])):
+            raise RuntimeError("the texts of a block have changed between asking and scoring")
+        c = values[1][0]
+        base = np.log10((c + 1) / (n + 1 * (v + 1)))[g.at[1]]
+        p = (np.where(c > 0, c - cut, max(cut * v, 1e-9)) / n if n else np.ones(len(c)))[g.at[1]]
+        for m in range(2, order + 1):
+            where = np.flatnonzero(g.at[m] >= 0)
+            state = g.at[m - 1][where - 1]
+            c, total, arcs = (x[state] for x in values[m - 1])
+            held = c >= least
+            where, c, left_over = where[held], c[held], (total - DISCOUNT * arcs)[held]
+            own = values[m][0][g.at[m][where]]
+            p[where] = np.where(own >= least, own - DISCOUNT, 0) / c + (1 - left_over / c) * p[where]
+        sums = [np.add.reduceat(x, g.starts[:-1]) for x in ((values[1][0] > 0)[g.at[1]].astype(np.int64), base, np.log10(p))]
+        return pa.table({"key": left.column("key"), "train": left.column("train"), "n_tokens": np.diff(g.starts), "n_known": sums[0], "base": sums[1], "score": sums[2]})
+
+    scored = dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(score, f"key {kind}, train boolean, n_tokens bigint, n_known bigint, base double, score double")
     return scored.select(F.col("key").alias(key), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")

@@ -182,6 +182,34 @@ def test_lm_automaton_matches_plain_back_off(spark):
     assert v == 6
 
 
+def test_lm_keeps_rare_arcs_of_large_corpora(spark):
+    rng = np.random.default_rng(4)
+    texts = [(i, " ".join(rng.choice([f"w{k}" for k in range(40)], 10_000))) for i in range(32)]
+    texts += [(100 + i, f"w{i} a rarely seen phrase w{i}") for i in range(2)] + [(200, "such a rarely seen phrase"), (201, "w1 w2 w3"), (202, "a rarely")]
+    rows = lm_scores(spark.createDataFrame(texts, "doc_id long, text string").repartition(4), F.col("doc_id") < 200).collect()
+    seqs = [[*t.split(), None] for i, t in texts if i < 200]
+    grams = [None] + [collections.Counter(tuple(s[i : i + m]) for s in seqs for i in range(len(s) - m + 1)) for m in (1, 2, 3)]
+    n, v = sum(grams[1].values()), len(grams[1])
+    ones, twos = sum(c == 1 for c in grams[1].values()), sum(c == 2 for c in grams[1].values())
+    cut = min(0.95, max(0.1, ones / (ones + 2 * twos)))
+    assert 1e-5 * n > 3
+
+    def p(h, w):
+        if not h:
+            return (max(grams[1][(w,)] - cut, 0) or cut * v) / n
+        if grams[len(h)][h] < 2:
+            return p(h[1:], w)
+        own = {g: c for g, c in grams[len(h) + 1].items() if g[:-1] == h and c >= 2}
+        total = grams[len(h)][h]
+        return max(own.get((*h, w), 0) - 0.75, 0) / total + (1 - sum(c - 0.75 for c in own.values()) / total) * p(h[1:], w)
+
+    assert len(rows) == len(texts)
+    for r in rows:
+        if r.doc_id >= 100:
+            s = [*dict(texts)[r.doc_id].split(), None]
+            assert math.isclose(r.score, sum(math.log10(p(tuple(s[max(0, i - 2) : i]), s[i])) for i in range(len(s))), rel_tol=1e-9)
+
+
 def test_secret_scan(docs, none):
     assign = re.compile(r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
     got = scan_secrets(docs).collect()
