@@ -1,8 +1,8 @@
 """Embedding near-dedup: spherical k-means cells, blocked cosine products, one vector kept per group.
 
 Equal vectors become one with a count. A vector is at home in the cell of its nearest centroid and
-probes the cells that are nearly as near. A pair is looked for in the home of its greater id, so it
-counts once. Cells of any size are compared in pairs of tiles, which send back sums and spanning
+probes every cell that a vector linked to it can be at home in. A pair is looked for in the home of
+its greater id, so it counts once and none is missed. Cells of any size are compared in pairs of tiles, which send back sums and spanning
 edges, never pairs.
 """
 
@@ -46,17 +46,27 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def probed(unit: np.ndarray, centroids: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, cell, and whether the cell is its home, for every cell within `margin` radians of the nearest."""
-    angle = np.arccos(np.clip(unit @ centroids.T, -1, 1))
-    home = angle.argmin(1)
-    near = angle <= angle[np.arange(len(home)), home][:, None] + margin
+def probed(unit: np.ndarray, centroids: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, cell, and whether the cell is its home, for every cell that can be home to a vector of cosine `threshold` or more.
+
+    Such a vector is beyond the plane that bisects the two centroids, which is then at most the link
+    angle away: the row's distance to the plane is at most the sine of that angle.
+    """
+    cosine = unit @ centroids.T
+    home = cosine.argmax(1)
+    own = cosine[np.arange(len(home)), home]
+    if threshold > 0:
+        apart = np.sqrt(np.maximum(2 - 2 * (centroids @ centroids.T), 0))
+        # The slack is for rounding.
+        near = own[:, None] - cosine <= math.sqrt(max(1 - threshold * threshold, 0)) * apart[home] + 1e-7
+    else:
+        near = np.ones(cosine.shape, bool)
     near[np.arange(len(home)), home] = True
     row, cell = np.nonzero(near)
     return row, cell, home[row] == cell
 
 
-def _assigning(shared, margin: float):
+def _assigning(shared, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centroids = shared.value
         for batch in batches:
@@ -65,7 +75,7 @@ def _assigning(shared, margin: float):
             fits = np.flatnonzero(size == centroids.shape[1])
             if len(centroids) > 1 and len(fits):
                 x = _matrix(batch.column(1).take(pa.array(fits)))
-                r, c, h = probed(x / np.linalg.norm(x, axis=1)[:, None], centroids, margin)
+                r, c, h = probed(x / np.linalg.norm(x, axis=1)[:, None], centroids, threshold)
                 rest = np.flatnonzero(size != centroids.shape[1])
                 row, cell, home = np.concatenate([fits[r], rest]), np.concatenate([c, np.zeros(len(rest), np.int64)]), np.concatenate([h, np.ones(len(rest), bool)])
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(cell.astype(np.int32)), pa.array(home)], names=["id", "cell", "home"])
@@ -73,19 +83,17 @@ def _assigning(shared, margin: float):
     return run
 
 
-def near_duplicate_groups(vectors: DataFrame, threshold: float = 0.93, key: str = "vec_id", vector: str = "embedding", label: str = "label", margin: float | None = None) -> DataFrame:
+def near_duplicate_groups(vectors: DataFrame, threshold: float = 0.93, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """One row per row of `vectors`: key, n_links, component_id, kept.
 
     Two vectors are compared when their labels are equal and not null and their lengths are equal,
     and linked when their cosine in double precision is at least `threshold`. A vector that is null,
     empty, zero or holds null or non-finite components has no link; nor has one with a null key.
     n_links: other rows linked directly; component_id: least key reachable (the row's own without
-    links); kept: key = component_id. A pair is missed only when the smaller id's vector does not
-    probe the home cell of the greater's, `margin` radians (default 0.75 of the link angle) beyond
-    its own. Rows of one key and vector count as copies. An empty table gives no rows.
+    links); kept: key = component_id. Every link is found. Rows of one key and vector count as
+    copies. An empty table gives no rows.
     """
     spark = vectors.sparkSession
-    margin = 0.75 * math.acos(threshold) if margin is None else margin
     rows = vectors.select(F.col(key).alias("id"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("x"))
     good = F.col("x").isNotNull() & F.col("id").isNotNull() & F.col("label").isNotNull() & F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("x", lambda v: v != 0)
     # Components near the ends of the double range would overflow in squares: the vector is scaled.
@@ -106,7 +114,7 @@ def near_duplicate_groups(vectors: DataFrame, threshold: float = 0.93, key: str
         centroids = np.zeros((1, width["w"] if width else 1))
     kind = once.schema["id"].dataType.simpleString()
     shared = spark.sparkContext.broadcast(centroids)
-    cells = checkpoint(once.select(F.struct("id", "copies", "label", "x").alias("id"), "x").mapInArrow(_assigning(shared, margin), f"id {once.select(F.struct('id', 'copies', 'label', 'x')).schema[0].dataType.simpleString()}, cell int, home boolean").select("id.*", "cell", "home", F.size("id.x").alias("w")))
+    cells = checkpoint(once.select(F.struct("id", "copies", "label", "x").alias("id"), "x").mapInArrow(_assigning(shared, threshold), f"id {once.select(F.struct('id', 'copies', 'label', 'x')).schema[0].dataType.simpleString()}, cell int, home boolean").select("id.*", "cell", "home", F.size("id.x").alias("w")))
     # Tiles of a cell: a row goes to every pair of tiles that its own is in.
     sizes = cells.groupBy("label", "w", "cell").agg(F.ceil(F.count("*") / TILE_ROWS).cast("int").alias("tiles"))
     tiled = cells.join(sizes, ["label", "w", "cell"]).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))

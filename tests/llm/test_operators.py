@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomsift.llm import langid
+from loomsift.llm._components import least_labels
 from loomsift.llm.embedding_dedup import near_duplicate_groups
 from loomsift.llm.line_dedup import drop_duplicate_lines, duplicate_lines
 from loomsift.llm.lm_scoring import lm_scores
@@ -373,6 +374,25 @@ def test_embedding_groups(spark, monkeypatch):
     assert near_duplicate_groups(df.where("false")).count() == 0
 
 
+def test_embedding_links_across_cells(spark, monkeypatch):
+    from loomsift.llm import embedding_dedup
+
+    monkeypatch.setattr(embedding_dedup, "CELL_ROWS", 25)
+    rng = np.random.default_rng(6)
+    parts = [rng.normal(size=(80, 16))]
+    for _ in range(10):  # two dense groups each, of cosine 0.94 to each other
+        a, b = np.linalg.qr(rng.normal(size=(16, 2)))[0].T
+        for turn in (0.0, math.acos(0.94)):
+            parts.append(math.cos(turn) * a + math.sin(turn) * b + 0.004 * rng.normal(size=(30, 16)))
+    x = np.concatenate(parts)[rng.permutation(680)]
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    links = unit @ unit.T >= 0.93
+    np.fill_diagonal(links, False)
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
+    got = near_duplicate_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), threshold=0.93).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {i: (int(links[i].sum()), int(c)) for i, c in enumerate(least_labels(links))}
+
+
 @pytest.mark.parametrize("local", [0, 10**6])
 def test_components(spark, monkeypatch, local):
     from loomsift.llm import _components
