@@ -2,7 +2,7 @@
 
 Each pattern is applied to the whole text; `split` and `regexp_extract_all` see the same leftmost
 non-overlapping matches, so the lengths of gaps and matches give their positions. Weak candidates
-are kept only where complementary parts lie within reach in the same text.
+are kept only where complementary parts lie in one section of the text, or within reach.
 """
 
 from __future__ import annotations
@@ -29,11 +29,18 @@ KINDS = (
     ("link_endpoint", ENDPOINT, 0, 8),
 )
 N_BASE = 3
+#: Number of the breaks between sections, which are placed as matches are.
+BREAK = len(KINDS)
 
 
-def _matches(text: str, number: int) -> Column:
+def _break(reach: int) -> tuple:
+    """What ends a section, as a kind: a blank line, or white space of `reach` characters."""
+    return "break", r"\n[\x20\t\r]*\n\s*|\s{%d,}" % max(reach, 1), 0, 1
+
+
+def _matches(text: str, number: int, kind: tuple) -> Column:
     """Matches of one kind: array of (kind, i, gap before, length, holds)."""
-    name, pattern, group, least = KINDS[number]
+    name, pattern, group, least = kind
     p = F.lit(pattern)
     hits = F.regexp_extract_all(text, p, F.lit(0))
     checked = F.regexp_extract_all(text, p, F.lit(group)) if group else hits
@@ -55,12 +62,16 @@ def secret_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", reach
 
     Base kinds: assign, access, hex. Linked kinds: link_id, link_secret, link_endpoint. An identifier
     (access or link_id) and a secret (assign, hex or link_secret) are complementary; link_id and
-    link_secret are kept only with a complementary part within `reach` characters, link_endpoint only
-    with both. Candidates inside an assign, access or hex span are that span, not a part.
+    link_secret are kept only with a complementary part in their section or within `reach` characters,
+    link_endpoint only with both. A section, however long, ends at a blank line or at white space of
+    `reach` characters or more. Candidates inside an assign, access or hex span are that span, not a part.
     Rows alike in key and text give their spans once.
     """
     own = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    found = own.select("key", F.xxhash64("text").alias("hash"), F.flatten(F.array_compact(F.array(*[_matches("text", k) for k in range(len(KINDS))]))).alias("found"))
+    # Sections matter only where there are weak candidates.
+    weak = F.col("text").rlike("|".join(f"(?:{p})" for p in (WEAK_ID, WEAK_SECRET, ENDPOINT)))
+    matches = [*(_matches("text", k, kind) for k, kind in enumerate(KINDS)), F.when(weak, _matches("text", BREAK, _break(reach)))]
+    found = own.select("key", F.xxhash64("text").alias("hash"), F.flatten(F.array_compact(F.array(*matches))).alias("found"))
     # Rows of equal key and text become one: matches are told apart by kind and number.
     rows = found.select("key", "hash", F.explode("found").alias("m")).select("key", "hash", "m.*").distinct()
     running = Window.partitionBy("key", "hash", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -72,14 +83,16 @@ def secret_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", reach
     behind = Window.partitionBy("key", "hash").orderBy(F.col("start").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     # A candidate that a base span covers is dropped before linking.
     covered = placed.withColumn("cover", F.max(F.when(base, F.col("end"))).over(ahead)).where(base | F.coalesce(F.col("cover") < F.col("end"), F.lit(True)))
+    sections = covered.withColumn("section", F.count_if(kind == BREAK).over(ahead)).where(kind != BREAK)
+    within = Window.partitionBy("key", "hash", "section")
     an_id, a_secret = kind.isin(1, 3), kind.isin(0, 2, 4)
 
     def near(part: Column) -> Column:
         left = F.max(F.when(part, F.col("end"))).over(ahead) >= F.col("start") - reach
         right = F.min(F.when(part, F.col("start"))).over(behind) <= F.col("end") + reach
-        return F.coalesce(left, F.lit(False)) | F.coalesce(right, F.lit(False))
+        return F.coalesce(left, F.lit(False)) | F.coalesce(right, F.lit(False)) | (F.count_if(part).over(within) > 0)
 
-    linked = covered.withColumns({"by_id": near(an_id), "by_secret": near(a_secret)})
+    linked = sections.withColumns({"by_id": near(an_id), "by_secret": near(a_secret)})
     kept = linked.where(base | ((kind == 3) & F.col("by_secret")) | ((kind == 4) & F.col("by_id")) | ((kind == 5) & F.col("by_id") & F.col("by_secret")))
     name = F.element_at(F.array(*[F.lit(k[0]) for k in KINDS]), kind + 1)
     return kept.select(F.struct("key", "hash").alias("row_key"), name.alias("kind"), kind.alias("place"), "start", "end")

@@ -236,6 +236,17 @@ def test_secret_links_need_their_parts(spark):
     assert got[3].n_linked == 2 and got[4].n_assign == 0
 
 
+def test_secret_links_follow_sections(spark):
+    lines = "\n".join(f"option_{i} = {i} # a setting of the service" for i in range(12))
+    weak = "Abcdefghijk0123456789LMNOPqrst"
+    whole = f"intro\n\naccount_id = bob77\n{lines}\nkey {weak}\n{lines}\nhttps://a.example.org/x\n"
+    rows = [(1, whole), (2, whole.replace("bob77\n", "bob77\n \t\n")), (3, f"key {weak} " + "x " * 200 + "\n\nuser=bob")]
+    got = {r.doc_id: r for r in scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    spots = [(whole.index("account_id"), 18, "link_id"), (whole.index(weak), len(weak), "link_secret"), (whole.index("https"), 23, "link_endpoint")]
+    assert got[1].spans == ",".join(f"{kind}:{at}:{at + size}" for at, size, kind in spots)
+    assert got[2].n_linked == 0 and got[3].n_linked == 0
+
+
 def jaccard_by_hand(rows, width, num, den):
     sets = {}
     for i, t in rows:
