@@ -530,3 +530,10 @@ def n1_ambiguous_goals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def n6_parse_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").where(F.col("text").isNull() | ~F.contains("text", F.lit("{")))
     return actions.parse_actions(rows.select("conv_id", "turn", "text")).select("conv_id", "turn", "action.code")
+
+
+@query()
+def n6_parse_all_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation row, those with JSON too, which SQL can't parse alike."""
+    rows = table(spark, sf_dir, "conversations")
+    return actions.parse_actions(rows.select("conv_id", "turn", "text")).select("conv_id", "turn", "action.code")

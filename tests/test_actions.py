@@ -52,3 +52,23 @@ def test_fixtures(spark, tmp_path):
     nodes = spark.createDataFrame([(1, 0, "html"), (1, 1, "p")], "page_id long, node_ord int, path string")
     got = {r.path: r.rect for r in fixtures.stamp_rects(nodes, spark.createDataFrame([(1, 1, 0.5, 1.0, 2.2, 3.0)], "page_id long, node_ord int, x double, y double, width double, height double")).collect()}
     assert got == {"html": None, "p": "0,1,3,3"} and math.isclose(1, 1)
+
+
+def test_all_conversations_are_parsed(spark, tmp_path):
+    from loomsift.plans import catalog
+
+    texts = [
+        (None, "empty-input"),
+        (" ", "empty-input"),
+        ("no braces", "no-json-found"),
+        ('so {"type": "click", "ref": "e1"} it is', "ok"),
+        ('{"type": "click"}', "missing-field"),
+        ('{"type": "fly"}', "unknown-type"),
+        ("{not json}", "malformed-json"),
+        ('{"type": "done", "summary": "a"} {"type": "wait"}', "multiple-actions"),
+        ('{"type": "wait", "ms": 1e9}', "out-of-range"),
+    ]
+    rows = [(k, k % 2, t) for k, (t, _) in enumerate(texts)]
+    spark.createDataFrame(rows, "conv_id long, turn int, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = catalog.QUERIES["n6_parse_all_actions"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [(k, k % 2, code) for k, (_, code) in enumerate(texts)]
