@@ -44,7 +44,11 @@ def _bisect(reaches, low: float = 0.0, high: float = 1.0) -> float:
 
 
 def exponent(shares: DataFrame, repetition_limit: float | None, target_entropy: float | None) -> float:
-    """The exponent for shares (column p, over 0): both conditions hold at the greater of their exponents."""
+    """The exponent for shares (column p, over 0): both conditions hold at the greater of their exponents.
+
+    It is over 1 where the target entropy is below that of the shares. An entropy that no exponent
+    reaches, below the logarithm of the number of greatest shares, is an error.
+    """
     least, most = shares.agg(F.min("p"), F.max("p")).first()
     if least is None:
         return 1.0
@@ -54,11 +58,18 @@ def exponent(shares: DataFrame, repetition_limit: float | None, target_entropy:
         room = math.log(max(repetition_limit, 1.0))
         found.append(_bisect(lambda xs: [(1 - x) * math.log(most / least) <= room + 1e-12 for x in xs]))
     if target_entropy is not None:
+        # By the greatest share, so that the sums are at least 1 at any exponent.
+        p = F.col("p") / F.lit(most)
+
         def low_enough(xs: list[float]) -> list[bool]:
-            got = shares.agg(*[c for x in xs for c in (F.sum(F.pow("p", F.lit(x))), F.sum(F.pow("p", F.lit(x)) * F.log("p")))]).first()
+            got = shares.agg(*[c for x in xs for c in (F.sum(F.pow(p, F.lit(x))), F.sum(F.pow(p, F.lit(x)) * F.log(p)))]).first()
             return [math.log(got[2 * i]) - x * got[2 * i + 1] / got[2 * i] <= target_entropy for i, x in enumerate(xs)]
 
-        found.append(_bisect(low_enough))
+        ends = [2.0**k for k in range(0, 61, 4)]
+        high = next((x for x, ok in zip(ends, low_enough(ends)) if ok), None)
+        if high is None:
+            raise ValueError(f"no exponent gives an entropy of at most {target_entropy}")
+        found.append(_bisect(low_enough, high=high))
     return max(found)
 
 

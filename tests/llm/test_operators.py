@@ -344,6 +344,18 @@ def test_mixing_meets_an_entropy(spark):
     assert abs(-(w * np.log(w)).sum() - 1.0) < 1e-6
 
 
+def test_mixing_meets_a_low_entropy(spark):
+    from loomsift.llm.mixing import exponent
+
+    shares = spark.createDataFrame([(0.7,), (0.2,), (0.1,)], "p double")
+    for target in (0.5, 0.01):
+        w = np.array([0.7, 0.2, 0.1]) ** exponent(shares, None, target)
+        w /= w.sum()
+        assert abs(-(w * np.log(w)).sum() - target) < 1e-6
+    with pytest.raises(ValueError):
+        exponent(spark.createDataFrame([(0.4,), (0.4,), (0.2,)], "p double"), None, 0.5)
+
+
 def vectors(spark):
     rng = np.random.default_rng(2)
     rows = [(i, [float(x) for x in rng.normal(size=8)], i % 2) for i in range(120)]
