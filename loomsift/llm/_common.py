@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 import numpy as np
@@ -24,11 +25,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: the one that spark.checkpoint.dir names.
 
-    Only where that setting is absent (a local test) is a temporary folder taken.
+    Only a local session, whose executors are this machine, takes a temporary folder where that
+    setting is absent; on a cluster its absence is an error.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="loomsift-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="loomsift-")
+        sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
 
@@ -38,6 +45,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, or with underscores behind it as long as a column of `df` has it; case doesn't count."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def n_splits(df: DataFrame) -> int:
     """Input splits of a frame: a size measure that needs no job and follows the data."""
     return max(1, df.rdd.getNumPartitions())
@@ -57,24 +72,42 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+_ODD = 0x9E3779B97F4A7C15
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 #: A 64-bit value per (lower-cased) byte.
-_BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))[_LOWER]
+_BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(_ODD))[_LOWER]
 #: Multipliers that place a word in a shingle; the last marks the number of words.
-_PLACE = mix64(np.arange(1001, 1065, dtype=np.uint64) * np.uint64(_INVERSE)) | np.uint64(1)
-_powers: list[np.ndarray] = []
+_PLACE = mix64(np.arange(1001, 1065, dtype=np.uint64) * np.uint64(0xF1DE83E19937733D)) | np.uint64(1)
+#: Multipliers of the first places of a word; those of later places are computed when needed.
+_FIRST = 1 << 12
+
+
+def places(first: int, last: int) -> np.ndarray:
+    """Odd multipliers, without a rule that a text could follow, of the places first to last - 1."""
+    return mix64(mix64(np.arange(first + 1, last + 1, dtype=np.uint64) * np.uint64(_ODD)) + np.uint64(0x2545F4914F6CDD1D)) | np.uint64(1)
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, 2 * CHUNK_BYTES)
-        _powers[:] = [np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)])) for b in (_BASE, _INVERSE)]
-    return _powers[0], _powers[1]
+_AT = places(0, _FIRST)
+
+
+def range_sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Per range the sum of its values, each times the multiplier of its place; equal ranges give equal sums anywhere.
+
+    Ranges are in order, apart and not empty.
+    """
+    if not len(starts):
+        return np.empty(0, np.uint64)
+    most = int((ends - starts).max())
+    factor = _AT if most <= _FIRST else np.concatenate([_AT, places(_FIRST, most)])
+    own, low = starts.astype(np.int32), int(starts[0])
+    place = np.arange(low, len(values), dtype=np.int32) - np.repeat(own, np.diff(own, append=np.int32(len(values))))
+    total = np.zeros(len(values) + 1, np.uint64)
+    # What lies between ranges cancels out.
+    np.cumsum(values[low:] * np.take(factor, place, mode="clip"), out=total[low + 1 :])
+    return total[ends] - total[starts]
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -116,11 +149,8 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte ranges with A-Z lower-cased; equal bytes give equal hashes anywhere."""
-    powers, inverse = _power_tables(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * powers[: len(data)], out=total[1:])
-    return mix64((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    """64-bit hashes of byte ranges (in order, apart) with A-Z lower-cased; equal bytes give equal hashes anywhere."""
+    return mix64(range_sums(_BYTE[data], starts, ends) + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import mix64
+from ._common import mix64, range_sums
 
 UNDETERMINED = "und"
 START, END = 1, 2
@@ -40,16 +40,6 @@ def _letters() -> tuple[np.ndarray, np.ndarray]:
 
 
 _PLACE = mix64(np.arange(1, 17, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: list[np.ndarray] = []
-
-
-def _power_tables(n: int) -> list[np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, 2 * BLOCK_LETTERS)
-        _powers[:] = [np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)])) for b in (_BASE, _INVERSE)]
-    return _powers
 
 
 def words_of(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -200,10 +190,7 @@ class Scorer:
         codes, starts, ends = words_of("\n".join(texts))
         if not len(starts):
             return
-        powers, inverse = _power_tables(len(codes) + 1)
-        total = np.zeros(len(codes) + 1, np.uint64)
-        np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * powers[: len(codes)], out=total[1:])
-        hashes = mix64((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        hashes = mix64(range_sums(mix64(codes + np.uint64(1)), starts, ends) + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
         unique, first, of = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.keys) > CACHE_WORDS:
             self.forget()
@@ -295,20 +282,22 @@ def calibrate(model: Model, held: pd.DataFrame) -> Model:
     return model
 
 
-def identify(docs: DataFrame, model: Model | None, text: str = "text", tolerance: float = 12.0) -> DataFrame:
-    """All columns of `docs` and a struct column `lang_id` of lang_pred, score, bits, rejected.
+def identify(docs: DataFrame, model: Model | None, text: str = "text", tolerance: float = 12.0, name: str = "lang_id") -> DataFrame:
+    """All columns of `docs` and a struct column `name` of lang_pred, score, bits, rejected.
 
     lang_pred is the language of the lowest cross-entropy a letter (ties: first by name). It is `und`
     with score 0 if the text is null or has no letter, or if nothing was learned. score is the
     calibrated share of the winner among the languages. A text is rejected if it is `und`, or if its
     cross-entropy exceeds the language's usual one by `tolerance` spreads for its length.
-    Repeated rows and an empty table need no care; no column but `text` is read by the method.
+    Repeated rows are each identified, an empty table gives no rows, and no column but `text` is read.
+    A column of `docs` that is called `name` gives way.
     """
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text], F.lit(0).alias("_")).alias("key"), F.col(text).alias("text"))
-    back = [F.col("text").alias(c) if c == text else F.col(f"key.`{c}`").alias(c) for c in docs.columns]
+    passed = [c for c in docs.columns if c != text]
+    rows = docs.select(F.struct(F.lit(0).alias("none"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(passed)]).alias("key"), F.col(text).alias("text"))
+    back = [F.col("text").alias(c) if c == text else F.col(f"key.c{passed.index(c)}").alias(c) for c in docs.columns if c.lower() != name.lower()]
     if model is None:
         nothing = F.struct(F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("bits"), F.lit(True).alias("rejected"))
-        return rows.select(*back, nothing.alias("lang_id"))
+        return rows.select(*back, nothing.alias(name))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,4 +321,4 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", tolerance
 
     kind = rows.schema["key"].dataType.simpleString()
     out = rows.mapInArrow(run, f"key {kind}, text string, lang_pred string, score double, bits double, rejected boolean")
-    return out.select(*back, F.struct("lang_pred", "score", "bits", "rejected").alias("lang_id"))
+    return out.select(*back, F.struct("lang_pred", "score", "bits", "rejected").alias(name))

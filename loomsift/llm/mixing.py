@@ -73,25 +73,28 @@ def exponent(shares: DataFrame, repetition_limit: float | None, target_entropy:
     return max(found)
 
 
-def mixture(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", repetition_limit: float | None = 2.0, target_entropy: float | None = None, budget_tokens: int | None = None, block_tokens: int = 20_000, seed: int = 1) -> DataFrame:
-    """The rows of `docs`, each as often as its source's weight asks: all its columns and `mix`.
+def mixture(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", repetition_limit: float | None = 2.0, target_entropy: float | None = None, budget_tokens: int | None = None, block_tokens: int = 20_000, seed: int = 1, most_blocks: int = MOST_BLOCKS, name: str = "mix") -> DataFrame:
+    """The rows of `docs`, each as often as its source's weight asks: all its columns and the struct `name`.
 
-    mix: epoch (from 0), block, position (of the block in its epoch's permutation, from 1), n_tokens
+    Its fields: epoch (from 0), block, position (of the block in its epoch's permutation, from 1), n_tokens
     (words). Without `budget_tokens` the budget is the least that uses every row at least once; so
     nothing is lost, and the source of the greatest share is used once. A source's last pass stops
     at the block that comes nearest to its budget. A null source is the source of the empty name.
     Rows without words take no budget and come once, with block and position 0. An empty table
     gives no rows. The order of rows of one key is that of their texts' blocks, so copies stay together.
+    A block holds about `block_tokens`, or more where a source would have over `most_blocks`: a power
+    of two that bounds the task that orders a source's blocks. A column of `docs` that is called
+    `name` gives way.
     """
-    name = F.coalesce(F.col(source), F.lit(""))
+    of_source = F.coalesce(F.col(source), F.lit(""))
     # A number below 2**32 for each row; its low bits are the fine part of its source, and lower ones its block.
-    drawn = dealt(F.lit("block"), F.lit(seed), name, F.coalesce(F.col(key).cast("string"), F.lit("")))
-    placed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.struct(name.alias("name"), F.pmod(drawn, F.lit(MOST_BLOCKS)).alias("part"), token_count(text).alias("n_tokens")).alias("mix"))
-    # The one pass that counts: what follows up to the last join works on these sums, MOST_BLOCKS a source at most.
+    drawn = dealt(F.lit("block"), F.lit(seed), of_source, F.coalesce(F.col(key).cast("string"), F.lit("")))
+    placed = docs.select(F.struct(*[docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row"), F.struct(of_source.alias("name"), F.pmod(drawn, F.lit(most_blocks)).alias("part"), token_count(text).alias("n_tokens")).alias("mix"))
+    # The one pass that counts: what follows up to the last join works on these sums, `most_blocks` a source at most.
     sizes = checkpoint(placed.groupBy(F.col("mix.name").alias("name"), F.col("mix.part").alias("part")).agg(F.sum("mix.n_tokens").alias("n"))).where("n > 0")
     totals = sizes.groupBy("name").agg(F.sum("n").alias("tokens"))
     # A power of two, so that fine parts add up to blocks.
-    wanted = F.least(F.lit(MOST_BLOCKS), F.greatest(F.lit(1), F.ceil(F.col("tokens") / block_tokens)))
+    wanted = F.least(F.lit(most_blocks), F.greatest(F.lit(1), F.ceil(F.col("tokens") / block_tokens)))
     totals = totals.withColumn("blocks", F.pow(F.lit(2.0), F.ceil(F.log2(wanted.cast("double")))).cast("long"))
     every = totals.agg(F.sum("tokens")).first()[0] or 0
     shares = totals.withColumn("p", F.col("tokens") / F.lit(float(every or 1)))
@@ -112,9 +115,9 @@ def mixture(docs: DataFrame, key: str = "doc_id", source: str = "source", text:
     by_block = chosen.groupBy("name", "block", "blocks").agg(F.array_sort(F.collect_list(F.struct("epoch", "position"))).alias("passes"))
     parts = sizes.join(plan.select("name", "blocks"), "name").select("name", "part", F.pmod("part", "blocks").alias("block"))
     by_part = parts.join(by_block, ["name", "block"]).select(F.col("name").alias("_name"), F.col("part").alias("_part"), F.col("block").alias("_block"), "passes")
-    # At most MOST_BLOCKS rows a source: sent to every executor for so few sources that this is under 64 MB.
+    # At most `most_blocks` rows a source: sent to every executor for so few sources that this is under 64 MB.
     passes_bytes = 16 * (2 + math.ceil(repetition_limit or 1) if budget_tokens is None and repetition_limit else 1 << 20)
-    if sources * MOST_BLOCKS * (64 + passes_bytes) <= 64 << 20:
+    if sources * most_blocks * (64 + passes_bytes) <= 64 << 20:
         by_part = F.broadcast(by_part)
     met = placed.join(by_part, (placed["mix.name"] == by_part["_name"]) & (placed["mix.part"] == by_part["_part"]), "left")
     zero = F.lit(0).cast("long")
@@ -122,4 +125,5 @@ def mixture(docs: DataFrame, key: str = "doc_id", source: str = "source", text:
     silent = F.col("mix.n_tokens") == 0
     passes = F.when(silent, once).otherwise(F.col("passes"))
     spread = met.select("row", "mix", F.when(silent, zero).otherwise(F.col("_block")).alias("_block"), F.explode(passes).alias("_pass"))
-    return spread.select("row.*", F.struct(F.col("_pass.epoch").alias("epoch"), F.col("_block").alias("block"), F.col("_pass.position").alias("position"), F.col("mix.n_tokens").alias("n_tokens")).alias("mix"))
+    kept = [F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns) if c.lower() != name.lower()]
+    return spread.select(*kept, F.struct(F.col("_pass.epoch").alias("epoch"), F.col("_block").alias("block"), F.col("_pass.position").alias("position"), F.col("mix.n_tokens").alias("n_tokens")).alias(name))
