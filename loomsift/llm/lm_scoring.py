@@ -1,37 +1,48 @@
 """LM scoring with a weighted back-off automaton over words.
 
-States are word histories (the empty one, words, word pairs, ...); an arc (state, word) is kept when
-its n-gram occurs at least `min_count` times, and every state has a failure arc to its longest proper
-suffix. Arcs and states grow with the corpus, so they stay distributed: each block of documents asks
-for its own distinct n-grams, parts of the n-grams add up what all blocks ask, and the answers go
-back in the order of the asking. An n-gram of two words or more is in the part of its first two
-words, so that the arcs of these states are together; the arcs of one word are summed over parts.
+States are word histories (the empty one, words, word pairs); an arc (state, word) is kept when its
+n-gram occurs at least `min_count` times, and every state has a failure arc to its longest proper
+suffix. Counts grow with the corpus, so they stay distributed:
+
+1. Texts become blocks of token numbers, written once, bucketed by block.
+2. Every word gets a number and its count from its part of the vocabulary.
+3. A block asks for its own distinct n-grams, as word numbers; parts of the n-grams add up what all
+   blocks ask and reply in the order of the asking. A word's n-grams are in one part, or dealt over
+   as many as its count needs.
+4. A block builds the automaton of its own n-grams, whose weights are those of the whole, and
+   traverses its texts from left to right.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import os
+import uuid
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import CHUNK_BYTES, WORD, checkpoint, chunks, mix64, n_splits, text_buffers, word_hashes
+from ._common import checkpoint, chunks, mix64, n_splits, shared_folder, text_buffers, word_hashes
 
 #: The token that ends every text.
 END = int(mix64(np.array([77], np.uint64))[0])
 #: Taken from the count of every kept arc.
 DISCOUNT = 0.75
-#: Places a history in the hash of an n-gram.
-_HISTORY = np.uint64(0x9E3779B97F4A7C15)
-_REPLY, _ASK, _SUMS = 0, 1, 2
+#: Tokens of a block, about; a task holds some 100 bytes a token.
+BLOCK_TOKENS = 2_000_000
+#: Tokens of a long text that are traversed in one go; the next ones start from the state they lead to.
+SEGMENT = 1024
+_WORDS, _GRAMS = 0, 1
 
 
 def tokens(column: pa.Array):
     """Per chunk of whole texts: first row, token hashes with the end tokens, first token of each row (rows + 1)."""
     data, offsets = text_buffers(column)
-    for i, j in chunks(offsets, CHUNK_BYTES):
+    for i, j in chunks(offsets):
         words, first = word_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
         starts = first + np.arange(len(first))
         out = np.empty(len(words) + len(first) - 1, np.uint64)
@@ -59,7 +70,24 @@ def _unpack(data: bytes) -> list[np.ndarray]:
 
 def _steps(keys: np.ndarray) -> np.ndarray:
     """Sorted keys as differences, which pack better; `np.cumsum` gives them back."""
-    return np.diff(keys, prepend=np.uint64(0))
+    return np.diff(keys, prepend=keys.dtype.type(0))
+
+
+def _group_steps(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Values that rise within groups of these sizes, as differences from the one before in the group."""
+    out = values.copy()
+    out[1:] -= values[:-1]
+    first = (np.cumsum(sizes) - sizes)[sizes > 0]
+    out[first] = values[first]
+    return out
+
+
+def _group_values(steps: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The values of `_group_steps`."""
+    total = np.cumsum(steps)
+    first = np.cumsum(sizes) - sizes
+    before = np.where(first > 0, total[np.maximum(first, 1) - 1], 0) if len(total) else first
+    return total - np.repeat(before, sizes)
 
 
 def _part(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -67,60 +95,11 @@ def _part(keys: np.ndarray, parts: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
-@dataclass
-class Grams:
-    """The n-grams of a block of texts (index m = 1..order), in an order that follows from their set.
-
-    keys: distinct hashes, sorted (from 3 words on by history first); history: number of the first
-    m - 1 words among those of order m - 1; at: number of the m-gram that ends at each token (-1 where
-    the text starts later); n: occurrences in training texts.
-    """
-
-    starts: np.ndarray
-    keys: list[np.ndarray] = field(default_factory=lambda: [np.empty(0, np.uint64)])
-    history: list[np.ndarray] = field(default_factory=lambda: [np.empty(0, np.int64)])
-    at: list[np.ndarray] = field(default_factory=lambda: [np.empty(0, np.int64)])
-    n: list[np.ndarray] = field(default_factory=lambda: [np.empty(0, np.int64)])
-
-
-def grams(column: pa.ChunkedArray, train: np.ndarray, order: int) -> Grams:
-    parts, starts, size = [], [np.zeros(1, np.int64)], 0
-    for _, toks, first in tokens(column):
-        parts.append(toks)
-        starts.append(first[1:] + size)
-        size += len(toks)
-    toks, out = np.concatenate(parts), Grams(np.concatenate(starts))
-    length = np.diff(out.starts)
-    place = np.arange(size) - np.repeat(out.starts[:-1], length)
-    counted = np.repeat(train, length)
-    for m in range(1, order + 1):
-        where = np.flatnonzero(place >= m - 1)
-        history = out.at[m - 1][where - 1] if m > 1 else None
-        key = mix64(out.keys[m - 1][history] * _HISTORY + toks[where]) if m > 1 else toks
-        keys, first, of = np.unique(key, return_index=True, return_inverse=True)
-        of = of.reshape(-1)
-        own = history[first] if m > 1 else np.zeros(len(keys), np.int64)
-        if m > 2:
-            order_ = np.argsort(own, kind="stable")
-            rank = np.empty(len(keys), np.int64)
-            rank[order_] = np.arange(len(keys))
-            keys, own, of = keys[order_], own[order_], rank[of]
-        at = np.full(size, -1)
-        at[where] = of
-        out.keys.append(keys)
-        out.history.append(own)
-        out.at.append(at)
-        out.n.append(np.bincount(of[counted[where]], minlength=len(keys)).astype(np.int64))
-    return out
+def _split(x: np.ndarray, sizes: list[int]) -> list[np.ndarray]:
+    return np.split(x, np.cumsum(sizes)[:-1])
 
 
-def _bounds(g: Grams, parts: int) -> list[np.ndarray]:
-    """Per order the first n-gram of each part (parts + 1)."""
-    edges = np.arange(parts + 1)
-    out = [edges, *(np.searchsorted(_part(k, parts), edges) for k in g.keys[1:3])]
-    for history in g.history[3:]:
-        out.append(np.searchsorted(history, out[-1]))
-    return out
+_ROWS = "kind int, block bigint, part bigint, data binary"
 
 
 def _rows(rows: list[tuple]) -> pa.Table:
@@ -129,166 +108,341 @@ def _rows(rows: list[tuple]) -> pa.Table:
     return pa.table({"kind": pa.array(kind, pa.int32()), "block": pa.array(block, pa.int64()), "part": pa.array(part, pa.int64()), "data": pa.array(data, pa.binary())})
 
 
-_ROWS = "kind int, block bigint, part bigint, data binary"
+def _blocks(block_tokens: int):
+    """(key, train, text) to a row per block: keys, train, its texts as token numbers, its words with their training counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 24
+        held: list[tuple] = []
+        size = 0
 
+        def block() -> pa.RecordBatch:
+            length = np.concatenate([h[3] for h in held])
+            train = pa.chunked_array([h[1] for h in held]).combine_chunks()
+            words, of, every = np.unique(np.concatenate([h[2] for h in held]), return_inverse=True, return_counts=True)
+            of = of.reshape(-1)
+            n = np.bincount(of[np.repeat(train.to_numpy(zero_copy_only=False), length)], minlength=len(words)).astype(np.int64)
+            # Frequent words get small numbers, which pack better.
+            rank = np.empty(len(words), np.int64)
+            rank[np.argsort(-every, kind="stable")] = np.arange(len(words))
+            keys = pa.chunked_array([h[0] for h in held]).combine_chunks()
+            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+            data = _pack([length, every.astype(np.int64), rank[of]])
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), one(keys), one(train), pa.array([data], pa.binary()), pa.array([_pack([_steps(words), n])], pa.binary())], names=["block", "keys", "train", "data", "words"])
+
+        for batch in batches:
+            for i, toks, first in tokens(batch.column(2)):
+                rows = len(first) - 1
+                held.append((batch.column(0).slice(i, rows), batch.column(1).slice(i, rows), toks, np.diff(first)))
+                size += len(toks)
+                if size >= block_tokens:
+                    yield block()
+                    held, size, number = [], 0, number + 1
+        if held:
+            yield block()
+
+    return run
+
+
+def _asking_words(parts: int):
+    """(block, words) to a row per part that a block has words in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words, n = _unpack(data)
+                words = np.cumsum(words.view(np.uint64))
+                edges = np.searchsorted(_part(words, parts), np.arange(parts + 1)).tolist()
+                rows = [(_WORDS, block, p, _pack([_steps(words[i:j]), n[i:j]])) for p, (i, j) in enumerate(zip(edges[:-1], edges[1:])) if j > i]
+                yield from _rows(rows).to_batches()
+
+    return run
+
+
+def _answering_words(parts: int, share: int):
+    """Per asked word: its number, its count, and the parts that its n-grams are dealt over. A row without block has the totals."""
+
+    def answer(asked: pa.Table) -> pa.Table:
+        part, blocks = asked.column("part")[0].as_py(), asked.column("block").to_pylist()
+        asks = [_unpack(x) for x in asked.column("data").to_pylist()]
+        keys, of = np.unique(np.concatenate([np.cumsum(a[0].view(np.uint64)) for a in asks]), return_inverse=True)
+        of = of.reshape(-1)
+        c = np.bincount(of, np.concatenate([a[1] for a in asks]), len(keys)).astype(np.int64)
+        number = np.empty(len(keys), np.int64)
+        number[np.argsort(-c, kind="stable")] = np.arange(len(keys)) * parts + part
+        spread = np.clip(-(-c // share), 1, parts)
+        split = [_split(x[of], [len(a[0]) for a in asks]) for x in (number, c, spread)]
+        rows = [(_WORDS, block, part, _pack([s[i] for s in split])) for i, block in enumerate(blocks)]
+        return _rows([*rows, (_WORDS, None, part, _pack([np.array([c.sum(), (c > 0).sum(), (c == 1).sum(), (c == 2).sum()])]))])
+
+    return answer
 
-def _asking(order: int, parts: int):
-    """One row per part that a block has n-grams in: the unigrams of the part, and its longer n-grams."""
 
-    def ask(texts: pa.Table) -> pa.Table:
-        block = texts.column("block")[0].as_py()
-        g = grams(texts.column("text"), texts.column("train").to_numpy(), order)
-        bounds, rows = _bounds(g, parts), []
+@dataclass
+class Block:
+    """The texts of a block and their n-grams; words are numbered by their hashes.
+
+    length: tokens of each text; text: its tokens' words; number, count, spread: of each word, over all
+    blocks. Of pairs and triples (distinct, in the order in which a block asks): `pair` and `triple`
+    at the token where they end (-1 near the start of a text), their words, and occurrences in training.
+    asked: per part the words that open its pairs, how many pairs each has, and how many triples each pair has.
+    """
+
+    length: np.ndarray
+    text: np.ndarray
+    number: np.ndarray
+    count: np.ndarray
+    pair: np.ndarray
+    pairs: np.ndarray
+    pair_n: np.ndarray
+    triple: np.ndarray
+    triples: np.ndarray
+    triple_n: np.ndarray
+    asked: list[tuple[np.ndarray, np.ndarray]]
+    pair_cuts: np.ndarray
+    triple_cuts: np.ndarray
+
+    @classmethod
+    def read(cls, data: bytes, train: np.ndarray, replies: list[tuple[int, bytes]], parts: int) -> Block:
+        length, every, rank = _unpack(data)
+        text = np.argsort(-every, kind="stable")[rank]
+        number, count, spread = (np.concatenate(x) for x in zip(*(_unpack(d) for _, d in sorted(replies))))
+        width, trained = len(number), np.repeat(train, length)
+        place = np.arange(len(text)) - np.repeat(np.cumsum(length) - length, length)
+
+        at = np.flatnonzero(place >= 1)
+        code, of = np.unique(text[at - 1] * width + text[at], return_inverse=True)
+        w1, w2 = np.divmod(code, width)
+        salt = number[w2] % spread[w1]
+        part = _deal(number[w1], salt, parts)
+        order = np.lexsort((number[w2], number[w1], part))
+        rank = np.empty(len(code), np.int64)
+        rank[order] = np.arange(len(code))
+        pair = np.full(len(text), -1)
+        pair[at] = rank[of.reshape(-1)]
+        pairs, part = np.stack([w1, w2])[:, order], part[order]
+        pair_n = np.bincount(pair[at][trained[at]], minlength=len(code)).astype(np.int64)
+
+        at = np.flatnonzero(place >= 2)
+        # Words by number, so that triples are in the order of the numbers.
+        by_number = np.argsort(number)
+        rank = np.empty(width, np.int64)
+        rank[by_number] = np.arange(width)
+        code, first, of = np.unique(pair[at - 1] * width + rank[text[at]], return_index=True, return_inverse=True)
+        triple = np.full(len(text), -1)
+        triple[at] = of.reshape(-1)
+        # Opening pair, last word, and closing pair.
+        triples = np.stack([code // width, by_number[code % width], pair[at][first]])
+        triple_n = np.bincount(triple[at][trained[at]], minlength=len(code)).astype(np.int64)
+
+        pair_cuts = np.searchsorted(part, np.arange(parts + 1))
+        triple_cuts = np.searchsorted(triples[0], pair_cuts)
+        # Frequent words ask every part that has pairs of theirs, so that they learn their sums.
+        hot = np.unique(w1[spread[w1] > 1])
+        extra = [np.repeat(hot, spread[hot]), np.concatenate([np.arange(s) for s in spread[hot].tolist()] or [np.empty(0, np.int64)])]
+        extra_part = _deal(number[extra[0]], extra[1], parts)
+        asked = []
+        by_part = np.argsort(extra_part, kind="stable")
+        extra_cuts = np.searchsorted(extra_part[by_part], np.arange(parts + 1))
         for p in range(parts):
-            lo, hi = [int(b[p]) for b in bounds], [int(b[p + 1]) for b in bounds]
-            if hi[1] > lo[1]:
-                rows.append((_ASK, block, p, _pack([_steps(g.keys[1][lo[1] : hi[1]]), g.n[1][lo[1] : hi[1]]])))
-            if order > 1 and hi[2] > lo[2]:
-                arrays = [g.keys[1][g.history[2][lo[2] : hi[2]]], _steps(g.keys[2][lo[2] : hi[2]]), g.n[2][lo[2] : hi[2]]]
-                for m in range(3, order + 1):
-                    # Histories as the number of n-grams that each has.
-                    arrays += [np.bincount(g.history[m][lo[m] : hi[m]] - lo[m - 1], minlength=hi[m - 1] - lo[m - 1]), g.keys[m][lo[m] : hi[m]], g.n[m][lo[m] : hi[m]]]
-                rows.append((_REPLY, block, p, _pack(arrays)))
-        return _rows(rows)
+            own = pairs[0][pair_cuts[p] : pair_cuts[p + 1]]
+            opens = np.concatenate([own, extra[0][by_part[extra_cuts[p] : extra_cuts[p + 1]]]])
+            numbers, first, of = np.unique(number[opens], return_index=True, return_inverse=True)
+            asked.append((opens[first], np.bincount(of.reshape(-1)[: len(own)], minlength=len(numbers)).astype(np.int64)))
+        return cls(length, text, number, count, pair, pairs, pair_n, triple, triples, triple_n, asked, pair_cuts, triple_cuts)
 
-    return ask
 
+def _deal(number: np.ndarray, salt: np.ndarray, parts: int) -> np.ndarray:
+    return (mix64(number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + salt.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
 
-def _split(x: np.ndarray, sizes: list[int]) -> list[np.ndarray]:
-    return np.split(x, np.cumsum(sizes)[:-1])
 
+def _read(texts: pa.Table, replies: pa.Table, parts: int) -> Block:
+    rows = zip(*(replies.column(c).to_pylist() for c in ("kind", "part", "data")))
+    return Block.read(texts.column("data")[0].as_py(), texts.column("train")[0].values.to_numpy(zero_copy_only=False), [(p, d) for k, p, d in rows if k == _WORDS], parts)
 
-def _answering(order: int, parts: int, least: int):
-    """Replies to the n-grams of a part from two words on, the kept arcs of single words summed by word, and the unigrams passed on."""
 
-    def answer(asked: pa.Table) -> pa.Table:
-        part, rows, blocks, asks = asked.column("part")[0].as_py(), [], [], []
-        for kind, block, data in zip(*(asked.column(c).to_pylist() for c in ("kind", "block", "data"))):
-            if kind == _ASK:
-                rows.append((_ASK, block, part, data))
-            else:
-                blocks.append(block)
-                asks.append(_unpack(data))
-        if not asks:
-            return _rows(rows)
-        keys, first, of = np.unique(np.concatenate([np.cumsum(a[1].view(np.uint64)) for a in asks]), return_index=True, return_inverse=True)
-        of, word = of.reshape(-1), np.concatenate([a[0] for a in asks])[first]
-        sizes, ofs = [[len(a[1]) for a in asks]], [of]
-        counts = [np.bincount(of, np.concatenate([a[2] for a in asks]), len(keys)).astype(np.int64)]
-        sums = []
-        for m in range(3, order + 1):
-            j = 3 * (m - 2)
-            history = np.repeat(ofs[-1], np.concatenate([a[j] for a in asks]))
-            keys, first, of = np.unique(np.concatenate([a[j + 1] for a in asks]), return_index=True, return_inverse=True)
-            of = of.reshape(-1)
-            c = np.bincount(of, np.concatenate([a[j + 2] for a in asks]), len(keys)).astype(np.int64)
-            kept, own = c >= least, history[first]
-            sums.append([np.bincount(own[kept], x, len(counts[-1])).astype(np.int64) for x in (c[kept], None)])
-            sizes.append([len(a[j + 1]) for a in asks])
-            ofs.append(of)
-            counts.append(c)
-        replies: list[list[np.ndarray]] = [[] for _ in asks]
-        none = np.empty(0, np.int64)
-        for k, (of, c) in enumerate(zip(ofs, counts)):
-            kept = c >= least
-            # A state that isn't kept has no arcs.
-            values = [np.where(kept, x, 0)[of] for x in (c, *(sums[k] if k < len(sums) else ()))]
-            split = [_split(x, sizes[k]) for x in values]
-            for i, reply in enumerate(replies):
-                reply += [s[i] for s in split] + [none] * (3 - len(split))
-        rows += [(_REPLY, block, part, _pack(reply)) for block, reply in zip(blocks, replies)]
-        kept = counts[0] >= least
-        words, of = np.unique(word[kept].view(np.uint64), return_inverse=True)
-        of = of.reshape(-1)
-        total, arcs = (np.bincount(of, x, len(words)).astype(np.int64) for x in (counts[0][kept], None))
-        edges = np.searchsorted(_part(words, parts), np.arange(parts + 1))
-        rows += [(_SUMS, part, p, _pack([_steps(words[i:j]), total[i:j], arcs[i:j]])) for p, (i, j) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())) if j > i]
+def _asking(parts: int):
+    """One row per part that a block has pairs in."""
+
+    def ask(texts: pa.Table, replies: pa.Table) -> pa.Table:
+        if not texts.num_rows:
+            return _rows([])
+        b, rows, block = _read(texts, replies, parts), [], texts.column("block")[0].as_py()
+        triples_of = np.bincount(b.triples[0], minlength=len(b.pair_n))
+        for p, (opens, pairs_of) in enumerate(b.asked):
+            if not len(opens):
+                continue
+            i, j, k, m = *b.pair_cuts[p : p + 2], *b.triple_cuts[p : p + 2]
+            second, third = _group_steps(b.number[b.pairs[1][i:j]], pairs_of), _group_steps(b.number[b.triples[1][k:m]], triples_of[i:j])
+            rows.append((_GRAMS, block, p, _pack([_steps(b.number[opens]), pairs_of, second, b.pair_n[i:j], triples_of[i:j], third, b.triple_n[k:m]])))
         return _rows(rows)
 
+    return ask
+
+
+def _answering(least: int):
+    """Replies to the n-grams of a part: of each opening word and pair, the kept arcs' sum of counts and number; of each pair and triple, its count if kept, or 0."""
+
+    def answer(asked: pa.Table) -> pa.Table:
+        part, blocks = asked.column("part")[0].as_py(), asked.column("block").to_pylist()
+        asks = [_unpack(x) for x in asked.column("data").to_pylist()]
+        column = lambda k: np.concatenate([a[k] for a in asks])
+        opens, of1 = np.unique(np.concatenate([np.cumsum(a[0]) for a in asks]), return_inverse=True)
+        second = np.concatenate([_group_values(a[2], a[1]) for a in asks])
+        third = np.concatenate([_group_values(a[5], a[4]) for a in asks])
+        wide2, wide3 = int(second.max(initial=0)) + 1, int(third.max(initial=0)) + 1
+        pairs, of2 = np.unique(np.repeat(of1.reshape(-1), column(1)) * wide2 + second, return_inverse=True)
+        triples, of3 = np.unique(np.repeat(of2.reshape(-1), column(4)) * wide3 + third, return_inverse=True)
+        of1, of2, of3 = of1.reshape(-1), of2.reshape(-1), of3.reshape(-1)
+        c2, c3 = (np.bincount(of, n, len(keys)).astype(np.int64) for of, n, keys in ((of2, column(3), pairs), (of3, column(6), triples)))
+        kept2, kept3 = c2 >= least, c3 >= least
+        of_word = [np.bincount((pairs // wide2)[kept2], x, len(opens)).astype(np.int64) for x in (c2[kept2], None)]
+        of_pair = [np.bincount((triples // wide3)[kept3], x, len(pairs)).astype(np.int64) for x in (c3[kept3], None)]
+        values = [*((x, of1, 0) for x in of_word), (np.where(kept2, c2, 0), of2, 2), *((x, of2, 2) for x in of_pair), (np.where(kept3, c3, 0), of3, 5)]
+        split = [_split(x[of], [len(a[k]) for a in asks]) for x, of, k in values]
+        return _rows([(_GRAMS, block, part, _pack([s[i] for s in split])) for i, block in enumerate(blocks)])
+
     return answer
 
 
-def _answer_words(asked: pa.Table) -> pa.Table:
-    """Replies to the unigrams of a part, and in a row without block what they are in all: tokens, words, those seen once and twice."""
-    part, blocks, asks, found = asked.column("part")[0].as_py(), [], [], []
-    for kind, block, data in zip(*(asked.column(c).to_pylist() for c in ("kind", "block", "data"))):
-        arrays = _unpack(data)
-        arrays[0] = np.cumsum(arrays[0].view(np.uint64))
-        if kind == _ASK:
-            blocks.append(block)
-            asks.append(arrays)
-        else:
-            found.append(arrays)
-    keys, of = np.unique(np.concatenate([a[0] for a in asks]), return_inverse=True)
-    of = of.reshape(-1)
-    values = [np.bincount(of, np.concatenate([a[1] for a in asks]), len(keys)).astype(np.int64)] + [np.zeros(len(keys), np.int64) for _ in range(2)]
-    for words, total, arcs in found:
-        at = np.searchsorted(keys, words)
-        values[1][at] += total
-        values[2][at] += arcs
-    split = [_split(x[of], [len(a[0]) for a in asks]) for x in values]
-    rows = [(_ASK, block, part, _pack([s[i] for s in split])) for i, block in enumerate(blocks)]
-    c = values[0]
-    return _rows([*rows, (_SUMS, None, part, _pack([np.array([c.sum(), (c > 0).sum(), (c == 1).sum(), (c == 2).sum()])]))])
-
-
-def _totals(rows) -> np.ndarray:
-    return sum((_unpack(bytes(r.data))[0] for r in rows), np.zeros(4, np.int64))
-
-
-def lm_scores(docs: DataFrame, is_train, key: str = "doc_id", text: str = "text", order: int = 3, arc_share: float = 0.0, min_count: int = 2) -> DataFrame:
+@dataclass
+class Automaton:
+    """States: 0 the empty history, 1 + w a word, 1 + words + b a pair; w and b number those of one block.
+
+    Arcs from words and pairs are sorted by (state, word), with log10 weights and the states they lead
+    to; every word has an arc from the empty history. `fail` and `fail_log` are the failure arcs.
+    """
+
+    words: int
+    log_word: np.ndarray
+    arcs: list[np.ndarray]
+    arc_log: list[np.ndarray]
+    arc_to: list[np.ndarray]
+    fail: np.ndarray
+    fail_log: np.ndarray
+    pair_kept: np.ndarray
+
+    @classmethod
+    def build(cls, b: Block, replies: list[tuple[int, bytes]], least: int, n: int, v: int, cut: float) -> Automaton:
+        width = len(b.number)
+        word_sums = np.zeros((2, width))
+        got: list[list[np.ndarray]] = [[] for _ in range(4)]
+        for p, data in sorted(replies):
+            total, arcs, *rest = _unpack(data)
+            opens = b.asked[p][0]
+            word_sums[0, opens] += total
+            word_sums[1, opens] += arcs
+            for x, y in zip(got, rest):
+                x.append(y)
+        c2, total, arcs, c3 = (np.concatenate(x).astype(np.float64) if x else np.empty(0) for x in got)
+        if len(c2) != len(b.pair_n) or len(c3) != len(b.triple_n):
+            raise RuntimeError("a block's replies don't match its n-grams")
+        c1 = b.count.astype(np.float64)
+        p1 = np.where(c1 > 0, c1 - cut, max(cut * v, 1e-9)) / n if n else np.ones(width)
+
+        def left_over(c: np.ndarray, total: np.ndarray, arcs: np.ndarray) -> np.ndarray:
+            """What the kept arcs leave to the failure arc; all, for a history that is no state."""
+            return np.where(c >= least, 1 - (total - DISCOUNT * arcs) / np.maximum(c, 1), 1.0)
+
+        back1, back2 = left_over(c1, *word_sums), left_over(c2, total, arcs)
+        w1, w2 = b.pairs
+        pair_kept, triple_kept = c2 >= least, c3 >= least
+        p2 = np.where(pair_kept, (c2 - DISCOUNT) / np.maximum(c1[w1], 1), 0) + back1[w1] * p1[w2]
+        opening, last, closing = b.triples
+        p3 = ((c3 - DISCOUNT) / np.maximum(c2[opening], 1) + back2[opening] * p2[closing])[triple_kept]
+        order2, order3 = (np.argsort(x, kind="stable") for x in (((1 + w1) * width + w2)[pair_kept], ((1 + width + opening) * width + last)[triple_kept]))
+        pairs = np.flatnonzero(pair_kept)[order2]
+        triples = np.flatnonzero(triple_kept)[order3]
+        return cls(
+            width,
+            np.log10(p1),
+            [((1 + w1) * width + w2)[pairs], ((1 + width + opening) * width + last)[triples]],
+            [np.log10(p2[pairs]), np.log10(p3[order3])],
+            [1 + width + pairs, 1 + width + closing[triples]],
+            np.concatenate([np.zeros(1 + width, np.int64), 1 + w2]),
+            np.log10(np.concatenate([[1.0], back1, back2])),
+            pair_kept,
+        )
+
+    def traverse(self, b: Block) -> np.ndarray:
+        """log10 probability of each text: one pass over its tokens, all texts at once, that carries the state."""
+        ends = np.cumsum(b.length)
+        parts = -(-b.length // SEGMENT)
+        row = np.repeat(np.arange(len(parts)), parts)
+        begin = np.repeat(ends - b.length, parts) + SEGMENT * (np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts))
+        size = np.minimum(begin + SEGMENT, ends[row]) - begin
+        order = np.argsort(-size, kind="stable")
+        row, begin, size = row[order], begin[order], size[order]
+        # The tokens before a later segment lead to their pair's state, if there is one, or to their word's.
+        ahead = begin > (ends - b.length)[row]
+        pair = b.pair[begin - 1]
+        held = ahead & (pair >= 0) & (self.pair_kept[pair] if len(self.pair_kept) else False)
+        state = np.where(held, 1 + self.words + pair, np.where(ahead, 1 + b.text[begin - 1], 0))
+        score = np.zeros(len(row))
+        for step in range(int(size.max(initial=0))):
+            active = int(np.searchsorted(-size, -step, "left"))
+            word, at, now = b.text[begin[:active] + step], np.arange(active), state[:active].copy()
+            # Arcs of pairs first; a state without an arc for the word fails to its suffix.
+            for arcs, log, to, least_state in ((self.arcs[1], self.arc_log[1], self.arc_to[1], 1 + self.words), (self.arcs[0], self.arc_log[0], self.arc_to[0], 1)):
+                here = now[at] >= least_state
+                look, key = at[here], now[at[here]] * self.words + word[at[here]]
+                k = np.minimum(np.searchsorted(arcs, key), max(len(arcs) - 1, 0))
+                hit = arcs[k] == key if len(arcs) else np.zeros(len(key), bool)
+                score[look[hit]] += log[k[hit]]
+                state[look[hit]] = to[k[hit]]
+                missed = look[~hit]
+                score[missed] += self.fail_log[now[missed]]
+                now[missed] = self.fail[now[missed]]
+                at = np.concatenate([at[~here], missed])
+            score[at] += self.log_word[word[at]]
+            state[at] = 1 + word[at]
+        return np.bincount(row, score, len(b.length))
+
+
+def lm_scores(docs: DataFrame, is_train, key: str = "doc_id", text: str = "text", min_count: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """Train on the rows where the column `is_train` holds, and score the whole text of every row.
 
     Columns: key, held_out, n_tokens (words and one end), n_known (tokens seen in training),
     train_tokens, base_score (add-one unigrams), score (the automaton's log10 probability). All
     unknown words are one token type for both. Unigrams: absolute discount; its mass is the unknown
-    word's. N-grams: every one seen `min_count` times or more is an arc, with absolute discount 0.75;
-    the rest goes through the failure arc. An `arc_share` over 0 keeps only those of at least that
-    share of all training tokens. A null or empty text is its end token. Repeated rows each count
-    and are each scored. Without training rows every token is unknown and has probability 1. No
-    other column of `docs` is read.
+    word's. Pairs and triples: every one seen `min_count` times or more is an arc, with absolute
+    discount 0.75; the rest goes through the failure arc. A null or empty text is its end token.
+    Repeated rows, of one key too, each count and are each scored; keys, null ones too, are only
+    passed on. Without training rows every token is unknown and has probability 1. An empty table
+    gives no rows. No other column of `docs` is read.
     """
-    blocks = n_splits(docs)
+    spark, least = docs.sparkSession, max(min_count, 1)
     kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(F.col(key).alias("key"), F.coalesce(is_train, F.lit(False)).alias("train"), F.col(text).alias("text"), F.pmod(F.xxhash64(F.col(key)), F.lit(blocks)).alias("block"))
-    dealt = rows.repartition(blocks, "block")
-    least = max(min_count, 1)
-    if arc_share > 0:
-        words = F.coalesce(F.size(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))), F.lit(0))
-        least = max(least, int(np.ceil(arc_share * (rows.where("train").agg(F.sum(words + 1)).first()[0] or 0))))
-    asked = dealt.select("block", "train", "text").groupBy("block").applyInArrow(_asking(order, blocks), _ROWS)
-    answered = checkpoint(asked.groupBy("part").applyInArrow(_answering(order, blocks, least), _ROWS))
-    of_words = checkpoint(answered.where(F.col("kind") != _REPLY).groupBy("part").applyInArrow(_answer_words, _ROWS))
-    n, v, n1, n2 = (int(x) for x in _totals(of_words.where(F.col("kind") == _SUMS).select("data").toLocalIterator()))
+    rows = docs.select(F.col(key).alias("key"), F.coalesce(is_train, F.lit(False)).alias("train"), F.col(text).alias("text"))
+    blocks = rows.mapInArrow(_blocks(block_tokens), f"block bigint, keys array<{kind}>, train array<boolean>, data binary, words binary")
+    # Bucketed, so that a block meets its replies without moving again; the name goes, the files and the plan stay.
+    name = f"loomsift_{uuid.uuid4().hex}"
+    folder = os.path.join(shared_folder(spark), name)
+    blocks.write.bucketBy(min(n_splits(docs), 100_000), "block").option("path", folder).option("compression", "none").saveAsTable(name)
+    stored = spark.table(name)
+    parts = max(1, stored.select("block").count())
+
+    asked = stored.select("block", "words").mapInArrow(_asking_words(parts), _ROWS)
+    words = checkpoint(asked.groupBy("part").applyInArrow(_answering_words(parts, max(1, block_tokens // 8)), _ROWS))
+    n, v, n1, n2 = sum((_unpack(bytes(r.data))[0] for r in words.where("block is null").select("data").toLocalIterator()), np.zeros(4, np.int64)).tolist()
     cut = min(0.95, max(0.1, n1 / (n1 + 2 * n2))) if n1 + n2 else 0.5
-    replies = answered.where(F.col("kind") == _REPLY).unionByName(of_words.where(F.col("kind") == _ASK))
-
-    def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return pa.table({k: pa.array([], t) for k, t in (("key", left.schema.field("key").type), ("train", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()))})
-        g = grams(left.column("text"), left.column("train").to_numpy(), order)
-        got: dict[int, list] = {_ASK: [], _REPLY: []}
-        for what, _, data in sorted(zip(*(right.column(c).to_pylist() for c in ("kind", "part", "data"))), key=lambda r: r[:2]):
-            got[what].append(_unpack(data))
-        # Per order: counts, and of the kept arcs that leave the n-gram the sum of counts and the number.
-        values = [None, [np.concatenate(x).astype(np.float64) for x in zip(*got[_ASK])]]
-        every = [np.concatenate(x).astype(np.float64) for x in zip(*got[_REPLY])] or [np.empty(0)] * 3 * (order - 1)
-        values += [every[k : k + 3] for k in range(0, len(every), 3)]
-        if any(len(x[0]) != len(k) for x, k in zip(values[1:], g.keys[1:])):
-            raise RuntimeError("the texts of a block have changed between asking and scoring")
-        c = values[1][0]
-        base = np.log10((c + 1) / (n + 1 * (v + 1)))[g.at[1]]
-        p = (np.where(c > 0, c - cut, max(cut * v, 1e-9)) / n if n else np.ones(len(c)))[g.at[1]]
-        for m in range(2, order + 1):
-            where = np.flatnonzero(g.at[m] >= 0)
-            state = g.at[m - 1][where - 1]
-            c, total, arcs = (x[state] for x in values[m - 1])
-            held = c >= least
-            where, c, left_over = where[held], c[held], (total - DISCOUNT * arcs)[held]
-            own = values[m][0][g.at[m][where]]
-            p[where] = np.where(own >= least, own - DISCOUNT, 0) / c + (1 - left_over / c) * p[where]
-        sums = [np.add.reduceat(x, g.starts[:-1]) for x in ((values[1][0] > 0)[g.at[1]].astype(np.int64), base, np.log10(p))]
-        return pa.table({"key": left.column("key"), "train": left.column("train"), "n_tokens": np.diff(g.starts), "n_known": sums[0], "base": sums[1], "score": sums[2]})
-
-    scored = dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(score, f"key {kind}, train boolean, n_tokens bigint, n_known bigint, base double, score double")
+    numbers = words.where("block is not null")
+
+    texts = stored.select("block", "keys", "train", "data")
+    asked = texts.select("block", "train", "data").groupBy("block").cogroup(numbers.groupBy("block")).applyInArrow(_asking(parts), _ROWS)
+    grams = checkpoint(asked.groupBy("part").applyInArrow(_answering(least), _ROWS))
+    known = max(n + v + 1, 1)
+
+    def score(own: pa.Table, replies: pa.Table) -> pa.Table:
+        if not own.num_rows:
+            return pa.table({c: pa.array([], t) for c, t in (("key", own.schema.field("keys").type.value_type), ("train", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()))})
+        b = _read(own, replies, parts)
+        got = [(p, d) for k, p, d in zip(*(replies.column(c).to_pylist() for c in ("kind", "part", "data"))) if k == _GRAMS]
+        starts = np.cumsum(b.length) - b.length
+        base, seen = (np.add.reduceat(x[b.text], starts) for x in (np.log10((b.count + 1) / known), (b.count > 0).astype(np.int64)))
+        model = Automaton.build(b, got, least, n, v, cut)
+        return pa.table({"key": own.column("keys")[0].values, "train": own.column("train")[0].values, "n_tokens": b.length, "n_known": seen, "base": base, "score": model.traverse(b)})
+
+    scored = texts.groupBy("block").cogroup(numbers.unionByName(grams).groupBy("block")).applyInArrow(score, f"key {kind}, train boolean, n_tokens bigint, n_known bigint, base double, score double")
+    spark.sql(f"DROP TABLE {name}")
     return scored.select(F.col("key").alias(key), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")

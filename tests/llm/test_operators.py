@@ -142,7 +142,7 @@ def test_kneser_ney_sums_to_one():
 
 def test_lm_scores(docs, none):
     train = F.col("doc_id") % 4 != 3
-    rows = lm_scores(docs, train, arc_share=0.002).collect()
+    rows = lm_scores(docs, train, min_count=3, block_tokens=40).collect()
     count = collections.Counter(w for i, t, *_ in TEXTS if i % 4 != 3 for w in [*words(t), None])
     n, v = sum(count.values()), len(count)
     assert sorted(r.doc_id for r in rows) == sorted(t[0] for t in TEXTS)
@@ -159,8 +159,8 @@ def test_lm_scores(docs, none):
 
 
 def test_lm_automaton_matches_plain_back_off(spark):
-    texts = [(i, " ".join(np.random.default_rng(i).choice(list("abcde"), 30))) for i in range(20)]
-    rows = lm_scores(spark.createDataFrame(texts, "doc_id long, text string"), F.lit(True), order=3, arc_share=1e-9, min_count=2).collect()
+    texts = [(i, " ".join(np.random.default_rng(i).choice(list("abcde"), 30 if i else 2500))) for i in range(20)]
+    rows = lm_scores(spark.createDataFrame(texts, "doc_id long, text string"), F.lit(True), block_tokens=64).collect()
     seqs = [[*t.split(), None] for _, t in texts]
     grams = [None] + [collections.Counter(tuple(s[i : i + m]) for s in seqs for i in range(len(s) - m + 1)) for m in (1, 2, 3)]
     n, v = sum(grams[1].values()), len(grams[1])
