@@ -5,6 +5,7 @@ Word boundaries are those of ASCII words, whatever letters stand beside a number
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -21,11 +22,13 @@ class Rule:
     confidence: float
     check: str | None = None
     validated: float | None = None
+    #: What every match holds: a text without it needs no scan.
+    needs: str = "[0-9]"
 
 
 #: Kinds, names, patterns and confidences, in the order in which rules run.
 RULES = (
-    Rule("email", "email-rfc-lite", r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}", 0.93),
+    Rule("email", "email-rfc-lite", r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}", 0.93, needs="@"),
     Rule("credit-card", "luhn-credit-card", r"\b(?:\d[ -]?){12,18}\d\b", 0.35, "luhn", 0.97),
     Rule("aadhaar", "verhoeff-aadhaar", r"\b[2-9]\d{3}[ -]?\d{4}[ -]?\d{4}\b", 0.40, "verhoeff", 0.97),
     Rule("pan", "pan-format", r"\b[A-Z]{5}[0-9]{4}[A-Z]\b", 0.50, "pan", 0.94),
@@ -35,7 +38,7 @@ RULES = (
     Rule("phone", "phone-in-e164", r"(?:\+91[ -]?)?\b[6-9]\d{9}\b", 0.82),
     Rule("phone", "phone-intl", r"\+\d{1,3}[ -]?\(?\d{2,4}\)?[ -]?\d{3,4}[ -]?\d{3,4}", 0.70),
     Rule("ip-address", "ipv4", r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b", 0.40, "ipv4", 0.85),
-    Rule("api-key", "api-key-prefixed", r"\b(?:sk|pk|rk)-[A-Za-z0-9_-]{16,}\b|\bghp_[A-Za-z0-9]{20,}\b|\bAKIA[0-9A-Z]{16}\b", 0.95),
+    Rule("api-key", "api-key-prefixed", r"\b(?:sk|pk|rk)-[A-Za-z0-9_-]{16,}\b|\bghp_[A-Za-z0-9]{20,}\b|\bAKIA[0-9A-Z]{16}\b", 0.95, needs="sk-|pk-|rk-|ghp_|AKIA"),
     Rule("dob", "date-dmy", r"\b(?:0?[1-9]|[12]\d|3[01])[/-](?:0?[1-9]|1[0-2])[/-](?:19|20)\d{2}\b", 0.45),
     Rule("bank-account", "account-long-digits", r"\b\d{9,18}\b", 0.30),
 )
@@ -44,14 +47,16 @@ KINDS = ("password", "otp", "api-key", "credit-card", "cvv", "bank-account", "if
 #: Letters in fourth place of a PAN that name a holder's type.
 PAN_HOLDERS = "ABCFGHJLPT"
 #: Text that some rule could match; the others need no scan.
-ANY_RULE = r"[0-9]{3}|@|[0-9][./-][0-9]|[0-9][ ][0-9]|sk-|pk-|rk-|ghp_"
-
-_EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+ANY_RULE = "|".join(dict.fromkeys(r.needs for r in RULES))
 
 
 def java_pattern(rule: Rule) -> str:
-    """The pattern with ASCII boundaries and digits for the JVM's engine, whose own \\b counts other letters."""
-    return rule.pattern.replace(r"\b", _EDGE)
+    """The pattern with ASCII boundaries for the JVM's engine, whose own \\b counts other letters.
+
+    A boundary that opens an alternative stands before a word character, one that closes it behind one.
+    """
+    closed = re.sub(r"\\b(?=\||$)", r"(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])", rule.pattern)
+    return closed.replace(r"\b", "(?<![A-Za-z0-9_])")
 
 
 def _col(c: Column | str) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomsift.functions.text import FENCES
-from loomsift.operators.spans import leaks
+from loomsift.operators.spans import text_leaks
 
 #: Keys that a payload, an element and a text atom may have.
 CONTEXT_KEYS = ("schemaVersion", "taskId", "step", "goal", "url", "title", "viewport", "elements", "screenshot", "redactionSummary", "nonce", "history", "clarifications", "budget", "analysis", "containers")
@@ -57,10 +57,9 @@ def inspect_screenshots(shots: DataFrame) -> DataFrame:
 
 
 def verify(texts: DataFrame, key: str, text: str, nonce: str, min_confidence: float = 0.5) -> DataFrame:
-    """One row per text: key, n_findings, ok."""
-    found = leaks(texts, key, text, nonce, min_confidence).groupBy(key).agg(F.sum("n").alias("n_findings"))
-    out = texts.select(key).join(found, key, "left")
-    return out.select(key, F.coalesce("n_findings", F.lit(0)).alias("n_findings"), F.col("n_findings").isNull().alias("ok"))
+    """One row per row of `texts`: key, n_findings, ok. A null text has no findings."""
+    n = F.aggregate(text_leaks(text, nonce, min_confidence), F.lit(0).cast("long"), lambda a, f: a + f["n"])
+    return texts.select(F.col(key), n.alias("n_findings")).withColumn("ok", F.col("n_findings") == 0)
 
 
 def demand_clean(checked: DataFrame) -> DataFrame:

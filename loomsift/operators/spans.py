@@ -1,13 +1,13 @@
 """Spans of personal data in texts, their redaction, and the check that none is left.
 
 A span has kind, rule, start and end in code points (end exclusive), and a confidence. All steps are
-DataFrame operations: matches are found with their gaps, so positions are running sums, and overlaps
-are resolved in the array of one text.
+column expressions on one row: matches are found with their gaps, so positions are running sums, and
+overlaps are resolved in the array of one text. No row meets another, so keys may repeat or be null.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomsift.functions import pii
@@ -18,56 +18,104 @@ SPAN = "array<struct<kind:string,rule:string,start:bigint,end:bigint,confidence:
 STRATEGIES = {"password": "drop-attribute", "otp": "drop-attribute", "cvv": "drop-attribute", "face": "blur", "signature": "blackout", "id-document": "blackout"}
 
 
-def _placing(i: int, rule: pii.Rule):
-    """A match and the gap before it to (rule, number, gap, size, ok)."""
+#: Items that running sums take at once; sums over such runs are then added up.
+_RUN = 128
 
-    def one(x: Column, n: Column) -> Column:
-        ok = pii.CHECKS[rule.check](x["hit"]) if rule.check else F.lit(True)
-        return F.struct(F.lit(i).alias("r"), n.alias("n"), F.length(x["gap"]).cast("long").alias("gap"), F.length(x["hit"]).cast("long").alias("size"), ok.alias("ok"))
 
-    return one
+def let(value: Column, body) -> Column:
+    """`body` of the value, which is written, and computed, once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def found_spans(texts: DataFrame, key: str, text: str, min_confidence: float = 0.0) -> DataFrame:
-    """(key, kind, rule, start, end, confidence) of every match that passes its rule's check.
+def running_ends(sizes: Column) -> Column:
+    """Running sums of an array of numbers. Work grows with the array's length, times a constant."""
+    # An array that grows item by item, and its last sum.
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("out"))
+    grow = lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["out"], F.array(a["at"] + n)).alias("out"))
+    shift = lambda a, r: F.struct((a["at"] + r["at"]).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out"))
+    add = lambda x: F.transform(x["r"]["out"], lambda v: v + x["b"])
+
+    def sums(n: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.ceil(F.size(n) / _RUN).cast("int") - 1), lambda i: F.aggregate(F.slice(n, i * _RUN + 1, F.lit(_RUN)), start, grow))
+        joined = let(runs, lambda r: F.flatten(F.transform(F.arrays_zip(r.alias("r"), F.aggregate(r, start, shift)["out"].alias("b")), add)))
+        return F.when(F.size(n) > 0, joined).otherwise(F.array().cast("array<bigint>"))
+
+    return let(sizes, sums)
+
 
-    `key` must name a text. A match that fails its check still uses up its characters. Null
-    texts have none.
+def _passes(rule: Column, hit: Column) -> Column:
+    """Does a match pass the check of its rule, given by number?"""
+    ok = F.lit(True)
+    for i, r in enumerate(pii.RULES):
+        if r.check:
+            ok = F.when(rule == i, pii.CHECKS[r.check](hit)).otherwise(ok)
+    return F.coalesce(ok, F.lit(False))
+
+
+def text_spans(text: Column | str, min_confidence: float = 0.0) -> Column:
+    """All spans of a text that pass their rule's check, rule by rule, overlaps and all; none for a null text.
+
+    A match that fails its check still uses up its characters.
     """
-    rows = texts.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.col("text").rlike(pii.ANY_RULE))
-    per_rule = []
-    for i, rule in enumerate(pii.RULES):
-        confidence = rule.validated if rule.check else rule.confidence
-        if confidence < min_confidence:
-            continue
-        pattern = pii.java_pattern(rule)
-        hits = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
-        gaps = F.split("text", pattern, -1)
-        zipped = F.transform(F.arrays_zip(hits.alias("hit"), F.slice(gaps, 1, F.size(hits)).alias("gap")), _placing(i, rule))
-        per_rule.append(F.when(F.col("text").rlike(pattern), zipped))
-    if not per_rule:
-        return rows.select("key", *[F.lit(None).cast(t).alias(c) for c, t in (("kind", "string"), ("rule", "string"), ("start", "bigint"), ("end", "bigint"), ("confidence", "double"))]).where("false")
-    each = rows.select("key", F.explode(F.flatten(F.array_compact(F.array(*per_rule)))).alias("m")).select("key", "m.*")
-    running = Window.partitionBy("key", "r").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = each.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(running)).where("ok")
-    info = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.name).alias("rule"), F.lit(float(r.validated if r.check else r.confidence)).alias("confidence")) for r in pii.RULES])
-    return placed.withColumn("i", F.get(info, F.col("r"))).select("key", "i.kind", "i.rule", (F.col("end") - F.col("size")).alias("start"), "end", "i.confidence")
+    text = F.col(text) if isinstance(text, str) else text
+    confidence = [float(r.validated if r.check else r.confidence) for r in pii.RULES]
+    rules = [(i, r, pii.java_pattern(r)) for i, r in enumerate(pii.RULES) if confidence[i] >= min_confidence]
+    none = F.array().cast(SPAN)
+    if not rules:
+        return none
+    of_rule = lambda values, x: F.element_at(F.array(*[F.lit(v) for v in values]), x["r"] + 1)
+
+    def placed(x: Column) -> Column:
+        """Matches of one rule and the gaps before them as spans."""
+        sizes = F.transform(F.arrays_zip(x["hits"].alias("hit"), F.slice(x["gaps"], 1, F.size(x["hits"])).alias("gap")), lambda m: (F.length(m["hit"]) + F.length(m["gap"])).cast("bigint"))
+        span = lambda m: F.struct(of_rule([r.kind for r in pii.RULES], x).alias("kind"), of_rule([r.name for r in pii.RULES], x).alias("rule"), (m["end"] - F.length(m["hit"])).cast("bigint").alias("start"), m["end"].alias("end"), of_rule(confidence, x).alias("confidence"))
+        ends = F.arrays_zip(x["hits"].alias("hit"), running_ends(sizes).alias("end"))
+        return F.transform(F.filter(ends, lambda m: _passes(x["r"], m["hit"])), span)
+
+    def found(t: Column) -> Column:
+        hits = [F.when(t.rlike(r.needs) & t.rlike(p), F.struct(F.lit(i).alias("r"), F.regexp_extract_all(t, F.lit(p), F.lit(0)).alias("hits"), F.split(t, p, -1).alias("gaps"))) for i, r, p in rules]
+        return F.coalesce(F.when(t.rlike(pii.ANY_RULE), F.flatten(F.transform(F.array_compact(F.array(*hits)), placed))), none)
+
+    return let(text, found)
 
 
 def resolve_overlaps(spans: Column | str) -> Column:
-    """The spans of one text without overlaps: the more confident, then the longer, then the earlier wins."""
+    """The spans of one text without overlaps: the more confident, then the longer, then the earlier wins.
+
+    Spans that reach into each other, directly or by others, form a cluster, in which they are
+    compared; so the work grows with the clusters.
+    """
     spans = F.col(spans) if isinstance(spans, str) else spans
-    rank = F.transform(spans, lambda s: F.struct((-s["confidence"]).alias("c"), (s["start"] - s["end"]).alias("l"), s["start"].alias("s"), s["rule"].alias("r"), s.alias("span")))
-    ranked = F.transform(F.array_sort(rank), lambda r: r["span"])
+    none = F.array().cast(SPAN)
     free = lambda kept, s: ~F.exists(kept, lambda k: (k["start"] < s["end"]) & (s["start"] < k["end"]))
-    kept = F.aggregate(ranked, F.filter(spans, lambda s: F.lit(False)), lambda acc, s: F.when(free(acc, s), F.concat(acc, F.array(s))).otherwise(acc))
-    return F.transform(F.array_sort(F.transform(kept, lambda s: F.struct(s["start"].alias("at"), s.alias("span")))), lambda x: x["span"])
+    best = lambda s: F.struct((-s["confidence"]).alias("c"), (s["start"] - s["end"]).alias("l"), s["start"].alias("s"), s["rule"].alias("r"), s.alias("span"))
+    first = lambda s: F.struct(s["start"].alias("s"), s["end"].alias("e"), s["rule"].alias("r"), s.alias("span"))
+    ordered = lambda items, by: F.transform(F.array_sort(F.transform(items, by)), lambda x: x["span"])
+
+    def settled(cluster: Column) -> Column:
+        kept = F.aggregate(ordered(cluster, best), none, lambda acc, s: F.when(free(acc, s), F.concat(acc, F.array(s))).otherwise(acc))
+        return F.when(F.size(cluster) > 1, ordered(kept, first)).otherwise(cluster)
+
+    start = F.struct(F.array().cast(f"array<{SPAN}>").alias("done"), none.alias("open"), F.lit(-1).cast("bigint").alias("reach"))
+
+    def step(a: Column, s: Column) -> Column:
+        beyond = s["start"] >= a["reach"]
+        done = F.when(beyond, F.concat(a["done"], F.array(a["open"]))).otherwise(a["done"])
+        return F.struct(done.alias("done"), F.when(beyond, F.array(s)).otherwise(F.concat(a["open"], F.array(s))).alias("open"), F.greatest(a["reach"], s["end"]).alias("reach"))
+
+    clusters = F.aggregate(ordered(spans, first), start, step, lambda a: F.concat(a["done"], F.array(a["open"])))
+    return F.flatten(F.transform(clusters, settled))
+
+
+def found_spans(texts: DataFrame, key: str, text: str, min_confidence: float = 0.0) -> DataFrame:
+    """(key, kind, rule, start, end, confidence) of every match that passes its rule's check, of every row."""
+    return texts.select(F.col(key).alias("key"), F.explode(text_spans(text, min_confidence)).alias("s")).select("key", "s.*")
 
 
 def scan_texts(texts: DataFrame, key: str, text: str, min_confidence: float = 0.0) -> DataFrame:
-    """(key, spans) of each text that has any, overlaps resolved; the threshold comes before."""
-    span = F.struct("kind", "rule", "start", "end", "confidence")
-    return found_spans(texts, key, text, min_confidence).groupBy("key").agg(F.collect_list(span).alias("spans")).select(F.col("key").alias(key), resolve_overlaps("spans").alias("spans"))
+    """(key, spans) of each row whose text has any, overlaps resolved; the threshold comes before."""
+    found = texts.select(F.col(key).alias("key"), text_spans(text, min_confidence).alias("spans")).where(F.size("spans") > 0)
+    return found.select(F.col("key").alias(key), resolve_overlaps("spans").alias("spans"))
 
 
 def kind_token(kind: Column) -> Column:
@@ -106,40 +154,65 @@ def strategy_for(kind: Column, has_rect: Column, in_span: Column, attr: Column,
     )
 
 
-def redact_texts(texts: DataFrame, key: str, text: str, nonce: str = "0", min_confidence: float = 0.5, strategies: dict[str, str] | None = None) -> DataFrame:
-    """All columns of `texts` with the text redacted, and redaction: struct(n, forgeries, by_kind, entries).
+def redact_texts(texts: DataFrame, key: str, text: str, nonce: str = "0", min_confidence: float = 0.5, strategies: dict[str, str] | None = None, name: str = "redaction") -> DataFrame:
+    """All columns of `texts` with the text redacted, and the struct `name`: n, forgeries, by_kind, entries.
 
     Forged placeholders go first. Spans at or over the threshold become placeholders numbered per
     kind from the right, or asterisks where the kind's strategy is mask-chars. A null text stays null.
+    Rows are redacted one by one, whatever their key. A column of `texts` called `name` gives way.
     """
-    row = F.struct(*[texts[f"`{c}`"] for c in texts.columns])
-    clean = texts.select(row.alias("row"), F.col(key).alias("key"), count_forgeries(F.col(text)).alias("forged"), strip_forgeries(F.col(text)).alias("text"))
-    spans = scan_texts(clean, "key", "text", 0.0).select(F.col("key").alias("found_key"), F.filter("spans", lambda s: s["confidence"] >= min_confidence).alias("spans"))
-    met = clean.join(spans, F.col("key").eqNullSafe(F.col("found_key")), "left").withColumn("spans", F.coalesce("spans", F.array().cast(SPAN)))
+    row = F.struct(F.lit(0).alias("none"), *[texts[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(texts.columns) if c != text])
     mask = [k for k, v in (strategies or {}).items() if v == "mask-chars"]
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).cast("bigint").alias("at"))
 
-    def put(s: Column, after: Column) -> Column:
-        ordinal = F.size(F.filter(after, lambda o: (o["kind"] == s["kind"]) & (o["start"] > s["start"]))) + 1
+    def put(s: Column, every: Column) -> Column:
+        ordinal = F.size(F.filter(every, lambda o: (o["kind"] == s["kind"]) & (o["start"] > s["start"]))) + 1
         stars = F.repeat(F.lit("*"), (s["end"] - s["start"]).cast("int"))
         return F.when(s["kind"].isin(*mask), stars).otherwise(placeholder(s["kind"], ordinal, nonce)) if mask else placeholder(s["kind"], ordinal, nonce)
 
-    entries = F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["rule"].alias("rule"), s["start"].alias("start"), s["end"].alias("end"), put(s, F.col("spans")).alias("put")))
-    met = met.withColumn("entries", entries)
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
-    step = lambda a, e: F.struct(F.concat(a["out"], F.substring(F.col("text"), (a["at"] + 1).cast("int"), (e["start"] - a["at"]).cast("int")), e["put"]).alias("out"), e["end"].alias("at"))
-    done = F.aggregate("entries", start, step)
-    rest = F.substring(F.col("text"), (done["at"] + 1).cast("int"), F.greatest(F.length(F.col("text")) - done["at"].cast("int"), F.lit(0)))
-    whole = F.when(F.size("entries") > 0, F.concat(done["out"], rest)).otherwise(F.col("text")).alias(text)
-    kinds = F.array_distinct(F.transform("entries", lambda e: e["kind"]))
-    by_kind = F.map_from_arrays(kinds, F.transform(kinds, lambda k: F.size(F.filter("entries", lambda e: e["kind"] == k)).cast("long")))
-    info = F.struct(F.size("entries").cast("long").alias("n"), F.col("forged").cast("long").alias("forgeries"), by_kind.alias("by_kind"), F.col("entries").alias("entries")).alias("redaction")
-    return met.select(*[whole if c == text else F.col("row")[c].alias(c) for c in texts.columns], info)
+    def rewritten(clean: Column, entries: Column) -> Column:
+        between = lambda a, e: F.substring(clean, (a["at"] + 1).cast("int"), (e["start"] - a["at"]).cast("int"))
+        step = lambda a, e: F.struct(F.concat(a["out"], F.array(between(a, e), e["put"])).alias("out"), e["end"].alias("at"))
+        rest = lambda a: F.substring(clean, (a["at"] + 1).cast("int"), F.greatest(F.length(clean) - a["at"].cast("int"), F.lit(0)))
+        return F.aggregate(entries, start, step, lambda a: F.array_join(F.concat(a["out"], F.array(rest(a))), ""))
+
+    def done(clean: Column) -> Column:
+        held = F.filter(resolve_overlaps(text_spans(clean)), lambda s: s["confidence"] >= min_confidence)
+        entries = let(held, lambda every: F.transform(every, lambda s: F.struct(s["kind"].alias("kind"), s["rule"].alias("rule"), s["start"].alias("start"), s["end"].alias("end"), put(s, every).alias("put"))))
+        return let(entries, lambda e: F.struct(F.when(F.size(e) > 0, rewritten(clean, e)).otherwise(clean).alias("text"), e.alias("entries")))
+
+    # What may raise duplicates of a long expression stands behind a bound variable.
+    found = texts.select(row.alias("row"), count_forgeries(F.col(text)).alias("forged"), let(strip_forgeries(F.col(text)), done).alias("done"))
+
+    def info(entries: Column, forged: Column) -> Column:
+        kinds = F.array_distinct(F.transform(entries, lambda e: e["kind"]))
+        by_kind = let(kinds, lambda k: F.map_from_arrays(k, F.transform(k, lambda one: F.size(F.filter(entries, lambda e: e["kind"] == one)).cast("long"))))
+        return F.struct(F.size(entries).cast("long").alias("n"), F.coalesce(forged, F.lit(0)).cast("long").alias("forgeries"), by_kind.alias("by_kind"), entries.alias("entries"))
+
+    whole = let(F.struct("done", "forged"), lambda d: F.struct(d["done"]["text"].alias("text"), info(d["done"]["entries"], d["forged"]).alias("info"))).alias("whole")
+    told = found.select("row", whole)
+    back = [F.col("whole.text").alias(c) if c == text else F.col(f"row.c{i}").alias(c) for i, c in enumerate(texts.columns) if c.lower() != name.lower()]
+    return told.select(*back, F.col("whole.info").alias(name))
+
+
+#: Elements whose tags in a text that leaves show that markup got through.
+MARKUP_TAGS = ("html", "body", "head", "script", "iframe", "form", "input", "div", "span", "table")
+
+
+def text_leaks(text: Column | str, nonce: str, min_confidence: float = 0.5) -> Column:
+    """Findings in a text that should be clean, as structs (code, n): spans left beside placeholders, foreign placeholders, markup. No values."""
+    text = F.col(text) if isinstance(text, str) else text
+    count = lambda pattern: F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0)).cast("long")
+    foreign = F.struct(F.lit("foreign-placeholder").alias("code"), count(rf"\[\[PII:[A-Z_]+:\d+:(?!{nonce}\]\])[0-9a-f]*\]\]").alias("n"))
+    markup = F.struct(F.lit("raw-markup").alias("code"), count(rf"(?i)<\s*(?:{'|'.join(MARKUP_TAGS)})\b").alias("n"))
+
+    def by_kind(kinds: Column) -> Column:
+        return F.transform(F.array_distinct(kinds), lambda k: F.struct(F.concat(F.lit("pii:"), k).alias("code"), F.size(F.filter(kinds, lambda x: x == k)).cast("long").alias("n")))
+
+    left = let(F.transform(text_spans(strip_forgeries(text), min_confidence), lambda s: s["kind"]), by_kind)
+    return F.filter(F.concat(left, F.array(foreign, markup)), lambda f: f["n"] > 0)
 
 
 def leaks(texts: DataFrame, key: str, text: str, nonce: str, min_confidence: float = 0.5) -> DataFrame:
-    """Findings in texts that should be clean: spans left beside placeholders, foreign placeholders, markup. No values."""
-    bare = texts.withColumn("_bare", strip_forgeries(F.col(text)))
-    left = found_spans(bare, key, "_bare", min_confidence).select(F.col("key").alias(key), F.concat(F.lit("pii:"), "kind").alias("code")).groupBy(key, "code").agg(F.count("*").alias("n"))
-    foreign = F.regexp_count(F.col(text), F.lit(rf"\[\[PII:[A-Z_]+:\d+:(?!{nonce}\]\])[0-9a-f]*\]\]"))
-    odd = texts.select(F.col(key), F.explode(F.array(F.struct(F.lit("foreign-placeholder").alias("code"), foreign.cast("long").alias("n")), F.struct(F.lit("raw-markup").alias("code"), F.regexp_count(F.col(text), F.lit(r"(?i)<\s*(?:html|body|head|script|iframe|form|input|div|span|table)\b")).cast("long").alias("n")))).alias("f")).select(key, "f.*").where("n > 0")
-    return left.unionByName(odd)
+    """(key, code, n) of the findings of every row; see text_leaks."""
+    return texts.select(F.col(key), F.explode(text_leaks(text, nonce, min_confidence)).alias("f")).select(key, "f.*")
