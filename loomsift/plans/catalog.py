@@ -210,23 +210,69 @@ def b2_valid_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("source", F.size(pii.matches("text", rule)).alias("n")).where("n > 0").groupBy("source").agg(F.sum("n").alias("n"))
 
 
-@query()
+def _sql_checks() -> str:
+    """Does match v of a rule pass its check? Digits, the last first, are in r."""
+    turn = "CASE WHEN a < 5 THEN (a + b) % 5 ELSE (a - b + 5) % 5 END + CASE WHEN (a < 5) = (b < 5) THEN 0 ELSE 5 END"
+    powers = ", ".join(str(list(row)) for row in pii.verhoeff_powers())
+    moved = f"[[{powers}][(i - 1) % 8 + 1][CAST(r[i] AS INT) + 1] FOR i IN range(1, len(r) + 1)]"
+    return f"""CASE rule
+        WHEN 'luhn-credit-card' THEN len(r) BETWEEN 12 AND 19 AND list_sum([CASE WHEN i % 2 = 1 THEN CAST(r[i] AS INT) ELSE CAST(r[i] AS INT) * 2 - CASE WHEN CAST(r[i] AS INT) > 4 THEN 9 ELSE 0 END END FOR i IN range(1, len(r) + 1)]) % 10 = 0
+        WHEN 'verhoeff-aadhaar' THEN len(r) = 12 AND list_reduce(list_prepend(0, {moved}), lambda a, b: {turn}) = 0
+        WHEN 'pan-format' THEN regexp_full_match(v, '[A-Z]{{3}}[{pii.PAN_HOLDERS}][A-Z][0-9]{{4}}[A-Z]')
+        WHEN 'ssn-us' THEN left(v, 3) NOT IN ('000', '666') AND left(v, 1) <> '9' AND v[5:6] <> '00' AND v[8:11] <> '0000'
+        WHEN 'ipv4' THEN list_max([CAST(x AS INT) FOR x IN string_split(v, '.')]) <= 255
+        ELSE true END"""
+
+
+def _sql_spans(name: str, texts: str) -> str:
+    """CTE `name` (id, kind, rule, start, end, confidence): all spans of the texts (id, text)."""
+    rules = " UNION ALL ".join(f"SELECT id, {i} AS k, '{x.kind}' AS kind, '{x.name}' AS rule, CAST({x.validated if x.check else x.confidence} AS DOUBLE) AS confidence, regexp_extract_all(text, '{x.pattern}') AS hits, string_split_regex(text, '{x.pattern}') AS gaps FROM {texts}" for i, x in enumerate(pii.RULES))
+    return f"""{name}_each AS (SELECT id, k, kind, rule, confidence, unnest(hits) AS v, unnest(gaps[:len(hits)]) AS gap, generate_subscripts(hits, 1) AS i FROM ({rules}) WHERE len(hits) > 0),
+    {name}_at AS (SELECT *, reverse(regexp_replace(v, '[^0-9]', '', 'g')) AS r, CAST(sum(len(gap) + len(v)) OVER (PARTITION BY id, k ORDER BY i) AS BIGINT) AS "end" FROM {name}_each),
+    {name} AS (SELECT id, kind, rule, "end" - len(v) AS start, "end", confidence FROM {name}_at WHERE {_sql_checks()})"""
+
+
+def _sql_resolved(name: str, spans: str) -> str:
+    """CTE `name` (id, kept): the spans of each text without overlaps, in order."""
+    free = 'len(list_filter(acc, lambda k: k.start < x."end" AND x.start < k."end")) = 0'
+    return f"""{name}_all AS (SELECT id, list({{'kind': kind, 'rule': rule, 'start': start, 'end': "end", 'confidence': confidence}} ORDER BY confidence DESC, "end" - start DESC, start, rule) AS s FROM {spans} GROUP BY id),
+    {name} AS (SELECT id, list_sort(list_transform(list_reduce(list_transform(s, lambda y: [y]), lambda acc, z: list_concat(acc, list_filter(z, lambda x: {free}))), lambda y: {{'start': y.start, 's': y}})) AS kept FROM {name}_all)"""
+
+
+_SQL_CLEAN = "t AS (SELECT doc_id AS id, regexp_replace(text, '\\[\\[PII:[A-Z_]+:\\d+:[0-9a-f]*\\]\\]', '', 'g') AS text, coalesce(len(regexp_extract_all(text, '\\[\\[PII:[A-Z_]+:\\d+:[0-9a-f]*\\]\\]')), 0) AS forged FROM documents)"
+_SQL_REDACTED = f"""WITH {_SQL_CLEAN}, {_sql_spans('m', 't')}, {_sql_resolved('o', 'm')},
+    h AS (SELECT t.*, coalesce(list_transform(list_filter(kept, lambda y: y.s.confidence >= 0.5), lambda y: y.s), []) AS e FROM t LEFT JOIN o USING (id)),
+    d AS (SELECT id, forged, len(e) AS n, CASE WHEN len(e) = 0 THEN text ELSE
+        list_aggregate(list_transform(e, lambda x, i: substr(text, 1 + CASE WHEN i = 1 THEN 0 ELSE e[i - 1]."end" END, x.start - CASE WHEN i = 1 THEN 0 ELSE e[i - 1]."end" END) || '[[PII:' || upper(replace(x.kind, '-', '_')) || ':' || CAST(1 + len(list_filter(e, lambda k: k.kind = x.kind AND k.start > x.start)) AS VARCHAR) || ':5eed]]'), 'string_agg', '') || substr(text, 1 + e[-1]."end") END AS text FROM h)"""
+
+
+def _sql_left(texts: str, name: str) -> str:
+    """CTE `name` (id, n): findings at or over 0.5, foreign placeholders and markup of the texts (id, text)."""
+    bare = f"{name}_bare AS (SELECT id, regexp_replace(text, '\\[\\[PII:[A-Z_]+:\\d+:[0-9a-f]*\\]\\]', '', 'g') AS text FROM {texts})"
+    odd = "coalesce(len(list_filter(regexp_extract_all(text, '\\[\\[PII:[A-Z_]+:\\d+:[0-9a-f]*\\]\\]'), lambda x: NOT ends_with(x, ':5eed]]'))) + len(regexp_extract_all(text, '(?i)<\\s*(?:" + "|".join(spans.MARKUP_TAGS) + ")\\b')), 0)"
+    return f"""{bare}, {_sql_spans(name + '_s', name + '_bare')}, {name}_c AS (SELECT id, count(*) AS c FROM {name}_s WHERE confidence >= 0.5 GROUP BY id),
+    {name} AS (SELECT x.id, CAST({odd} + coalesce(c, 0) AS BIGINT) AS n FROM {texts} x LEFT JOIN {name}_c USING (id))"""
+
+
+@query(f"WITH r AS (SELECT doc_id AS id, text FROM documents), {_sql_spans('m', 'r')}, {_sql_resolved('o', 'm')} SELECT id AS doc_id, s.kind AS kind, s.rule AS rule, s.start AS start, s.\"end\" AS \"end\", s.confidence AS confidence FROM (SELECT id, unnest(list_transform(kept, lambda y: y.s)) AS s FROM o)")
 def b14_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = spans.scan_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
     return found.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.*")
 
 
-@query()
+@query(_SQL_REDACTED + " SELECT id AS doc_id, CAST(n AS BIGINT) AS n, CAST(forged AS BIGINT) AS forgeries, text FROM d")
 def c8_redact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = spans.redact_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", nonce="5eed")
     return out.select("doc_id", "redaction.n", "redaction.forgeries", "text")
 
 
-@query("SELECT doc_id, CAST(0 AS BIGINT) AS n_findings, true AS ok FROM documents")
+@query(_SQL_REDACTED + f", w AS (SELECT doc_id AS id, text FROM documents), {_sql_left('w', 'before')}, {_sql_left('d', 'after')} SELECT id AS doc_id, b.n AS n_before, a.n AS n_after, a.n = 0 AS ok FROM before b JOIN after a USING (id)")
 def e7_verify_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nothing at or over the threshold is left in redacted texts."""
-    out = spans.redact_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", nonce="5eed")
-    return egress.verify(out, "doc_id", "text", "5eed")
+    """Findings at or over the threshold in texts before and after redaction; the redactor's own count plays no part."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("text").alias("before"))
+    out = spans.redact_texts(docs, "doc_id", "text", nonce="5eed")
+    count = lambda c: F.aggregate(spans.text_leaks(c, "5eed"), F.lit(0).cast("long"), lambda a, f: a + f["n"])
+    return out.select("doc_id", count("before").alias("n_before"), count("text").alias("n_after")).withColumn("ok", F.col("n_after") == 0)
 
 
 @query("SELECT page_id, regexp_extract(url, '^([^?#]*)', 1) AS url FROM pages")
