@@ -139,6 +139,12 @@ def char_class(value: Column | str) -> Column:
     return F.when(v == "", "unknown").when(v.rlike("[^a-zA-Z0-9]"), "mixed").when(v.rlike("[0-9]") & v.rlike("[a-zA-Z]"), "alphanumeric").when(v.rlike("[0-9]"), "numeric").when(v.rlike("[a-zA-Z]"), "alpha").otherwise("unknown")
 
 
+def preserved_shape(value: Column | str) -> Column:
+    """What may be told of a redacted value: struct(length, char_class)."""
+    v = _col(value)
+    return F.struct(F.length(v).cast("long").alias("length"), char_class(v).alias("char_class"))
+
+
 def fnv1a(text: Column | str) -> Column:
     """32-bit FNV-1a over UTF-16 code units, as eight hex digits."""
     raw = F.hex(F.encode(_col(text), "UTF-16BE"))

@@ -1,0 +1,5 @@
+"""Queries by name: the catalog, and entries for single operators."""
+
+from loomsift.plans import catalog, entries
+
+__all__ = ["catalog", "entries"]

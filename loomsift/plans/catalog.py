@@ -290,11 +290,6 @@ def b16_char_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", pii.char_class(F.split_part("text", F.lit(" "), F.lit(1))).alias("class"))
 
 
-@query()
-def c12_salted_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", pii.salted_hash("p_name", "salt").alias("hash"))
-
-
 # Geometry and scores
 
 
