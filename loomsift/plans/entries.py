@@ -9,7 +9,7 @@ from loomsift.functions import cells as C
 from loomsift.functions import geometry as G
 from loomsift.functions import pii
 from loomsift.functions import text as T
-from loomsift.operators import detections, egress, elements, scoring, spans
+from loomsift.operators import actions, detections, egress, elements, scoring, spans
 from loomsift.plans.catalog import _sql_resolved, _sql_spans, query, r, table
 from loomsift.sources import fixtures
 
@@ -335,3 +335,78 @@ def f1a_scores_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
 def f12_over_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select(F.concat(F.lit("q"), F.col("o_orderkey").cast("string")).alias("label"), (F.col("o_totalprice") / 1000).alias("ms"), (F.col("o_custkey") % 100).cast("double").alias("mb"), (F.col("o_custkey") % 7 + 1).alias("k"))
     return fixtures.check_budgets(orders.select("label", "ms", "mb"), orders.select("label", (F.col("k") * 20.0).alias("max_ms"), (F.col("k") * 5.0).alias("max_mb"))).select("label", "ms", "mb")
+
+
+# Actions
+
+_SAID = [
+    ('I will {"type":"click","ref":"e1"} now', "ok"), ('{"action":{"type":"wait","ms":50}}', "ok"), ('{"type":"scroll","direction":"down"}', "ok"), ('{"type":"type","target":{"role":"textbox"},"text":"a } b"}', "ok"),
+    ("", "empty-input"), ("   ", "empty-input"), ("no json here", "no-json-found"), ('{"type":"click"', "no-json-found"), ('{"type":"click","ref":"e1"} {"type":"wait"}', "multiple-actions"), ('{"type":"dance"}', "unknown-type"), ("{type: click}", "malformed-json"), ('{"kind":1}', "not-an-object"),
+    ('{"type":"click"}', "missing-field"), ('{"type":"type","ref":"e1"}', "missing-field"), ('{"type":"click","target":{}}', "missing-field"), ('{"type":"scroll","direction":"around"}', "bad-field-type"), ('{"type":"click","ref":7}', "bad-field-type"), ('{"type":"wait","ms":"long"}', "bad-field-type"), ('{"type":"wait","ms":-1}', "out-of-range"), ('{"type":"scroll","direction":"up","amountPx":1e9}', "out-of-range"),
+]
+
+
+@query(f"SELECT conv_id, turn, {[code for _, code in _SAID]}[CAST((conv_id * 7 + turn) % {len(_SAID)} AS INT) + 1] AS code FROM conversations")
+def n6_built_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outputs of a model of every kind, one for each turn of a conversation, and what is read from them."""
+    said = F.get(F.array(*[F.lit(t) for t, _ in _SAID]), ((F.col("conv_id") * 7 + F.col("turn")) % len(_SAID)).cast("int"))
+    return actions.parse_actions(table(spark, sf_dir, "conversations").select("conv_id", "turn", said.alias("text"))).select("conv_id", "turn", "action.code")
+
+
+_DONE = [
+    ('{"type":"click","ref":"e1"}', None), ('{"type":"click","ref":"e9"}', "unknown-ref"), ('{"type":"type","ref":"e2","text":"x"}', "sensitive-target"), ('{"type":"type","ref":"e1","text":"x"}', "not-typeable"), ('{"type":"type","ref":"e3","text":"x"}', None),
+    ('{"type":"type","ref":"e3","text":"held"}', "already-typed"), ('{"type":"navigate","url":"nowhere"}', "bad-url"), ('{"type":"navigate","url":"https://evil.example/x"}', "origin-not-allowed"), ('{"type":"navigate","url":"https://ex.org/x"}', None), ('{"type":"scroll","direction":"up","amountPx":6000}', "scroll-too-far"),
+    ('{"type":"wait","ms":20000}', "wait-too-long"), ('{"type":"ask_user","question":"What is your PIN?"}', "asks-for-credential"), ('{"type":"ask_user","question":"Which size?"}', None), ('{"type":"click","target":{"text":"one"}}', "ambiguous-target"), ('{"type":"click","target":{"text":"none"}}', "no-such-target"), ('{"type":"hop"}', "unknown-type"),
+]
+
+
+@query(f"SELECT p_partkey, CASE p_partkey % {len(_DONE) + 1} {' '.join(f"WHEN {i} THEN '{code}'" for i, (_, code) in enumerate(_DONE) if code)} WHEN {len(_DONE)} THEN 'text-too-long' END AS refused FROM part")
+def n7_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Actions of every kind against one page's limits, and why each is refused, or null."""
+    k = F.col("p_partkey") % (len(_DONE) + 1)
+    long = F.concat(F.lit('{"type":"type","ref":"e3","text":"'), F.repeat(F.lit("x"), actions.MAX_TYPE_CHARS + 1), F.lit('"}'))
+    said = F.coalesce(F.get(F.array(*[F.lit(t) for t, _ in _DONE]), k.cast("int")), long)
+    rows = actions.parse_actions(table(spark, sf_dir, "part").select("p_partkey", said.alias("text")))
+    refs = lambda *names: F.array(*[F.lit(n) for n in names])
+    status = F.when(F.get_json_object("text", "$.target.text") == "one", "ambiguous").when(F.get_json_object("text", "$.target.text").isNotNull(), "no-match")
+    resolved = F.struct(status.alias("status"), F.lit(None).cast("string").alias("ref"))
+    why = actions.refusal(F.col("action"), refs("e1", "e2", "e3"), refs("e2"), refs("e2", "e3"), refs("https://ex.org"), F.lit("held"), resolved)
+    return rows.select("p_partkey", why.alias("refused"))
+
+
+# Suppression of overlapping boxes
+
+
+@query("""
+    WITH x AS (SELECT l_suppkey, l_orderkey * 16 + l_linenumber AS id, l_partkey, l_discount AS c, CAST(l_partkey % 997 AS DOUBLE) AS x, CAST(l_orderkey % 887 AS DOUBLE) AS y, l_quantity + 30 AS w, l_extendedprice % 53 + 30 AS h FROM lineitem),
+    l AS (SELECT l_suppkey, list([{'id': id, 'c': c, 'x': x, 'y': y, 'r': x + w, 'b': y + h, 'a': w * h}] ORDER BY c DESC, id, l_partkey) AS s FROM x GROUP BY l_suppkey),
+    k AS (SELECT l_suppkey, unnest(list_reduce(s, lambda acc, z: list_concat(acc, list_filter(z, lambda d: len(list_filter(acc, lambda o: greatest(0, least(o.r, d.r) - greatest(o.x, d.x)) * greatest(0, least(o.b, d.b) - greatest(o.y, d.y)) >= 0.3 * (o.a + d.a - greatest(0, least(o.r, d.r) - greatest(o.x, d.x)) * greatest(0, least(o.b, d.b) - greatest(o.y, d.y))))) = 0)))) AS o FROM l)
+    SELECT l_suppkey, o.id AS det_id, o.c AS confidence FROM k
+""")
+def p5_suppress_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes that lie far apart, so that a supplier keeps many."""
+    place = G.rect(F.col("l_partkey") % 997, F.col("l_orderkey") % 887, F.col("l_quantity") + 30, F.col("l_extendedprice") % 53 + 30)
+    boxes = table(spark, sf_dir, "lineitem").select("l_suppkey", (F.col("l_orderkey") * 16 + F.col("l_linenumber")).alias("det_id"), F.struct((F.col("l_orderkey") * 16 + F.col("l_linenumber")).alias("id"), "l_partkey").alias("ord"), F.lit("face").alias("kind"), F.col("l_discount").alias("confidence"), place.alias("rect"))
+    return detections.suppress(boxes, ["l_suppkey"], 0.3).select("l_suppkey", "det_id", "confidence")
+
+
+# Redaction against truth
+
+
+@query("""
+    WITH p AS (SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN concat('still ', c_name) ELSE 'clean' END AS html, concat('/p', c_custkey % 3) AS own, c_name FROM customer),
+    e AS (SELECT o_custkey AS c_custkey, concat('/p', o_orderkey % 5) AS path, o_orderkey % 7 > 0 AS applied, CASE WHEN o_orderkey % 2 = 0 THEN 'below minConfidence 0.5' ELSE 'no element' END AS reason FROM orders),
+    g AS (SELECT e.c_custkey, count(*) FILTER (applied) AS applied, count(*) FILTER (applied AND path <> own) AS over_redacted, count(*) FILTER (NOT applied AND reason NOT LIKE 'below%') AS failed FROM e JOIN p USING (c_custkey) GROUP BY 1)
+    SELECT c_custkey, CAST(CASE WHEN c_custkey % 4 = 0 THEN 1 ELSE 0 END AS BIGINT) AS leaks, coalesce(applied, 0) AS applied, coalesce(failed, 0) AS failed, coalesce(over_redacted, 0) AS over_redacted, CAST(1 AS BIGINT) AS expected,
+        round(CASE WHEN coalesce(applied, 0) = 0 THEN 1 ELSE (applied - over_redacted) / applied END, 6) + 0.0 AS precision, round(CAST(least(1, greatest(0, coalesce(applied, 0) - coalesce(over_redacted, 0))) AS DOUBLE), 6) + 0.0 AS recall FROM p LEFT JOIN g USING (c_custkey)
+""")
+def f3_score_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page for each customer, its entries from orders; one place of each page should have been redacted."""
+    c = table(spark, sf_dir, "customer")
+    said = lambda prefix, n: F.concat(F.lit(prefix), n.cast("string"))
+    pages = c.select("c_custkey", F.when(F.col("c_custkey") % 4 == 0, F.concat(F.lit("still "), "c_name")).otherwise("clean").alias("html"))
+    o = F.col("o_orderkey")
+    entries = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), F.lit("email").alias("kind"), said("/p", o % 5).alias("path"), (o % 7 > 0).alias("applied"), F.when(o % 2 == 0, "below minConfidence 0.5").otherwise("no element").alias("reason")).join(c.select("c_custkey"), "c_custkey", "left_semi")
+    truth = c.select("c_custkey", said("/p", F.col("c_custkey") % 3).alias("path"), F.lit(True).alias("must_redact"), F.col("c_name").alias("literal"))
+    out = scoring.score_redaction(pages, entries, truth, truth.select("c_custkey", F.lit("/benign").alias("path")), ["c_custkey"])
+    return out.select("c_custkey", "leaks", "applied", "failed", "over_redacted", "expected", r("precision", 6).alias("precision"), r("recall", 6).alias("recall"))
