@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._common import checkpoint
 
 def segment(n: Column, i: int, edits: int) -> tuple[Column, Column]:
     """First character (from 1) and length of segment i of a line of n characters; the later ones are the longer."""
@@ -34,25 +35,33 @@ def windows(edits: int) -> list[tuple[int, int, int]]:
     return out
 
 
+def text_number(text: str) -> Column:
+    """Tells texts of one key apart."""
+    return F.hash(F.lit("text"), F.col(text))
+
+
 def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(F.col(key).alias("key"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("pos", "line"))
+    """key, place, line: the high half of the place is the text's number, the low half the line's, from 0."""
+    lines = docs.select(F.col(key).alias("key"), text_number(text).alias("text_number"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("pos", "line"))
+    return lines.select("key", (F.shiftleft(F.col("text_number").cast("bigint"), 32) + F.col("pos")).alias("place"), "line")
 
 
 def duplicate_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = 2, least_chars: int = 30) -> DataFrame:
-    """(key, dropped): the ascending positions, from 0, of the lines to drop; only for keys that have any.
+    """(key, text_number, dropped): the ascending positions, from 0, of the lines to drop; only for texts that have any.
 
     A line is dropped if the same line, or one within `edits` edits (insertions, deletions,
-    substitutions of characters), occurs earlier; order is by key, then position, a null key first. Lines under
-    `least_chars` characters are never dropped and count for nothing. Rows of one key are one text's
-    copies: a position is the same place in each. Null and empty texts have no such line.
+    substitutions of characters), occurs earlier; order is by key, a null key first, then by the
+    text's number where texts share a key, then by position. Lines under `least_chars` characters are
+    never dropped and count for nothing. Rows alike in key and text are one text's copies: they lose
+    the same lines, and none to each other. Null and empty texts have no such line.
     """
     if least_chars < edits + 1:
         raise ValueError("least_chars must exceed the edits, or a segment would be empty")
     n = F.length("line")
-    seen = lines_of(docs, key, text).where(n >= least_chars).select("key", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), "line")
+    seen = lines_of(docs, key, text).where(n >= least_chars).select("key", "place", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), "line")
     # Equal lines become one, with their first place; copies are merged before they move.
-    distinct = seen.groupBy("h1").agg(F.min(F.struct("key", "pos", "h2", "line")).alias("first"))
-    distinct = distinct.select("h1", F.struct("first.key", "first.pos").alias("first"), F.col("first.line").alias("line"))
+    distinct = seen.groupBy("h1").agg(F.min(F.struct("key", "place", "h2", "line")).alias("first"))
+    distinct = distinct.select("h1", F.struct("first.key", "first.place").alias("first"), F.col("first.line").alias("line"))
     entries = []
     for gap, i, shift in windows(edits):
         first, size = segment(n - gap, i, edits)
@@ -65,21 +74,28 @@ def duplicate_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", ed
     told = shared.join(distinct, "h1")
     late, early = told.select("part", "h1", "own", "first", "line"), told.select(F.col("part").alias("p"), F.col("own").alias("o"), F.col("first").alias("f"), F.col("line").alias("l"))
     near = (F.col("part") == F.col("p")) & (F.col("own") | F.col("o")) & (F.col("f") < F.col("first")) & (F.abs(F.length("line") - F.length("l")) <= edits) & (F.levenshtein("line", "l", edits) >= 0)
-    found = late.join(early, near, "left_semi").select("h1").distinct().withColumn("late", F.lit(True))
+    # Written, so that what was shuffled to find these few numbers can go.
+    found = checkpoint(late.join(early, near, "left_semi").select("h1").distinct()).withColumn("late", F.lit(True))
     # Lines of equal h1 and another h2 are no copies of the first; they stay.
-    firsts = seen.groupBy("h1").agg(F.min(F.struct("key", "pos", "h2")).alias("first"), F.count("*").alias("n")).join(found, "h1", "left").where("n > 1 or late")
-    places = seen.select("key", "pos", "h1", "h2").join(firsts, "h1").where((F.col("h2") == F.col("first.h2")) & (F.col("late").isNotNull() | ~(F.col("key").eqNullSafe(F.col("first.key")) & (F.col("pos") == F.col("first.pos")))))
-    return places.groupBy("key").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
+    firsts = seen.groupBy("h1").agg(F.min(F.struct("key", "place", "h2")).alias("first"), F.count("*").alias("n")).join(found, "h1", "left").where("n > 1 or late")
+    places = seen.select("key", "place", "h1", "h2").join(firsts, "h1").where((F.col("h2") == F.col("first.h2")) & (F.col("late").isNotNull() | ~(F.col("key").eqNullSafe(F.col("first.key")) & (F.col("place") == F.col("first.place")))))
+    lost = places.select("key", F.shiftright("place", 32).cast("int").alias("text_number"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("pos"))
+    return lost.groupBy("key", "text_number").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
 
 
-def drop_duplicate_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = 2, least_chars: int = 30) -> DataFrame:
-    """All columns of `docs`, the text without its duplicate lines, and n_dropped; see duplicate_lines.
+def drop_duplicate_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = 2, least_chars: int = 30, name: str = "n_dropped") -> DataFrame:
+    """All columns of `docs`, the text without its duplicate lines, and their number, `name`; see duplicate_lines.
 
     A text without such lines, null ones too, stays as it is; one of which no line is left is empty.
+    A column of `docs` that is called `name` gives way.
     """
-    found = duplicate_lines(docs, key, text, edits, least_chars).select(F.col("key").alias("found_key"), "dropped")
-    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
-    met = rows.join(found, rows["row"][key].eqNullSafe(found["found_key"]), "left")
-    kept = F.array_join(F.filter(F.split(F.col("row")[text], "\n", -1), lambda x, i: ~F.array_contains("dropped", i)), "\n")
-    cleaned = F.when(F.col("dropped").isNull(), F.col("row")[text]).otherwise(kept).alias(text)
-    return met.select(*[cleaned if c == text else F.col("row")[c].alias(c) for c in docs.columns], F.coalesce(F.size("dropped"), F.lit(0)).alias("n_dropped"))
+    found = checkpoint(duplicate_lines(docs, key, text, edits, least_chars)).select(F.col("key").alias("found_key"), F.col("text_number").alias("found_number"), "dropped")
+    others = F.struct(F.lit(0).alias("none"), *[docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(docs.columns) if c != text])
+    # The lines move instead of the text: which of them stay is then looked up by number.
+    rows = docs.select(others.alias("row"), F.col(key).alias("key"), text_number(text).alias("text_number"), F.split(F.col(text), "\n", -1).alias("lines"))
+    met = rows.join(found, F.col("key").eqNullSafe(F.col("found_key")) & (F.col("text_number") == F.col("found_number")), "left")
+    every = F.when(F.size("lines") > 0, F.sequence(F.lit(0), F.size("lines") - 1))
+    kept = F.transform(F.array_except(every, "dropped"), lambda i: F.get(F.col("lines"), i))
+    cleaned = F.array_join(F.when(F.col("dropped").isNull(), F.col("lines")).otherwise(kept), "\n").alias(text)
+    back = [cleaned if c == text else F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns) if c.lower() != name.lower()]
+    return met.select(*back, F.coalesce(F.size("dropped"), F.lit(0)).alias(name))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from . import langid
 from ._common import read_table, train_filter
 from .embedding_dedup import near_duplicate_groups
-from .line_dedup import duplicate_lines
+from .line_dedup import duplicate_lines, text_number
 from .lm_scoring import lm_scores
 from .mixing import mixture
 from .ngram_jaccard import jaccard_components
@@ -75,9 +75,9 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    found = duplicate_lines(docs, edits=2, least_chars=30)
-    lines = docs.select("doc_id", F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long").alias("n_lines"))
-    met = lines.join(found.withColumnRenamed("key", "doc_id"), "doc_id", "left")
+    found = duplicate_lines(docs, edits=2, least_chars=30).withColumnRenamed("key", "of_key")
+    lines = docs.select("doc_id", text_number("text").alias("number"), F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long").alias("n_lines"))
+    met = lines.join(found, F.col("doc_id").eqNullSafe(F.col("of_key")) & (F.col("number") == F.col("text_number")), "left")
     return met.select("doc_id", "n_lines", F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce(F.array_join("dropped", ","), F.lit("")).alias("dropped"))
 
 
