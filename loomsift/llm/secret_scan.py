@@ -58,7 +58,7 @@ def _matches(text: str, number: int, kind: tuple) -> Column:
 
 
 def secret_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", reach: int = 200) -> DataFrame:
-    """One row per span: row_key (key, text hash), kind, start, end; code points, end exclusive.
+    """One row per span: row_key (key, text hash), kind, place, start, end, credential; code points, end exclusive.
 
     Base kinds: assign, access, hex. Linked kinds: link_id, link_secret, link_endpoint. An identifier
     (access or link_id) and a secret (assign, hex or link_secret) are complementary; link_id and
@@ -66,6 +66,10 @@ def secret_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", reach
     link_endpoint only with both. A section, however long, ends at a blank line or at white space of
     `reach` characters or more. Candidates inside an assign, access or hex span are that span, not a part.
     Rows alike in key and text give their spans once.
+
+    credential numbers, from 1 in each text, what belongs together: spans follow each other into one
+    credential as long as they are in one section or at most `reach` characters apart. It is null
+    where there is no identifier or no secret among them.
     """
     own = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     # Sections matter only where there are weak candidates.
@@ -94,24 +98,35 @@ def secret_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", reach
 
     linked = sections.withColumns({"by_id": near(an_id), "by_secret": near(a_secret)})
     kept = linked.where(base | ((kind == 3) & F.col("by_secret")) | ((kind == 4) & F.col("by_id")) | ((kind == 5) & F.col("by_id") & F.col("by_secret")))
+    # The interval join's groups: a span begins a new one where it reaches none before it.
+    in_order = Window.partitionBy("key", "hash").orderBy("start", "kind", "end")
+    before = in_order.rowsBetween(Window.unboundedPreceding, -1)
+    apart = (F.lag("section").over(in_order) != F.col("section")) & (F.max("end").over(before) < F.col("start") - reach)
+    grouped = kept.withColumn("apart", F.coalesce(apart, F.lit(False))).withColumn("run", F.count_if("apart").over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    run = Window.partitionBy("key", "hash", "run")
+    whole = (F.count_if(an_id).over(run) > 0) & (F.count_if(a_secret).over(run) > 0)
+    first = F.row_number().over(run.orderBy("start", "kind", "end")) == 1
+    marked = grouped.withColumns({"whole": whole, "first": first})
+    number = F.count_if(F.col("whole") & F.col("first")).over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     name = F.element_at(F.array(*[F.lit(k[0]) for k in KINDS]), kind + 1)
-    return kept.select(F.struct("key", "hash").alias("row_key"), name.alias("kind"), kind.alias("place"), "start", "end")
+    return marked.select(F.struct("key", "hash").alias("row_key"), name.alias("kind"), kind.alias("place"), "start", "end", F.when(F.col("whole"), number).alias("credential"))
 
 
 def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", reach: int = 200) -> DataFrame:
-    """One row per row of `docs`: key, n_assign, n_access, n_hex, base_sha256, spans, n_linked.
+    """One row per row of `docs`: key, n_assign, n_access, n_hex, base_sha256, spans, n_linked, credentials.
 
     spans: kind:start:end of all spans by start, then kind, comma-joined; base_sha256: of the same
-    string of base spans only. A null text counts as empty: no spans, the digest of the empty string.
+    string of base spans only; credentials: number:kind:start:end of the spans that are part of one,
+    likewise. A null text counts as empty: no spans, the digest of the empty string.
     Repeated rows give repeated rows; an empty table gives none; other columns are not read.
     """
     spans = secret_spans(docs, key, text, reach)
-    item = F.struct("start", "place", F.concat_ws(":", "kind", "start", "end").alias("say"))
+    item = F.struct("start", "place", F.concat_ws(":", "kind", "start", "end").alias("say"), "credential")
     count = lambda name: F.count_if(F.col("kind") == name)
     said = spans.groupBy("row_key").agg(count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"), F.count_if(F.col("place") >= N_BASE).alias("n_linked"), F.array_sort(F.collect_list(item)).alias("all"))
     say = lambda items: F.concat_ws(",", F.transform(items, lambda x: x["say"]))
-    said = said.select("row_key", "n_assign", "n_access", "n_hex", "n_linked", say(F.filter("all", lambda x: x["place"] < N_BASE)).alias("base"), say("all").alias("spans"))
+    said = said.select("row_key", "n_assign", "n_access", "n_hex", "n_linked", say(F.filter("all", lambda x: x["place"] < N_BASE)).alias("base"), say("all").alias("spans"), F.concat_ws(",", F.transform(F.filter("all", lambda x: x["credential"].isNotNull()), lambda x: F.concat_ws(":", x["credential"], x["say"]))).alias("credentials"))
     rows = docs.select(F.col(key).alias("key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("hash"))
     joined = rows.join(said, rows["key"].eqNullSafe(said["row_key.key"]) & (rows["hash"] == said["row_key.hash"]), "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
-    return joined.select(F.col("key").alias(key), zero("n_assign"), zero("n_access"), zero("n_hex"), F.sha2(F.coalesce("base", F.lit("")), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"), zero("n_linked"))
+    return joined.select(F.col("key").alias(key), zero("n_assign"), zero("n_access"), zero("n_hex"), F.sha2(F.coalesce("base", F.lit("")), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"), zero("n_linked"), F.coalesce("credentials", F.lit("")).alias("credentials"))
