@@ -194,7 +194,7 @@ _SQL_RULES = " UNION ALL ".join(f"SELECT '{x.name}' AS rule, sum(len(regexp_extr
 def b1_rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matches of each rule before its check."""
     docs = table(spark, sf_dir, "documents").select("text")
-    item = F.array(*[F.struct(F.lit(x.name).alias("rule"), F.regexp_count("text", F.lit(pii.java_pattern(x))).alias("n")) for x in pii.RULES])
+    item = F.array(*[F.struct(F.lit(x.name).alias("rule"), F.when(F.col("text").rlike(x.needs), F.regexp_count("text", F.lit(pii.java_pattern(x)))).alias("n")) for x in pii.RULES])
     return docs.select(F.explode(item).alias("x")).groupBy("x.rule").agg(F.coalesce(F.sum("x.n"), F.lit(0)).alias("n"))
 
 
