@@ -320,14 +320,14 @@ def p2_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_SQL_RECTS + """
-        FROM x a LEFT JOIN x b ON a.l_suppkey = b.l_suppkey AND b.l_linenumber = 1 WHERE a.l_linenumber = 2
+        FROM x a LEFT JOIN x b ON a.l_suppkey = b.l_suppkey AND b.l_linenumber % 2 = 1 WHERE a.l_linenumber % 2 = 0
     ), k AS (SELECT l_suppkey, id, b_id, row_number() OVER (PARTITION BY l_suppkey, id ORDER BY CASE WHEN inter / (w * h) >= 0.6 THEN bw * bh END NULLS LAST, b_id) AS k, inter / (w * h) >= 0.6 AS ok FROM p)
     SELECT l_suppkey, id AS det_id, CASE WHEN ok THEN CAST(b_id AS VARCHAR) END AS path FROM k WHERE k = 1
 """)
 def c1_attach(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _rects(spark, sf_dir)
-    nodes = rows.where("l_linenumber = 1").select("l_suppkey", F.col("id").alias("node_ord"), F.col("id").cast("string").alias("path"), "rect")
-    return detections.attach(rows.where("l_linenumber = 2").select("l_suppkey", F.col("id").alias("det_id"), "rect"), nodes, ["l_suppkey"]).select("l_suppkey", "det_id", "path").distinct()
+    nodes = rows.where("l_linenumber % 2 = 1").select("l_suppkey", F.col("id").alias("node_ord"), F.col("id").cast("string").alias("path"), "rect")
+    return detections.attach(rows.where("l_linenumber % 2 = 0").select("l_suppkey", F.col("id").alias("det_id"), "rect"), nodes, ["l_suppkey"]).select("l_suppkey", "det_id", "path").distinct()
 
 
 @query()
@@ -337,10 +337,10 @@ def p5_suppress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_SQL_RECTS + """
-        FROM x a JOIN x b ON a.l_suppkey = b.l_suppkey AND b.l_linenumber = 1 WHERE a.l_linenumber = 2
+        FROM x a JOIN x b ON a.l_suppkey = b.l_suppkey AND b.l_linenumber % 2 = 1 WHERE a.l_linenumber % 2 = 0
     ), m AS (SELECT l_suppkey, id, min(b_id) AS target FROM p WHERE inter / (w * h + bw * bh - inter) >= 0.5 GROUP BY ALL),
-    f AS (SELECT x.l_suppkey, count(*) AS found, count(target) AS hits, count(DISTINCT target) AS tp FROM x LEFT JOIN m USING (l_suppkey, id) WHERE l_linenumber = 2 GROUP BY 1),
-    t AS (SELECT l_suppkey, count(*) AS n FROM x WHERE l_linenumber = 1 GROUP BY 1),
+    f AS (SELECT x.l_suppkey, count(*) AS found, count(target) AS hits, count(DISTINCT target) AS tp FROM x LEFT JOIN m USING (l_suppkey, id) WHERE l_linenumber % 2 = 0 GROUP BY 1),
+    t AS (SELECT l_suppkey, count(*) AS n FROM x WHERE l_linenumber % 2 = 1 GROUP BY 1),
     s AS (SELECT l_suppkey, coalesce(tp, 0) AS tp, coalesce(hits - tp, 0) AS duplicates, coalesce(found - tp, 0) AS fp, coalesce(n, 0) - coalesce(tp, 0) AS fn FROM f FULL JOIN t USING (l_suppkey)),
     u AS (SELECT *, CASE WHEN tp + fp = 0 THEN 1 ELSE tp / (tp + fp) END AS precision, CASE WHEN tp + fn = 0 THEN 1 ELSE tp / (tp + fn) END AS recall FROM s)
     SELECT l_suppkey, tp, duplicates, fp, fn, round(precision, 6) + 0.0 AS precision, round(recall, 6) + 0.0 AS recall, round(CASE WHEN precision + recall = 0 THEN 0 ELSE 2 * precision * recall / (precision + recall) END, 6) + 0.0 AS f1 FROM u
@@ -348,8 +348,8 @@ def p5_suppress(spark: SparkSession, sf_dir: str) -> DataFrame:
 def f1_score_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _rects(spark, sf_dir)
     none = F.lit(None).cast("string")
-    found = rows.where("l_linenumber = 2").select("l_suppkey", F.col("id").alias("det_id"), F.lit("face").alias("kind"), F.col("l_discount").alias("confidence"), none.alias("path"), none.alias("attr"), "rect")
-    truth = rows.where("l_linenumber = 1").select("l_suppkey", F.col("id").alias("truth_id"), F.col("id").alias("truth_ord"), F.lit("face").alias("kind"), none.alias("path"), none.alias("attr"), "rect", F.lit(True).alias("must_redact"))
+    found = rows.where("l_linenumber % 2 = 0").select("l_suppkey", F.col("id").alias("det_id"), F.lit("face").alias("kind"), F.col("l_discount").alias("confidence"), none.alias("path"), none.alias("attr"), "rect")
+    truth = rows.where("l_linenumber % 2 = 1").select("l_suppkey", F.col("id").alias("truth_id"), F.col("id").alias("truth_ord"), F.lit("face").alias("kind"), none.alias("path"), none.alias("attr"), "rect", F.lit(True).alias("must_redact"))
     out = scoring.score_detections(found, truth, ["l_suppkey"])
     return out.select("l_suppkey", "tp", "duplicates", "fp", "fn", *[r(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
