@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomsift.functions import cells as C
 from loomsift.functions import geometry as G
 from loomsift.functions import pii
 from loomsift.functions import text as T
-from loomsift.operators import actions, detections, egress, elements, scoring, spans
+from loomsift.operators import actions, analysis, detections, egress, elements, scoring, spans
 from loomsift.plans.catalog import _sql_resolved, _sql_spans, query, r, table
-from loomsift.sources import fixtures
+from loomsift.sources import fixtures, html
 
 # Cells
 
@@ -410,3 +410,52 @@ def f3_score_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     truth = c.select("c_custkey", said("/p", F.col("c_custkey") % 3).alias("path"), F.lit(True).alias("must_redact"), F.col("c_name").alias("literal"))
     out = scoring.score_redaction(pages, entries, truth, truth.select("c_custkey", F.lit("/benign").alias("path")), ["c_custkey"])
     return out.select("c_custkey", "leaks", "applied", "failed", "over_redacted", "expected", r("precision", 6).alias("precision"), r("recall", 6).alias("recall"))
+
+
+# Pages with a table
+
+
+def _supplier_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page for each supplier: a table of its line items, by kind with names only, personal data only, or none at all."""
+    li = table(spark, sf_dir, "lineitem").withColumn("at", F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey")))
+    k = F.col("l_suppkey") % 5
+    said = lambda c: F.col(c).cast("string")
+    row = F.when(k == 1, F.concat(F.lit("<tr><td>a"), said("at"), F.lit("@ex.org<td>b"), said("at"), F.lit("@ex.org"))).when(k == 2, F.concat(F.lit("<tr><td>name"), said("at"), F.lit("<td>other"), said("at")))
+    row = row.otherwise(F.concat(F.lit("<tr><td>$"), said("l_quantity"), F.lit("<td>"), F.when(F.col("at") % 9 == 0, "n/a").otherwise(F.concat((F.col("l_partkey") % 1000).cast("string"), F.lit(".5"))), F.lit("<td>mail x"), said("at"), F.lit("@ex.org")))
+    rows = li.groupBy("l_suppkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", row.alias("row")))), lambda x: x["row"]), "").alias("rows"))
+    head = F.when(F.col("l_suppkey") % 5 > 2, "<tr><th>qty<th>part<th>mail").when(F.col("l_suppkey") % 5 == 0, "<tr><th>qty<th>part<th>mail").otherwise("<tr><th>a<th>b")
+    whole = F.concat(F.lit("<html><body><canvas></canvas><table><tr><td>small</table><table>"), head, "rows", F.lit("</table><svg></svg></body></html>"))
+    return rows.select(F.col("l_suppkey").alias("page_id"), F.when(F.col("l_suppkey") % 5 == 3, "<html><body><p>no table</p></body></html>").otherwise(whole).alias("html"))
+
+
+_SQL_LINES = "WITH l AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) AS k FROM lineitem), v AS (SELECT l_suppkey AS page_id, k, l_quantity AS qty, CASE WHEN k % 9 > 0 THEN l_partkey % 1000 + 0.5 END AS part FROM l WHERE l_suppkey % 5 IN (0, 4)) "
+
+
+@query("""
+    SELECT l_suppkey AS page_id, CASE l_suppkey % 5 WHEN 1 THEN 'all-columns-redacted' WHEN 2 THEN 'no-numeric-column' WHEN 3 THEN 'no-table-found' END AS refusal, CASE WHEN l_suppkey % 5 IN (0, 4) THEN 'analysed' WHEN l_suppkey % 5 = 1 THEN 'blocked' ELSE 'no-data' END AS state,
+        CAST(CASE l_suppkey % 5 WHEN 3 THEN 0 ELSE 2 END AS BIGINT) AS n_tables, CAST(CASE l_suppkey % 5 WHEN 3 THEN 0 ELSE 2 END AS BIGINT) AS n_charts, CASE l_suppkey % 5 WHEN 3 THEN 0 ELSE count(*) END AS n_rows, CAST(CASE l_suppkey % 5 WHEN 3 THEN 0 WHEN 1 THEN 2 WHEN 2 THEN 2 ELSE 3 END AS BIGINT) AS n_columns,
+        CAST(CASE l_suppkey % 5 WHEN 1 THEN 2 WHEN 2 THEN 0 WHEN 3 THEN 0 ELSE 1 END AS BIGINT) AS columns_redacted, CASE l_suppkey % 5 WHEN 1 THEN 2 * count(*) WHEN 2 THEN 0 WHEN 3 THEN 0 ELSE count(*) END AS cells_excluded, l_suppkey % 5 NOT IN (0, 4) AS empty
+    FROM lineitem GROUP BY l_suppkey
+""")
+def a18_analyze_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables of pages from HTML on: what is analysed, what is refused, and why."""
+    pages = analysis.is_empty(analysis.analyze_pages(html.dom_nodes(_supplier_pages(spark, sf_dir))).pages)
+    return pages.select("page_id", "refusal", "state", "n_tables", "n_charts", "n_rows", "n_columns", "columns_redacted", "cells_excluded", "empty")
+
+
+@query(_SQL_LINES + """, u AS (SELECT page_id, 'qty' AS label, qty AS v FROM v UNION ALL SELECT page_id, 'part', part FROM v)
+    SELECT page_id, label, count(v) AS n, round(min(v), 4) + 0.0 AS min, round(max(v), 4) + 0.0 AS max, round(avg(v), 4) + 0.0 AS mean, round(median(v), 4) + 0.0 AS median, round(stddev_samp(v), 4) + 0.0 AS sd FROM u GROUP BY page_id, label
+""")
+def a9_page_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = analysis.analyze_pages(html.dom_nodes(_supplier_pages(spark, sf_dir))).stats
+    return out.select("page_id", "label", "n", *[r(c).alias(c) for c in ("min", "max", "mean", "median", "sd")])
+
+
+@query(_SQL_LINES + """SELECT page_id, printf('stat qty n=%d mean=%.2f', count(qty), round(avg(qty), 2)) AS first, CAST(1 AS BIGINT) AS n_stat_part FROM v GROUP BY page_id""")
+def a23_page_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reports' lines on a column: its count and mean, read back from the text."""
+    lines = analysis.analyze_pages(html.dom_nodes(_supplier_pages(spark, sf_dir))).report()
+    of = lambda name: F.filter("lines", lambda x: F.startswith(x, F.lit(f"stat {name} ")))
+    line = F.get(of("qty"), F.lit(0))
+    mean = F.regexp_extract(line, "mean=([^ ]+)", 1).cast("double")
+    return lines.select("page_id", F.format_string("stat qty n=%s mean=%.2f", F.regexp_extract(line, "n=([0-9]+)", 1), mean).alias("first"), F.size(of("part")).cast("long").alias("n_stat_part"))
