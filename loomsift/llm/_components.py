@@ -26,6 +26,20 @@ def least_labels(linked: np.ndarray) -> np.ndarray:
         label = least
 
 
+def edge_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Least node of each node's component, from edges between the nodes that `label` numbers."""
+    while True:
+        least = label.copy()
+        np.minimum.at(least, a, label[b])
+        np.minimum.at(least, b, label[a])
+        # The component's present root learns of the lesser one as well.
+        np.minimum.at(least, label, least.copy())
+        least = least[least]
+        if (least == label).all():
+            return label
+        label = least
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every greater neighbour of a node is tied to the least of the node and its neighbours."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -48,17 +62,7 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     splits = np.cumsum([len(x) for p in parts for x in p])[:-1]
     ends = np.split(of, splits)
     a, b = np.concatenate(ends[0::2]), np.concatenate(ends[1::2])
-    label = np.arange(len(ids))
-    while True:
-        least = label.copy()
-        np.minimum.at(least, a, label[b])
-        np.minimum.at(least, b, label[a])
-        # The component's present root learns of the lesser one as well.
-        np.minimum.at(least, label, least.copy())
-        least = least[least]
-        if (least == label).all():
-            break
-        label = least
+    label = edge_labels(np.arange(len(ids)), a, b)
     moved = np.flatnonzero(label != np.arange(len(ids)))
     yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[label[moved]])], names=["a", "b"])
 

@@ -2,8 +2,8 @@
 
 Equal vectors become one with a count. A vector is at home in the cell of its nearest centroid and
 probes every cell that a vector linked to it can be at home in. A pair is looked for in the home of
-its greater id, so it counts once and none is missed. Cells of any size are compared in pairs of tiles, which send back sums and spanning
-edges, never pairs.
+its greater id, so it counts once and none is missed. In cells of any size, tiles of probing vectors meet
+tiles of those at home, and send back sums and spanning edges, never pairs.
 """
 
 from __future__ import annotations
@@ -17,12 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import checkpoint
-from ._components import connected_components, least_labels
+from ._components import connected_components, edge_labels
 
 #: Vectors that the centroids are fitted on, about; a bound, chosen by hash.
-SAMPLE = 20_000
-#: Centroids at most; a cell beyond its aim is compared in more tiles.
-MOST_CENTROIDS = 1024
+SAMPLE = 40_000
+#: Cells at least, where there are so many vectors, and at most; a cell beyond its aim is compared in more tiles.
+LEAST_CELLS, MOST_CELLS = 4, 4096
 #: Vectors of one label that a cell aims at.
 CELL_ROWS = 2048
 #: Rows of a tile: two tiles of d components take 16 d KB.
@@ -46,11 +46,12 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def probed(unit: np.ndarray, centroids: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def probed(unit: np.ndarray, centroids: np.ndarray, threshold: float, margin: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, cell, and whether the cell is its home, for every cell that can be home to a vector of cosine `threshold` or more.
 
     Such a vector is beyond the plane that bisects the two centroids, which is then at most the link
-    angle away: the row's distance to the plane is at most the sine of that angle.
+    angle away: the row's distance to the plane is at most the sine of that angle, of which `margin` is the
+    share that is probed.
     """
     cosine = unit @ centroids.T
     home = cosine.argmax(1)
@@ -58,7 +59,7 @@ def probed(unit: np.ndarray, centroids: np.ndarray, threshold: float) -> tuple[n
     if threshold > 0:
         apart = np.sqrt(np.maximum(2 - 2 * (centroids @ centroids.T), 0))
         # The slack is for rounding.
-        near = own[:, None] - cosine <= math.sqrt(max(1 - threshold * threshold, 0)) * apart[home] + 1e-7
+        near = own[:, None] - cosine <= margin * math.sqrt(max(1 - threshold * threshold, 0)) * apart[home] + 1e-7
     else:
         near = np.ones(cosine.shape, bool)
     near[np.arange(len(home)), home] = True
@@ -66,7 +67,7 @@ def probed(unit: np.ndarray, centroids: np.ndarray, threshold: float) -> tuple[n
     return row, cell, home[row] == cell
 
 
-def _assigning(shared, threshold: float):
+def _assigning(shared, threshold: float, margin: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centroids = shared.value
         for batch in batches:
@@ -75,7 +76,7 @@ def _assigning(shared, threshold: float):
             fits = np.flatnonzero(size == centroids.shape[1])
             if len(centroids) > 1 and len(fits):
                 x = _matrix(batch.column(1).take(pa.array(fits)))
-                r, c, h = probed(x / np.linalg.norm(x, axis=1)[:, None], centroids, threshold)
+                r, c, h = probed(x / np.linalg.norm(x, axis=1)[:, None], centroids, threshold, margin)
                 rest = np.flatnonzero(size != centroids.shape[1])
                 row, cell, home = np.concatenate([fits[r], rest]), np.concatenate([c, np.zeros(len(rest), np.int64)]), np.concatenate([h, np.ones(len(rest), bool)])
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(cell.astype(np.int32)), pa.array(home)], names=["id", "cell", "home"])
@@ -83,15 +84,18 @@ def _assigning(shared, threshold: float):
     return run
 
 
-def near_duplicate_groups(vectors: DataFrame, threshold: float = 0.93, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
+def near_duplicate_groups(vectors: DataFrame, threshold: float = 0.93, key: str = "vec_id", vector: str = "embedding", label: str = "label", cells: int | None = None, margin: float = 1.0) -> DataFrame:
     """One row per row of `vectors`: key, n_links, component_id, kept.
 
     Two vectors are compared when their labels are equal and not null and their lengths are equal,
     and linked when their cosine in double precision is at least `threshold`. A vector that is null,
     empty, zero or holds null or non-finite components has no link; nor has one with a null key.
     n_links: other rows linked directly; component_id: least key reachable (the row's own without
-    links); kept: key = component_id. Every link is found. Rows of one key and vector count as
-    copies. An empty table gives no rows.
+    links); kept: key = component_id. Rows of one key and vector count as copies; different vectors of
+    one key have each their own links, and one class. An empty table gives no rows.
+
+    cells: number of k-means cells, else one for about CELL_ROWS vectors of a label. margin: 1 finds
+    every link; less probes fewer cells and may miss links, never adds one.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(key).alias("id"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("x"))
@@ -104,47 +108,59 @@ def near_duplicate_groups(vectors: DataFrame, threshold: float = 0.93, key: str
     once = checkpoint(keyed.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.any_value("label").alias("label"), F.any_value("x").alias("x")))
 
     n, labels = once.agg(F.count("*"), F.approx_count_distinct("label")).first()
-    k = int(min(MOST_CENTROIDS, max(1, round(n / max(1, labels) / CELL_ROWS)))) if n else 1
+    k = cells or min(MOST_CELLS, max(LEAST_CELLS, round(n / max(1, labels) / CELL_ROWS)))
     width = once.groupBy(F.size("x").alias("w")).count().orderBy(F.desc("count"), "w").first() if n else None
-    part = once.where(F.size("x") == (width["w"] if width else 0)).where(F.pmod(F.xxhash64("h1"), F.lit(1 << 20)) < F.lit(math.ceil(min(1.0, SAMPLE / max(n, 1)) * (1 << 20)))).select("x").toPandas() if k > 1 else None
-    if part is not None and len(part) >= 2 * k:
-        sample = np.array(part["x"].tolist())
-        centroids = spherical_k_means(sample / np.linalg.norm(sample, axis=1)[:, None], k)
-    else:
-        centroids = np.zeros((1, width["w"] if width else 1))
+    centroids = np.zeros((1, width["w"] if width else 1))
+    if n:
+        part = once.where(F.size("x") == width["w"]).where(F.pmod(F.xxhash64("h1"), F.lit(1 << 20)) < F.lit(math.ceil(min(1.0, SAMPLE / n) * (1 << 20)))).select("x").toPandas()
+        sample = np.array(part["x"].tolist()).reshape(-1, width["w"])
+        if len(sample):
+            centroids = spherical_k_means(sample / np.linalg.norm(sample, axis=1)[:, None], min(k, len(sample)))
     kind = once.schema["id"].dataType.simpleString()
     shared = spark.sparkContext.broadcast(centroids)
-    cells = checkpoint(once.select(F.struct("id", "copies", "label", "x").alias("id"), "x").mapInArrow(_assigning(shared, threshold), f"id {once.select(F.struct('id', 'copies', 'label', 'x')).schema[0].dataType.simpleString()}, cell int, home boolean").select("id.*", "cell", "home", F.size("id.x").alias("w")))
-    # Tiles of a cell: a row goes to every pair of tiles that its own is in.
-    sizes = cells.groupBy("label", "w", "cell").agg(F.ceil(F.count("*") / TILE_ROWS).cast("int").alias("tiles"))
-    tiled = cells.join(sizes, ["label", "w", "cell"]).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
-    paired = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("label", "w", "cell", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"), "tile", "id", "copies", "home", "x")
+    passed = F.struct("id", "h1", "copies", "label", "x")
+    placed = once.select(passed.alias("id"), "x").mapInArrow(_assigning(shared, threshold, margin), f"id {once.select(passed).schema[0].dataType.simpleString()}, cell int, home boolean")
+    placed = checkpoint(placed.select("id.*", "cell", "home", F.size("id.x").alias("w")))
+    # Rows that probe a cell meet those at home there, tile by tile: each goes to all tiles of the other side.
+    sizes = placed.groupBy("label", "w", "cell").agg(F.ceil(F.count("*") / TILE_ROWS).cast("int").alias("probes"), F.ceil(F.count_if("home") / TILE_ROWS).cast("int").alias("homes"))
+    tiled = placed.join(sizes, ["label", "w", "cell"])
+    own = lambda c: F.pmod(F.xxhash64("h1"), F.greatest(F.col(c), F.lit(1))).cast("int")
+    upto = lambda c: F.when(F.col(c) > 0, F.sequence(F.lit(0), F.col(c) - 1)).otherwise(F.array().cast("array<int>"))
+    met = lambda side, probe, home: F.struct(F.lit(side).alias("side"), probe.alias("probe"), home.alias("at"))
+    probing = F.transform(upto("homes"), lambda t: met(0, own("probes"), t))
+    at_home = F.when(F.col("home"), F.transform(upto("probes"), lambda t: met(1, t, own("homes")))).otherwise(F.array().cast("array<struct<side:int,probe:int,at:int>>"))
+    paired = tiled.withColumn("to", F.explode(F.concat(probing, at_home))).select("label", "w", "cell", "to.*", "id", "h1", "copies", "x")
 
     def compare(group: pa.Table) -> pa.Table:
-        group = group.sort_by("id").combine_chunks()
-        ids, copies, home, tile = (group.column(c).to_numpy() for c in ("id", "copies", "home", "tile"))
+        ids, h1, copies, side = (group.column(c).to_numpy() for c in ("id", "h1", "copies", "side"))
+        # The order of ids numbers the vectors; one may be on both sides.
+        order = np.lexsort((h1, ids))
+        fresh = np.ones(len(ids), bool)
+        fresh[1:] = (np.diff(ids[order]) != 0) | (np.diff(h1[order]) != 0)
+        number = np.empty(len(ids), np.int64)
+        number[order] = np.cumsum(fresh) - 1
+        first = order[fresh]
         x = _matrix(group.column("x").combine_chunks())
         size = np.linalg.norm(x, axis=1)
-        across = group.column("t1")[0].as_py() != group.column("t2")[0].as_py()
-        parts = []
-        links = np.zeros((len(ids), len(ids)), bool)
-        for i in range(0, len(ids), TILE_ROWS):
-            links[i : i + TILE_ROWS] = (x[i : i + TILE_ROWS] @ x.T) / (size[i : i + TILE_ROWS, None] * size[None, :]) >= threshold
-        # Rows are in the order of ids: the greater id of a pair is at home here.
-        links &= home[None, :] & (np.arange(len(ids))[:, None] < np.arange(len(ids))[None, :])
-        if across:
-            links &= tile[:, None] != tile[None, :]
-        links |= links.T
-        held = np.flatnonzero(links.any(1))
-        links = links[np.ix_(held, held)]
-        n_links = links @ copies[held]
-        root = least_labels(links)
-        parts = {"id": ids[held], "n": n_links.astype(np.int64), "root": ids[held][root]}
-        return pa.table(parts)
-
-    found = checkpoint(paired.groupBy("label", "w", "cell", "t1", "t2").applyInArrow(compare, f"id {kind}, n bigint, root {kind}"))
+        probes, homes = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        n, label = np.zeros(len(first), np.int64), np.arange(len(first))
+        edges = []
+        for i in range(0, len(probes), 256):
+            p = probes[i : i + 256]
+            # The greater of a pair is at home here.
+            links = ((x[p] @ x[homes].T) / (size[p, None] * size[None, homes]) >= threshold) & (number[p, None] < number[None, homes])
+            n[number[p]] += links @ copies[homes]
+            n[number[homes]] += copies[p] @ links
+            a, b = np.nonzero(links)
+            edges.append((number[p[a]], number[homes[b]]))
+        a, b = (np.concatenate([e[k] for e in edges]) if edges else np.empty(0, np.int64) for k in (0, 1))
+        held = np.flatnonzero(n > 0)
+        root = edge_labels(label, a, b)[held]
+        return pa.table({"id": ids[first[held]], "h1": h1[first[held]], "n": n[held], "root": ids[first[root]]})
+
+    found = checkpoint(paired.groupBy("label", "w", "cell", "probe", "at").applyInArrow(compare, f"id {kind}, h1 bigint, n bigint, root {kind}"))
     reached = connected_components(found.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
-    direct = found.groupBy("id").agg(F.sum("n").alias("n"))
-    groups = once.join(direct, "id", "left").join(reached, "id", "left").select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n"), F.coalesce("component", "id").alias("component"))
+    direct = found.groupBy("id", "h1").agg(F.sum("n").alias("n"))
+    groups = once.join(direct, ["id", "h1"], "left").join(reached, "id", "left").select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n"), F.coalesce("component", "id").alias("component"))
     out = keyed.select("id", "h1", "h2").join(groups, ["h1", "h2"]).select("id", "n", "component").unionByName(rows.where(~F.coalesce(good, F.lit(False))).select("id", F.lit(0).cast("long").alias("n"), F.col("id").alias("component")))
     return out.select(F.col("id").alias(key), F.col("n").alias("n_links"), F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
