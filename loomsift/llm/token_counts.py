@@ -1,7 +1,8 @@
 """Token counts: batch encoding in Arrow functions that return lengths only.
 
-Long texts are cut only where no token can span the cut, and each piece is looked up in a
-bounded cache before the rest goes to the library as one batch.
+Batches have about equal bytes, whatever the rows; a text longer than a batch is taken in parts. Texts
+are cut only where no token can span the cut, and each piece is looked up in a bounded cache before
+the rest goes to the library as one batch.
 """
 
 from __future__ import annotations
@@ -15,12 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import chunks, text_buffers
+
 #: Distinct pieces a worker remembers before it starts anew; bounds its memory, not the result.
 CACHE_ENTRIES = 300_000
 #: Longer pieces are encoded each time and not remembered.
 CACHE_CHARS = 48
-#: Text characters that go through the encoder at once.
-BATCH_CHARS = 4_000_000
+#: Text bytes that go through the encoder at once; a longer text is taken in parts of so many characters.
+BATCH_BYTES = 4 << 20
 
 _loaded: dict[str, object] = {}
 
@@ -46,6 +49,10 @@ class PieceCounter:
     def lengths(self, texts: list[str]) -> list[int]:
         return [len(x) for x in self.model.encode(texts, num_threads=1)] if texts else []
 
+    def count_long(self, text: str, size: int) -> int:
+        """Count of one text, in parts where cuts are safe."""
+        return sum(self.count([part])[0] for part in safe_parts(text.replace("▁", " "), size)) if self.safe else self.lengths([text])[0]
+
     def count(self, texts: list[str]) -> list[int]:
         if not self.safe:
             return self.lengths(texts)
@@ -74,6 +81,23 @@ class PieceCounter:
         return [sum(map(look, ps)) for ps in split]
 
 
+def safe_parts(text: str, size: int) -> list[str]:
+    """A text in parts of about `size` characters, cut before runs of spaces with something behind them.
+
+    The model puts one space in front of a text, so each part but the first leaves one of its own off.
+    """
+    parts, begin, last = [], 0, len(text.rstrip(" "))
+    while len(text) - begin > size:
+        at = text.find(" ", begin + size)
+        while 0 < at and text[at - 1] == " ":
+            at -= 1
+        if not begin < at < last:
+            break
+        parts.append(text[begin:at])
+        begin = at + 1
+    return [*parts, text[begin:]]
+
+
 class WholeTextCounter:
     """Counts of a tokenizers file; texts stay whole, since its rules may span any character."""
 
@@ -88,6 +112,9 @@ class WholeTextCounter:
     def count(self, texts: list[str]) -> list[int]:
         return [len(x.ids) for x in self.model.encode_batch(texts, add_special_tokens=False)]
 
+    def count_long(self, text: str, size: int) -> int:
+        return self.count([text])[0]
+
 
 def counter(path: str):
     """The counter of a vocabulary file, loaded once a worker."""
@@ -96,24 +123,20 @@ def counter(path: str):
     return _loaded[path]
 
 
-def counting(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def counting(path: str, size: int = BATCH_BYTES) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = counter(path)
         for batch in batches:
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            out: list[int] = []
-            begin = size = 0
-            for i, t in enumerate(texts):
-                size += len(t)
-                if size >= BATCH_CHARS or i + 1 == len(texts):
-                    out += model.count(texts[begin : i + 1])
-                    begin, size = i + 1, 0
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.asarray(out, np.int64))], names=["key", "n_tokens"])
+            _, offsets = text_buffers(batch.column(1))
+            for i, j in chunks(offsets, size):
+                texts = [x or "" for x in batch.column(1).slice(i, j - i).to_pylist()]
+                out = [model.count_long(texts[0], size)] if len(texts) == 1 and len(texts[0]) > size else model.count(texts)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.asarray(out, np.int64))], names=["key", "n_tokens"])
 
     return run
 
 
-def token_counts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", limit: int = 4096) -> DataFrame:
+def token_counts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", limit: int = 4096, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """One row per row of `docs`: the key, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit).
 
     A null text counts as empty: 0 bytes, 0 tokens. Repeated rows give repeated rows, a null key
@@ -123,5 +146,5 @@ def token_counts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
     slim = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     sized = slim.select("key", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
     packed = sized.select(F.struct("key", "n_bytes").alias("key"), "text")
-    counted = packed.mapInArrow(counting(path), f"key struct<key:{kind},n_bytes:bigint>, n_tokens bigint")
+    counted = packed.mapInArrow(counting(path, batch_bytes), f"key struct<key:{kind},n_bytes:bigint>, n_tokens bigint")
     return counted.select(F.col("key.key").alias(key), F.col("key.n_bytes").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
