@@ -2,7 +2,7 @@
 
 A word is a run of letters, lower-cased, between a start and an end mark; n-grams do not cross
 words. So the score of a text is the sum over its words, and each distinct word of a batch is scored
-once. For every n-gram of any language the arrays hold its probability in every language.
+once. Each language has its own arrays, so memory grows with what was learned of it.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ START, END = 1, 2
 BLOCK_LETTERS = 1 << 20
 #: Distinct words a worker remembers before it starts anew; bounds its memory, not the result.
 CACHE_WORDS = 400_000
-#: Fewer texts of a language than these aren't divided into some to fit and some to calibrate.
-FEW_TEXTS = 30
+#: Bytes of the samples of all languages together, at most; many languages share it.
+ALL_BYTES = 300_000_000
 
 _tables: list[np.ndarray] = []
 
@@ -82,16 +82,37 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == wanted, at, -1)
 
 
+@dataclass
+class Language:
+    """By order k: sorted n-gram hashes with log2 probabilities, sorted context hashes with log2 back-off weights."""
+
+    grams: list[np.ndarray]
+    log_p: list[np.ndarray]
+    contexts: list[np.ndarray]
+    log_back: list[np.ndarray]
+
+    def score(self, hashes: list[np.ndarray], place: np.ndarray, at: np.ndarray, log_base: float) -> np.ndarray:
+        """Log2 probability of the character at each of `at`, by the longest known n-gram that ends there."""
+        total, rest = np.zeros(len(at)), np.arange(len(at))
+        for k in range(len(self.grams) - 1, 0, -1):
+            i = at[rest]
+            reach = place[i] >= k - 1  # an n-gram of this order fits into the word
+            found = np.where(reach, _find(self.grams[k], hashes[k][i]), -1)
+            total[rest[found >= 0]] += self.log_p[k][found[found >= 0]]
+            rest, i, reach = rest[found < 0], i[found < 0], reach[found < 0]
+            context = np.where(reach, _find(self.contexts[k], hashes[k - 1][i - 1] if k > 1 else np.zeros(len(i), np.uint64)), -1)
+            total[rest[context >= 0]] += self.log_back[k][context[context >= 0]]
+        total[rest] += log_base
+        return total
+
+
 @dataclass
 class Model:
-    """languages; by order k: sorted n-gram hashes with log probabilities, sorted context hashes with log back-off weights (a column per language)."""
+    """A model of each language, in the order of `languages`, and what was calibrated."""
 
     languages: list[str]
     order: int
-    grams: list[np.ndarray] = field(default_factory=list)
-    log_p: list[np.ndarray] = field(default_factory=list)
-    contexts: list[np.ndarray] = field(default_factory=list)
-    log_back: list[np.ndarray] = field(default_factory=list)
+    models: list[Language] = field(default_factory=list)
     log_base: float = 0.0
     mean: np.ndarray | None = None
     spread: np.ndarray | None = None
@@ -100,69 +121,52 @@ class Model:
 
     def score(self, codes: np.ndarray, place: np.ndarray, word: np.ndarray, n_words: int) -> np.ndarray:
         """Log2 probability of each word in each language."""
-        hashes = gram_hashes(codes, self.order)
-        at = np.flatnonzero(place > 0)
-        total = np.zeros((len(at), len(self.languages)))
-        rest = np.arange(len(at))
-        for k in range(self.order, 0, -1):
-            i = at[rest]
-            reach = place[i] >= k - 1  # an n-gram of this order fits into the word
-            found = np.where(reach, _find(self.grams[k], hashes[k][i]), -1)
-            total[rest[found >= 0]] += self.log_p[k][found[found >= 0]]
-            rest, i, reach = rest[found < 0], i[found < 0], reach[found < 0]
-            context = np.where(reach, _find(self.contexts[k], hashes[k - 1][i - 1] if k > 1 else np.zeros(len(i), np.uint64)), -1)
-            total[rest[context >= 0]] += self.log_back[k][context[context >= 0]]
-        total[rest] += self.log_base
-        out = np.zeros((n_words, len(self.languages)))
-        for j in range(len(self.languages)):
-            out[:, j] = np.bincount(word[at], total[:, j], n_words)
-        return out
+        hashes, at = gram_hashes(codes, self.order), np.flatnonzero(place > 0)
+        each = [np.bincount(word[at], m.score(hashes, place, at, self.log_base), n_words) for m in self.models]
+        return np.stack(each, 1) if each else np.zeros((n_words, 0))
+
+
+def learned(words: list[tuple[str, int]], order: int, log_base: float) -> Language:
+    """The model of one language from its lower-cased words of letters and their counts."""
+    codes = np.frombuffer("".join(w for w, _ in words).encode("utf-32-le"), "<u4")
+    size = np.array([len(w) for w, _ in words], np.int64)
+    ends = np.cumsum(size)
+    text, place, word = marked(codes, ends - size, ends)
+    weight, hashes = np.array([n for _, n in words], np.float64)[word], gram_hashes(text, order)
+    raw = []  # by order: hash, suffix, context, count, and whether it begins a word
+    for k in range(1, order + 1):
+        at = np.flatnonzero((place > 0) & (place >= k - 1))
+        gram, first, back = np.unique(hashes[k][at], return_index=True, return_inverse=True)
+        context = hashes[k - 1][at - 1] if k > 1 else np.zeros(len(at), np.uint64)
+        raw.append((gram, hashes[k - 1][at][first], context[first], np.bincount(back, weight[at], len(gram)), (place[at] == k - 1)[first]))
+    none = np.empty(0)
+    out = Language([np.empty(0, np.uint64)], [none], [np.empty(0, np.uint64)], [none])
+    for k, (gram, suffix, context, count, anchored) in enumerate(raw, 1):
+        if k < order:  # how many characters stand in front of it, unless it begins a word
+            count = np.where(anchored, count, np.bincount(_find(gram, raw[k][1]), minlength=len(gram)))
+        n1, n2 = (count == 1).sum(), (count == 2).sum()
+        cut = min(0.95, max(0.1, n1 / (n1 + 2 * n2) if n1 + n2 else 0.5))
+        contexts, of = np.unique(context, return_inverse=True)
+        total = np.bincount(of, count, len(contexts))
+        weight = np.where(total > 0, np.bincount(of, np.minimum(count, cut), len(contexts)) / np.maximum(total, 1e-300), 1.0)
+        lower = np.exp2(out.log_p[k - 1][_find(out.grams[k - 1], suffix)] if k > 1 else np.full(len(gram), log_base))
+        p = np.where(total[of] > 0, np.maximum(count - cut, 0) / np.maximum(total[of], 1e-300), 0) + weight[of] * lower
+        out.grams.append(gram)
+        out.log_p.append(np.log2(p))
+        out.contexts.append(contexts)
+        out.log_back.append(np.log2(weight))
+    return out
 
 
 def kneser_ney(words: list[tuple[str, str, int]], languages: list[str], order: int) -> Model:
     """Models of all languages from (language, lower-cased word of letters, count)."""
-    model = Model(languages, order)
-    raw: list[list[tuple]] = [[] for _ in range(order + 1)]  # per order and language: hash, suffix, context, count, anchored
-    alphabet: set[int] = set()
-    for name in languages:
-        own = [(w, n) for x, w, n in words if x == name]
-        codes = np.frombuffer("".join(w for w, _ in own).encode("utf-32-le"), "<u4")
-        ends = np.cumsum([len(w) for w, _ in own]).astype(np.int64)
-        text, place, word = marked(codes, ends - np.array([len(w) for w, _ in own], np.int64), ends)
-        alphabet.update(np.unique(text).tolist())
-        weight = np.array([n for _, n in own], np.float64)[word]
-        hashes = gram_hashes(text, order)
-        for k in range(1, order + 1):
-            at = np.flatnonzero((place > 0) & (place >= k - 1))
-            gram, first, back = np.unique(hashes[k][at], return_index=True, return_inverse=True)
-            context = hashes[k - 1][at - 1] if k > 1 else np.zeros(len(at), np.uint64)
-            raw[k].append((gram, hashes[k - 1][at][first], context[first], np.bincount(back, weight[at], len(gram)), (place[at] == k - 1)[first]))
-    model.log_base = float(-np.log2(len(alphabet) + 1))
-    model.grams = [np.empty(0, np.uint64)] * (order + 1)
-    model.contexts, model.log_p, model.log_back = list(model.grams), [np.empty((0, len(languages)))] * (order + 1), [np.empty((0, len(languages)))] * (order + 1)
-    for k in range(1, order + 1):
-        grams, first = np.unique(np.concatenate([x[0] for x in raw[k]]), return_index=True)
-        suffix = np.concatenate([x[1] for x in raw[k]])[first]
-        context = np.concatenate([x[2] for x in raw[k]])[first]
-        contexts, of = np.unique(context, return_inverse=True)
-        p, back = np.zeros((len(grams), len(languages))), np.zeros((len(contexts), len(languages)))
-        lower = model.log_p[k - 1][_find(model.grams[k - 1], suffix)] if k > 1 else np.full((len(grams), len(languages)), model.log_base)
-        for j in range(len(languages)):
-            gram, _, _, count, anchored = raw[k][j]
-            if k < order:  # how many characters stand in front of it, unless it begins a word
-                longer = raw[k + 1][j]
-                kept = np.bincount(_find(gram, longer[1]), minlength=len(gram))
-                count = np.where(anchored, count, kept)
-            here = np.zeros(len(grams))
-            here[_find(grams, gram)] = count
-            n1, n2 = (count == 1).sum(), (count == 2).sum()
-            cut = min(0.95, max(0.1, n1 / (n1 + 2 * n2) if n1 + n2 else 0.5))
-            total = np.bincount(of, here, len(contexts))
-            weight = np.where(total > 0, np.bincount(of, np.minimum(here, cut), len(contexts)) / np.maximum(total, 1e-300), 1.0)
-            p[:, j] = np.where(total[of] > 0, np.maximum(here - cut, 0) / np.maximum(total[of], 1e-300), 0) + weight[of] * np.exp2(lower[:, j])
-            back[:, j] = np.log2(weight)
-        model.grams[k], model.log_p[k], model.contexts[k], model.log_back[k] = grams, np.log2(p), contexts, back
-    return model
+    by: dict[str, list[tuple[str, int]]] = {name: [] for name in languages}
+    for name, w, n in words:
+        if name in by:
+            by[name].append((w, n))
+    alphabet = {c for own in by.values() for w, _ in own for c in w}
+    base = float(-np.log2(len(alphabet) + 3))
+    return Model(languages, order, [learned(own, order, base) for own in by.values()], base)
 
 
 class Scorer:
@@ -226,34 +230,42 @@ def scoring(broadcast):
     return run
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", order: int = 5, sample_bytes: int = 1_500_000, max_languages: int = 200) -> Model | None:
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", order: int = 5, sample_bytes: int = 3_000_000, all_bytes: int = ALL_BYTES) -> Model | None:
     """Fit on a bounded sample of the labelled rows of `docs`; None if there are none.
 
-    Bounds: the `max_languages` most frequent labels (ties by name), and of each about
-    `sample_bytes` bytes of whole, distinct texts to fit and as many to calibrate, chosen by hash.
+    Bounds: of each label about `sample_bytes` bytes of whole, distinct texts, chosen by hash, or the
+    label's share of `all_bytes` where there are many; no label is left out. Every label is treated
+    alike: its texts are dealt into two halves, each half is scored by a model of the other for
+    calibration, and the model that is kept learns from both.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.col("lang") != UNDETERMINED))
-    sizes = rows.groupBy("lang").agg(F.sum(F.octet_length("text").cast("double")).alias("bytes"), F.count("*").alias("n")).where("bytes > 0").orderBy(F.desc("bytes"), "lang").limit(max_languages).collect()
+    place = (F.xxhash64("text").bitwiseAND(F.lit((1 << 40) - 1))) / float(1 << 40)
+    placed = rows.withColumns({"place": place, "half": F.pmod(F.xxhash64(F.lit(5), "text"), F.lit(2))})
+    least = lambda h: F.min(F.when(F.col("half") == h, F.col("place")))
+    sizes = placed.where(F.col("text").rlike(r"\p{L}")).groupBy("lang").agg(F.sum(F.octet_length("text").cast("double")).alias("bytes"), F.greatest(least(0), least(1)).alias("least")).collect()
     if not sizes:
         return None
-    # A language of few texts is learned from all of them, and not calibrated.
-    share = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(min(0.5, sample_bytes / r["bytes"]) if r["n"] >= FEW_TEXTS else 1.0)) for r in sizes])
-    place = (F.xxhash64("text").bitwiseAND(F.lit((1 << 40) - 1))) / float(1 << 40)
-    placed = rows.withColumn("share", share).where("share is not null").withColumn("place", place)
-    chosen = placed.where(F.col("place") < 2 * F.col("share")).withColumn("fits", F.col("place") < F.col("share")).select("lang", "text", "fits").distinct()
-    chosen = chosen.persist()
+    # However long its texts are, a label has one of each half.
+    bound = min(sample_bytes, all_bytes / len(sizes))
+    shares = spark.createDataFrame([(r["lang"], max(bound / r["bytes"], r["least"])) for r in sizes], "lang string, share double")
+    # A row per label, which have just been on the driver.
+    chosen = placed.join(F.broadcast(shares), "lang").where("place <= share").select("lang", "text", "half").distinct().persist()
     try:
-        words = chosen.where("fits").select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1)).alias("word")).groupBy("lang", "word").count().orderBy("lang", "word").toPandas()
-        languages = sorted(words["lang"].unique())
+        found = chosen.select("lang", "half", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1)).alias("word")).groupBy("lang", "half", "word").count().orderBy("lang", "half", "word").toPandas()
+        languages = sorted(found["lang"].unique())
         if not languages:
             return None
-        model = kneser_ney(list(words.itertuples(index=False, name=None)), languages, order)
-        shared = spark.sparkContext.broadcast(model)
-        held = chosen.where(~F.col("fits") & F.col("lang").isin(languages)).select(F.col("lang").alias("key"), "text").mapInArrow(scoring(shared), "key string, bits array<double>, size bigint").where("size > 0").toPandas()
+        halves = [kneser_ney(list(found.loc[found["half"] != h, ["lang", "word", "count"]].itertuples(index=False, name=None)), languages, order) for h in (0, 1)]
+        held = None
+        for h, model in enumerate(halves):
+            part = chosen.where(F.col("half") == h).select(F.col("lang").alias("key"), "text").mapInArrow(scoring(spark.sparkContext.broadcast(model)), "key string, bits array<double>, size bigint").where("size > 0")
+            held = part if held is None else held.unionByName(part)
+        scored = held.toPandas()
     finally:
         chosen.unpersist()
-    return calibrate(model, held)
+    both = found.groupby(["lang", "word"], as_index=False)["count"].sum()
+    return calibrate(kneser_ney(list(both.itertuples(index=False, name=None)), languages, order), scored)
 
 
 def calibrate(model: Model, held: pd.DataFrame) -> Model:
@@ -267,7 +279,8 @@ def calibrate(model: Model, held: pd.DataFrame) -> Model:
         others.append((j, np.asarray(bits)))
     for j in range(count):
         bits = np.array([b for i, b, _ in own if i == j])
-        if len(bits) >= 8:
+        # A single text says nothing of the spread, so its language never rejects.
+        if len(bits) >= 2:
             size = np.array([s for i, _, s in own if i == j], float)
             model.mean[j] = np.average(bits, weights=size)
             off = (bits - model.mean[j]) ** 2

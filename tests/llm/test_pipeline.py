@@ -31,3 +31,35 @@ def test_stages_keep_their_promises(spark, tmp_path):
 def test_empty_documents(spark, tmp_path):
     spark.read.parquet(f"{DATA}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_take_clashing_names_and_repeated_keys(spark, tmp_path):
+    prose = "the keeper of the northern light walked along the shore and counted every boat that came in before the storm reached the bay"
+    lines = [f"{prose} number one"]
+    rows = [
+        (1, prose, "en", "web"),
+        (1, prose, "en", "web"),  # a repeated row
+        (7, "\n".join([lines[0], "a line of text that only this one of the two documents has"]), "en", "web"),
+        (7, "\n".join(["another opening line, which no other document has either", lines[0]]), "en", "books"),
+        (None, "something else that nobody else wrote in this form\nand a first line that stands only here, at some length", "en", None),
+        (None, None, None, None),
+        (9, "", "en", "web"),
+    ]
+    kind = "doc_id long, text string, lang string, source string"
+    docs = spark.createDataFrame(rows, kind)
+    for name in ("lang_id", "n_dropped", "mix", "_", "row", "key", "dropped", "place", "component_id", "name", "h1", "family", "redaction", "none"):
+        docs = docs.withColumn(name, F.lit("kept"))
+    docs = docs.withColumn("n_chars", F.length("text").cast("long"))
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        docs.write.parquet(f"{tmp_path}/{name}")
+        docs = stage(spark, spark.read.parquet(f"{tmp_path}/{name}"), DATA)
+        assert docs.columns[4:8] == ["lang_id", "n_dropped", "mix", "_"]
+        assert docs.where("lang_id = 'kept' and mix = 'kept' and _ = 'kept' and n_dropped = 'kept'").count() == docs.count()
+    assert corpus_pipeline.pack(spark, docs, DATA).count() > 0
+    deduped = corpus_pipeline.line_dedup(spark, spark.createDataFrame(rows, kind), DATA)
+    of_seven = sorted(r.text for r in deduped.where("doc_id = 7").collect())
+    # One of the two loses the line they share, and neither anything else.
+    assert [t.count("\n") for t in of_seven] in ([0, 1], [1, 0])
+    assert "".join(of_seven).count(lines[0]) == 1
+    kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, kind), DATA).collect()
+    assert sum(r.doc_id == 1 for r in kept) == 1 and sum(r.doc_id is None for r in kept) == 2
