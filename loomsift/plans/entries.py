@@ -9,8 +9,9 @@ from loomsift.functions import cells as C
 from loomsift.functions import geometry as G
 from loomsift.functions import pii
 from loomsift.functions import text as T
-from loomsift.operators import actions, analysis, detections, egress, elements, scoring, spans
-from loomsift.plans.catalog import _sql_resolved, _sql_spans, query, r, table
+from loomsift.operators import actions, analysis, detections, egress, elements, redaction, scoring, spans
+from loomsift.operators.lineage import written_once
+from loomsift.plans.catalog import _SQL_CLEAN, _SQL_REDACTED, _sql_resolved, _sql_spans, query, r, table
 from loomsift.sources import fixtures, html
 
 # Cells
@@ -459,3 +460,22 @@ def a23_page_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.get(of("qty"), F.lit(0))
     mean = F.regexp_extract(line, "mean=([^ ]+)", 1).cast("double")
     return lines.select("page_id", F.format_string("stat qty n=%s mean=%.2f", F.regexp_extract(line, "n=([0-9]+)", 1), mean).alias("first"), F.size(of("part")).cast("long").alias("n_stat_part"))
+
+
+# Whole pages
+
+
+@query(_SQL_REDACTED.replace(_SQL_CLEAN, f"t AS (SELECT c_custkey AS id, {_PLANTED} AS text, 0 AS forged FROM customer)") + """
+    SELECT d.id AS c_custkey, d.text AS text, concat('[[PII:EMAIL:', len(list_filter(e, lambda x: x.kind = 'email')) + 1, ':5eed]]') AS shown, concat('[[PII:EMAIL:', len(list_filter(e, lambda x: x.kind = 'email')) + 2, ':5eed]]') AS hidden, CAST(len(e) + 3 AS BIGINT) AS applied,
+        CAST(len(list_distinct(list_transform(e, lambda x: x.kind))) + 2 AS BIGINT) AS owed, 'low' AS residual_risk FROM d JOIN h USING (id)
+""")
+def c9_redact_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page for each customer: a text with something of every rule, a shown, a hidden and a password field."""
+    k = F.col("c_custkey").cast("string")
+    page = F.concat(F.lit("<html><body><p>"), F.expr(_PLANTED), F.lit('</p><input type=email value="me'), k, F.lit('@ex.org"><input type=hidden value="it'), k, F.lit('@ex.org"><input type=password value="secret"></body></html>'))
+    nodes = html.dom_nodes(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("page_id"), page.alias("html")))
+    out = written_once(redaction.redact_pages(nodes, nonce="5eed"))
+    value = lambda kind: F.max(F.when((F.col("tag") == "input") & (F.col("attrs")["type"] == kind), F.col("attrs")["value"]))
+    seen = out.groupBy("page_id").agg(F.max(F.when(F.col("tag") == "p", F.get("texts", F.lit(0)))).alias("text"), value("email").alias("shown"), value("hidden").alias("hidden"))
+    told = redaction.summarize_pages(out, "5eed").select("page_id", "applied", "owed", "residual_risk")
+    return seen.join(told, "page_id").withColumnRenamed("page_id", "c_custkey")
