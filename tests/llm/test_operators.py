@@ -1,5 +1,6 @@
 """Every operator on a small awkward table, against brute force."""
 
+import bisect
 import collections
 import hashlib
 import math
@@ -99,6 +100,27 @@ def test_packing(docs, none):
     assert best_fit_packing(none, path).count() == 0
 
 
+def best_fit_decreasing(lengths, limit):
+    """Number of bins when the longest come first, each into the least gap that holds it."""
+    gaps, bins = [], 0
+    for n in sorted(lengths, reverse=True):
+        k = bisect.bisect_left(gaps, n)
+        gap = gaps.pop(k) if k < len(gaps) else limit
+        bins += gap == limit
+        if gap > n:
+            bisect.insort(gaps, gap - n)
+    return bins
+
+
+def test_packing_uses_few_sequences(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = best_fit_packing(docs, vocabulary("word_bpe_49k.json"), limit=2048).collect()
+    lengths = [r.length for r in rows]
+    used = len({r.sequence_id for r in rows})
+    assert used >= -(-sum(lengths) // 2048)
+    assert used <= 1.005 * best_fit_decreasing(lengths, 2048) + 1
+
+
 def test_packing_fills_nearly_all():
     lengths = np.sort(np.random.default_rng(3).integers(1, 1500, 4000))[::-1]
     where, offset = tighten(lengths, *sum_of_squares(lengths, 2048), 2048)
