@@ -7,7 +7,7 @@ once. Each language has its own arrays, so memory grows with what was learned of
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -158,7 +158,7 @@ def learned(words: list[tuple[str, int]], order: int, log_base: float) -> Langua
     return out
 
 
-def kneser_ney(words: list[tuple[str, str, int]], languages: list[str], order: int) -> Model:
+def kneser_ney(words: Iterable[tuple[str, str, int]], languages: list[str], order: int) -> Model:
     """Models of all languages from (language, lower-cased word of letters, count)."""
     by: dict[str, list[tuple[str, int]]] = {name: [] for name in languages}
     for name, w, n in words:
@@ -230,7 +230,7 @@ def scoring(broadcast):
     return run
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", order: int = 5, sample_bytes: int = 3_000_000, all_bytes: int = ALL_BYTES) -> Model | None:
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", order: int = 5, sample_bytes: int = 1_500_000, all_bytes: int = ALL_BYTES) -> Model | None:
     """Fit on a bounded sample of the labelled rows of `docs`; None if there are none.
 
     Bounds: of each label about `sample_bytes` bytes of whole, distinct texts, chosen by hash, or the
@@ -256,16 +256,20 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", order: int = 5,
         languages = sorted(found["lang"].unique())
         if not languages:
             return None
-        halves = [kneser_ney(list(found.loc[found["half"] != h, ["lang", "word", "count"]].itertuples(index=False, name=None)), languages, order) for h in (0, 1)]
-        held = None
-        for h, model in enumerate(halves):
-            part = chosen.where(F.col("half") == h).select(F.col("lang").alias("key"), "text").mapInArrow(scoring(spark.sparkContext.broadcast(model)), "key string, bits array<double>, size bigint").where("size > 0")
-            held = part if held is None else held.unionByName(part)
-        scored = held.toPandas()
+        held = []
+        for h in (0, 1):
+            # One model at a time, so that the driver never holds two.
+            half = kneser_ney(found.loc[found["half"] != h, ["lang", "word", "count"]].itertuples(index=False, name=None), languages, order)
+            shared = spark.sparkContext.broadcast(half)
+            del half
+            held.append(chosen.where(F.col("half") == h).select(F.col("lang").alias("key"), "text").mapInArrow(scoring(shared), "key string, bits array<double>, size bigint").where("size > 0").toPandas())
+            shared.destroy()
+        scored = pd.concat(held, ignore_index=True)
     finally:
         chosen.unpersist()
     both = found.groupby(["lang", "word"], as_index=False)["count"].sum()
-    return calibrate(kneser_ney(list(both.itertuples(index=False, name=None)), languages, order), scored)
+    del found
+    return calibrate(kneser_ney(both.itertuples(index=False, name=None), languages, order), scored)
 
 
 def calibrate(model: Model, held: pd.DataFrame) -> Model:
