@@ -83,6 +83,9 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: Bytes that no letter holds: ASCII but A-Z and a-z.
+NO_LETTER = np.arange(256) < 128
+NO_LETTER[65:91] = NO_LETTER[97:123] = False
 #: A 64-bit value per (lower-cased) byte.
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(_ODD))[_LOWER]
 #: Multipliers that place a word in a shingle; the last marks the number of words.
@@ -99,6 +102,14 @@ def places(first: int, last: int) -> np.ndarray:
 _AT = places(0, _FIRST)
 
 
+def lowered_texts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Byte ranges, each of whole characters, as texts with A-Z lower-cased."""
+    sizes = (ends - starts).astype(np.int64)
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    at = np.arange(offsets[-1]) - np.repeat(offsets[:-1] - starts, sizes)
+    return pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(_LOWER[data[at]])).cast(pa.string())
+
+
 def range_sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Per range the sum of its values, each times the multiplier of its place; equal ranges give equal sums anywhere.
 
@@ -138,9 +149,9 @@ def chunks(offsets: np.ndarray, size: int = CHUNK_BYTES):
         row = min(end, n)
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte starts and ends of the words of each row, and the row's first word (rows + 1)."""
-    held = ~_SPACE[data]
+def word_spans(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte starts and ends of the words of each row, and the row's first word (rows + 1); `apart` marks bytes between words."""
+    held = ~apart[data]
     before = np.empty_like(held)
     before[1:], before[:1] = held[:-1], False
     inner = offsets[:-1][offsets[:-1] < len(data)]

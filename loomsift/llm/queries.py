@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import langid
-from ._common import read_table, train_filter
+from ._common import checkpoint, read_table, train_filter
+from .conversation_repair import faults, repair_reports, repaired_digests
+from .divergence import divergence_audit
 from .embedding_dedup import near_duplicate_groups
 from .line_dedup import duplicate_lines, text_number
 from .lm_scoring import lm_scores
@@ -17,6 +19,7 @@ from .mixing import mixture
 from .ngram_jaccard import jaccard_components
 from .packing import best_fit_packing
 from .secret_scan import scan_secrets
+from .sharding import hilbert_shards
 from .token_counts import token_counts
 from .topk_search import top_k_search
 
@@ -81,6 +84,36 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.select("doc_id", "n_lines", F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce(F.array_join("dropped", ","), F.lit("")).alias("dropped"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence_audit(read_table(spark, sf_dir, "documents"), least_docs=3, top=200)
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """conv_id, turn, role, text, gone: turns as a number from 0 to 19 by conversation and turn damages them."""
+    named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    rows = turns.select("conv_id", "turn", named("role").alias("role"), named("text").alias("text"), (F.crc32(F.concat(named("conv_id"), F.lit(":"), named("turn"))) % 20).alias("by"))
+    text = F.when(F.col("by") == 1, "").when(F.col("by") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    role = F.when(F.col("by") == 4, "user").otherwise(F.col("role"))
+    times = F.array_repeat(F.lit(0), F.when(F.col("by") == 3, 2).otherwise(1))
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), (F.col("by") == 0).alias("gone"), F.explode(times).alias("copy")).drop("copy")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = faults(damaged(read_table(spark, sf_dir, "conversations")), gone=F.col("gone"))
+    reports = checkpoint(repair_reports(found))
+    digests = repaired_digests(found, reports).withColumnRenamed("conv", "of_conv")
+    met = reports.join(digests, F.col("conv").eqNullSafe(F.col("of_conv")))
+    return met.select(F.col("conv").alias("conv_id"), "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
+def op13_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long")
+    slim = docs.select("doc_id", "lang", "source", size.alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), F.xxhash64("text").alias("same"))
+    put = hilbert_shards(slim, 24, by=["lang", "source", "size"], tie=["same", "doc_id"], name="put")
+    return put.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "put.shard", "put.slot", F.lit(None).cast("int").alias("grown_shard"), "put.curve")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     # It calls this subpackage, so it is imported when the query runs.
     import corpus_pipeline
@@ -99,6 +132,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_token_counts": op9_token_counts,
     "op10_line_dedup": op10_line_dedup,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_hilbert_sharding": op13_hilbert_sharding,
     "pipeline": pipeline,
 }
 
@@ -152,6 +188,41 @@ _OP10_SQL = """
     FROM documents d LEFT JOIN gone g USING (doc_id)
 """
 
+_OP11_SQL = """
+    WITH d AS (
+        SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+            regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS terms
+        FROM documents
+    ), df AS (
+        SELECT lang, term FROM (SELECT lang, unnest(list_distinct(terms)) AS term FROM d) GROUP BY ALL HAVING count(*) >= 3
+    ), c AS (
+        SELECT lang, source, term, count(*) AS n FROM (SELECT lang, source, unnest(terms) AS term FROM d) SEMI JOIN df USING (lang, term) GROUP BY ALL
+    ), v AS (SELECT lang, count(*) AS v FROM df GROUP BY 1),
+    g AS (SELECT DISTINCT lang, source FROM d),
+    gn AS (SELECT lang, source, coalesce(sum(n), 0) AS n FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+    ln AS (SELECT lang, sum(n) AS n FROM c GROUP BY 1),
+    p AS (
+        SELECT lang, source, df.term, coalesce(c.n, 0) AS n, 1 + (CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 1)) // (gn.n + v.v) AS p
+        FROM gn JOIN v USING (lang) JOIN df USING (lang) LEFT JOIN c USING (lang, source, term)
+    ), q AS (
+        SELECT lang, term, 1 + (CAST(1000000000 AS HUGEINT) * (sum(c.n) + 1)) // (any_value(ln.n) + any_value(v.v)) AS q
+        FROM c JOIN v USING (lang) JOIN ln USING (lang) GROUP BY ALL
+    ), pair AS (
+        SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+        FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+    ), pairs AS (
+        SELECT a.lang, a.source, b.source AS item, coalesce(pair.value, 0) AS value
+        FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source
+    ), terms AS (
+        SELECT lang, source, term AS item, ((p - q) * (p - q)) // q AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q
+    ), r AS (
+        SELECT *, 'pair' AS part, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pairs
+        UNION ALL
+        SELECT *, 'term' AS part, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM terms QUALIFY rank <= 200
+    )
+    SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM r
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_top_k_search": """
         WITH v AS (
@@ -168,4 +239,5 @@ ORACLE_SQL: dict[str, str] = {
     """,
     "op4_source_mixing": _OP4_SQL,
     "op10_line_dedup": _OP10_SQL,
+    "op11_source_divergence": _OP11_SQL,
 }
