@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +54,30 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_FOLDERS: ContextVar[list[str] | None] = ContextVar("folders", default=None)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """`df` written as Parquet in the shared folder, and read from there: what its rows hold is fixed from then on."""
+    folder = f"{shared_folder(df.sparkSession)}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    if (folders := _FOLDERS.get()) is not None:
+        folders.append(folder)
+    return df.sparkSession.read.parquet(folder)
+
+
+@contextmanager
+def folders_removed(spark: SparkSession):
+    """What `written` writes inside goes at the end."""
+    token = _FOLDERS.set([])
+    try:
+        yield
+    finally:
+        for folder in _FOLDERS.get():
+            remove(spark, folder)
+        _FOLDERS.reset(token)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """`name`, or with underscores behind it as long as a column of `df` has it; case doesn't count."""
     taken = {c.lower() for c in df.columns}

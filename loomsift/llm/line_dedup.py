@@ -36,14 +36,14 @@ def windows(edits: int) -> list[tuple[int, int, int]]:
 
 
 def text_number(text: str) -> Column:
-    """Tells texts of one key apart."""
-    return F.hash(F.lit("text"), F.col(text))
+    """Tells texts of one key apart, all those of a null key too: 96 bits."""
+    return F.struct(F.xxhash64(F.lit("text"), F.col(text)).alias("high"), F.hash(F.lit("text"), F.col(text)).alias("low"))
 
 
 def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, place, line: the high half of the place is the text's number, the low half the line's, from 0."""
-    lines = docs.select(F.col(key).alias("key"), text_number(text).alias("text_number"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("pos", "line"))
-    return lines.select("key", (F.shiftleft(F.col("text_number").cast("bigint"), 32) + F.col("pos")).alias("place"), "line")
+    """key, high, place, line: the place has the low half of the text's number, then the line's, from 0."""
+    lines = docs.select(F.col(key).alias("key"), text_number(text).alias("number"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("pos", "line"))
+    return lines.select("key", F.col("number.high").alias("high"), (F.shiftleft(F.col("number.low").cast("bigint"), 32) + F.col("pos")).alias("place"), "line")
 
 
 def duplicate_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = 2, least_chars: int = 30) -> DataFrame:
@@ -58,10 +58,10 @@ def duplicate_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", ed
     if least_chars < edits + 1:
         raise ValueError("least_chars must exceed the edits, or a segment would be empty")
     n = F.length("line")
-    seen = lines_of(docs, key, text).where(n >= least_chars).select("key", "place", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), "line")
+    seen = lines_of(docs, key, text).where(n >= least_chars).select("key", "high", "place", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), "line")
     # Equal lines become one, with their first place; copies are merged before they move.
-    distinct = seen.groupBy("h1").agg(F.min(F.struct("key", "place", "h2", "line")).alias("first"))
-    distinct = distinct.select("h1", F.struct("first.key", "first.place").alias("first"), F.col("first.line").alias("line"))
+    distinct = seen.groupBy("h1").agg(F.min(F.struct("key", "high", "place", "h2", "line")).alias("first"))
+    distinct = distinct.select("h1", F.struct("first.key", "first.high", "first.place").alias("first"), F.col("first.line").alias("line"))
     entries = []
     for gap, i, shift in windows(edits):
         first, size = segment(n - gap, i, edits)
@@ -77,9 +77,10 @@ def duplicate_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", ed
     # Written, so that what was shuffled to find these few numbers can go.
     found = checkpoint(late.join(early, near, "left_semi").select("h1").distinct()).withColumn("late", F.lit(True))
     # Lines of equal h1 and another h2 are no copies of the first; they stay.
-    firsts = seen.groupBy("h1").agg(F.min(F.struct("key", "place", "h2")).alias("first"), F.count("*").alias("n")).join(found, "h1", "left").where("n > 1 or late")
-    places = seen.select("key", "place", "h1", "h2").join(firsts, "h1").where((F.col("h2") == F.col("first.h2")) & (F.col("late").isNotNull() | ~(F.col("key").eqNullSafe(F.col("first.key")) & (F.col("place") == F.col("first.place")))))
-    lost = places.select("key", F.shiftright("place", 32).cast("int").alias("text_number"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("pos"))
+    firsts = seen.groupBy("h1").agg(F.min(F.struct("key", "high", "place", "h2")).alias("first"), F.count("*").alias("n")).join(found, "h1", "left").where("n > 1 or late")
+    own = F.col("key").eqNullSafe(F.col("first.key")) & (F.col("high") == F.col("first.high")) & (F.col("place") == F.col("first.place"))
+    places = seen.select("key", "high", "place", "h1", "h2").join(firsts, "h1").where((F.col("h2") == F.col("first.h2")) & (F.col("late").isNotNull() | ~own))
+    lost = places.select("key", F.struct("high", F.shiftright("place", 32).cast("int").alias("low")).alias("text_number"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("pos"))
     return lost.groupBy("key", "text_number").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
 
 

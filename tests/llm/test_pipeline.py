@@ -1,8 +1,14 @@
 """The pipeline's stages on the smallest tables."""
 
+import hashlib
+import os
+import re
+
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from loomsift.llm._common import shared_folder
+from loomsift.llm.line_dedup import drop_duplicate_lines
 
 DATA = "/root/testdata/sf0.001"
 
@@ -63,3 +69,66 @@ def test_stages_take_clashing_names_and_repeated_keys(spark, tmp_path):
     assert "".join(of_seven).count(lines[0]) == 1
     kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, kind), DATA).collect()
     assert sum(r.doc_id == 1 for r in kept) == 1 and sum(r.doc_id is None for r in kept) == 2
+
+
+def near_groups(texts):
+    """Groups of texts linked by Jaccard similarity of 0.8 on five words, by all pairs."""
+    words = [re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set() for w in words]
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] and group[i] != group[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                old, new = max(group[i], group[j]), min(group[i], group[j])
+                group = [new if g == old else g for g in group]
+    return group
+
+
+def test_near_dedup_keeps_one_of_each_group_however_the_input_is_split(spark, tmp_path):
+    spark.read.parquet(f"{DATA}/documents.parquet").repartition(3).write.parquet(f"{tmp_path}/documents")
+    docs = spark.read.parquet(f"{tmp_path}/documents")
+    rows = docs.collect()
+    group = near_groups([r.text for r in rows])
+    assert len(set(group)) < len(rows)
+    out = corpus_pipeline.near_dedup(spark, docs, DATA)
+    was = spark.conf.get("spark.sql.files.minPartitionNum", None)
+    try:
+        # As when executors come or go between building the result and reading it.
+        spark.conf.set("spark.sql.files.minPartitionNum", "11")
+        kept = [r.doc_id for r in out.collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum") if was is None else spark.conf.set("spark.sql.files.minPartitionNum", was)
+    of = {r.doc_id: g for r, g in zip(rows, group, strict=True)}
+    assert sorted(of[i] for i in kept) == sorted(set(group))
+
+
+def test_texts_of_one_key_with_equal_hashes_lose_nothing(spark):
+    ids = spark.range(400_000).select(F.concat(F.lit("an opening line of a document that nobody else has, number "), "id").alias("t"))
+    hashed = ids.select("t", F.hash(F.lit("text"), "t").alias("h1"), F.hash("t").alias("h2"))
+    for h in ("h1", "h2"):
+        alike = hashed.groupBy(h).agg(F.collect_list("t").alias("t")).where(F.size("t") > 1).first().t[:2]
+        for key in (None, 5):
+            shared = "a line that both of the documents have in common, so that one of them loses it"
+            rows = [(key, alike[0]), (key, alike[1]), (9, alike[0] + "\n" + shared), (10, shared)]
+            got = drop_duplicate_lines(spark.createDataFrame(rows, "doc_id long, text string"), edits=0).select("doc_id", "text").collect()
+            assert sorted(r.text for r in got if r.doc_id == key) == sorted(alike)
+            assert {r.doc_id: r.text for r in got if r.doc_id in (9, 10)} == {9: shared, 10: ""}
+
+
+def test_run_leaves_only_what_its_result_reads(spark, tmp_path):
+    folder = shared_folder(spark).removeprefix("file:")
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(60)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    before = set(os.listdir(folder))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+    new = [x for x in os.listdir(folder) if x not in before]
+    assert [x for x in new if x.startswith("rows-")] == []
+    (pipeline,) = [x for x in new if x.startswith("pipeline-")]
+    assert os.listdir(f"{folder}/{pipeline}") == ["3-mix_sources"]
+
+
+def test_line_dedup_of_very_long_texts(spark):
+    lines = [hashlib.sha256(b"%d" % i).hexdigest() for i in range(20_000)]
+    rows = [(1, "\n".join(lines)), (2, "\n".join(reversed(lines)) + "\nand one line that only the second has, at its end"), (3, "x" * 500_000)]
+    got = {r.doc_id: r for r in corpus_pipeline.line_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), DATA).collect()}
+    assert got[2].text == "and one line that only the second has, at its end" and got[3].text == rows[2][1]
