@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loomsift.functions import pii
 from loomsift.functions.cells import PLACEHOLDER, SPACE, trimmed
 
 #: Marks that would end a prompt's data section; a dot goes between their characters.
@@ -72,23 +73,20 @@ def sanitize_url(url: Column | str) -> Column:
     return F.when(origin != "", F.concat(origin, host, F.when(path == "", "/").otherwise(path))).otherwise(F.regexp_extract(u, "^([^?#]*)", 1))
 
 
-#: What stands before a credential in logs: key prefixes, authorisation schemes, names of settings.
-KEY_PREFIXES, SCHEMES, SETTINGS = ("sk-",), ("Bearer", "Basic"), ("api_key", "api-key", "apikey", "authorization", "token")
+#: Names of settings whose values are credentials.
+CREDENTIAL_NAMES = "password|passwd|secret|token|api_?key"
 
 
 def mask_credentials(text: Column | str) -> Column:
-    """Credentials of eight characters or more behind a known prefix, scheme or setting become ***, for logs."""
-    forms = [
-        ("(" + "|".join(KEY_PREFIXES) + ")", "[A-Za-z0-9_-]"),
-        (r"(?i:(" + "|".join(SCHEMES) + r")\s+)", "[A-Za-z0-9._~+/=-]"),
-        (r"(?i:(" + "|".join(SETTINGS) + r")\"?\s*[:=]\s*\"?)", "[A-Za-z0-9._~+/=-]"),
-    ]
-    out = _col(text)
-    for before, secret in forms:
-        # All that stands before the credential is kept, whatever its parts.
-        kept = before.replace("(", "(?:").replace("(?:?i:", "(?i:")
-        out = F.regexp_replace(out, rf"\b({kept}){secret}{{8,}}", "$1***")
-    return out
+    """For logs: keys of the forms that the personal data rules know become ***, as do values of credentials' settings and authorisation headers.
+
+    A setting's value is what its quotes hold, or goes to the next space, comma, semicolon or ampersand; a header's goes to
+    the end of its line or quotes. How long they are doesn't count.
+    """
+    key = next(r for r in pii.RULES if r.kind == "api-key")
+    out = F.regexp_replace(_col(text), pii.java_pattern(key), "***")
+    out = F.regexp_replace(out, r"""(?i)(authorization["']?\s*[:=]\s*["']?)[^"'\r\n]+""", "$1***")
+    return F.regexp_replace(out, rf"""(?i)((?:{CREDENTIAL_NAMES})["']?\s*[:=]\s*)("[^"]*"|'[^']*'|[^\s"',;&]+)""", "$1***")
 
 
 def normal_target(text: Column | str) -> Column:

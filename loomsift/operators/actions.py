@@ -50,7 +50,7 @@ def read_action(text: str | None) -> dict:
     for chunk in found:
         try:
             value = json.loads(chunk)
-        except ValueError:
+        except (ValueError, RecursionError):  # the latter where brackets go deeper than any action's
             broken = True
             continue
         inner = value.get("action")
@@ -86,9 +86,9 @@ def read_action(text: str | None) -> dict:
     if kind in NUMBERS:
         name, usual, most = NUMBERS[kind]
         v = a.get(name, usual)
-        if isinstance(v, bool) or not isinstance(v, (int, float)) or not math.isfinite(v):
+        if isinstance(v, bool) or not isinstance(v, (int, float)) or isinstance(v, float) and not math.isfinite(v):
             return fail("bad-field-type")
-        if not 0 <= v <= most:
+        if not 0 <= v <= most:  # whole numbers of any length compare exactly
             return fail("out-of-range")
         out["amount"] = float(v)
     return out

@@ -18,8 +18,8 @@ SPAN = "array<struct<kind:string,rule:string,start:bigint,end:bigint,confidence:
 STRATEGIES = {"password": "drop-attribute", "otp": "drop-attribute", "cvv": "drop-attribute", "face": "blur", "signature": "blackout", "id-document": "blackout"}
 
 
-#: Items that running sums take at once; sums over such runs are then added up.
-_RUN = 128
+#: Items that running sums take at once, whose sums are then added up; characters of a run of a text.
+_RUN, _CHARS = 128, 1024
 
 
 def let(value: Column, body) -> Column:
@@ -27,20 +27,46 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def running_ends(sizes: Column) -> Column:
-    """Running sums of an array of numbers. Work grows with the array's length, times a constant."""
-    # An array that grows item by item, and its last sum.
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("out"))
-    grow = lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["out"], F.array(a["at"] + n)).alias("out"))
-    shift = lambda a, r: F.struct((a["at"] + r["at"]).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out"))
-    add = lambda x: F.transform(x["r"]["out"], lambda v: v + x["b"])
+def running(values: Column, step=lambda a, b: a + b, first: int = 0) -> Column:
+    """Running sums of an array of whole numbers, or what else `step` gives. Work grows with the array's length, times a constant."""
+    # An array that grows item by item, and its last value.
+    start = F.struct(F.lit(first).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("out"))
+    grow = lambda a, n: F.struct(step(a["at"], n).alias("at"), F.concat(a["out"], F.array(step(a["at"], n))).alias("out"))
+    shift = lambda a, r: F.struct(step(a["at"], r["at"]).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out"))
+    add = lambda x: F.transform(x["r"]["out"], lambda v: step(v, x["b"]))
 
-    def sums(n: Column) -> Column:
+    def in_runs(n: Column) -> Column:
         runs = F.transform(F.sequence(F.lit(0), F.ceil(F.size(n) / _RUN).cast("int") - 1), lambda i: F.aggregate(F.slice(n, i * _RUN + 1, F.lit(_RUN)), start, grow))
         joined = let(runs, lambda r: F.flatten(F.transform(F.arrays_zip(r.alias("r"), F.aggregate(r, start, shift)["out"].alias("b")), add)))
         return F.when(F.size(n) > 0, joined).otherwise(F.array().cast("array<bigint>"))
 
-    return let(sizes, sums)
+    return let(values, in_runs)
+
+
+def pieces(text: Column, spots: Column) -> Column:
+    """The parts of a text between spots, structs with start and end in order and apart, and the part behind the last.
+
+    The text is cut into runs once, so that a part is found without reading all that stands before it.
+    """
+
+    def part(runs: Column, low: Column, high: Column) -> Column:
+        at, to = F.floor(low / _CHARS).cast("int"), F.floor(high / _CHARS).cast("int")
+        held = F.array_join(F.slice(runs, at + 1, to - at + 1), "")
+        return F.when(high > low, F.substring(held, (low - at * _CHARS + 1).cast("int"), (high - low).cast("int"))).otherwise("")
+
+    def cut(runs: Column) -> Column:
+        zero = F.lit(0).cast("bigint")
+        lows = F.concat(F.array(zero), F.transform(spots, lambda s: s["end"].cast("bigint")))
+        highs = F.concat(F.transform(spots, lambda s: s["start"].cast("bigint")), F.array(F.length(text).cast("bigint")))
+        return F.transform(F.arrays_zip(lows.alias("low"), highs.alias("high")), lambda x: part(runs, x["low"], x["high"]))
+
+    return let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_CHARS}}}"), F.lit(0)), cut)
+
+
+def spliced(text: Column, entries: Column, put) -> Column:
+    """The text with `put` of each entry, in order and apart, in its place."""
+    between = lambda parts: F.array_join(F.flatten(F.transform(F.arrays_zip(parts.alias("p"), entries.alias("e")), lambda x: F.array(x["p"], F.when(x["e"].isNotNull(), put(x["e"])).otherwise("")))), "")
+    return F.when(F.size(entries) > 0, let(pieces(text, entries), between)).otherwise(text)
 
 
 def _passes(rule: Column, hit: Column) -> Column:
@@ -69,7 +95,7 @@ def text_spans(text: Column | str, min_confidence: float = 0.0) -> Column:
         """Matches of one rule and the gaps before them as spans."""
         sizes = F.transform(F.arrays_zip(x["hits"].alias("hit"), F.slice(x["gaps"], 1, F.size(x["hits"])).alias("gap")), lambda m: (F.length(m["hit"]) + F.length(m["gap"])).cast("bigint"))
         span = lambda m: F.struct(of_rule([r.kind for r in pii.RULES], x).alias("kind"), of_rule([r.name for r in pii.RULES], x).alias("rule"), (m["end"] - F.length(m["hit"])).cast("bigint").alias("start"), m["end"].alias("end"), of_rule(confidence, x).alias("confidence"))
-        ends = F.arrays_zip(x["hits"].alias("hit"), running_ends(sizes).alias("end"))
+        ends = F.arrays_zip(x["hits"].alias("hit"), running(sizes).alias("end"))
         return F.transform(F.filter(ends, lambda m: _passes(x["r"], m["hit"])), span)
 
     def found(t: Column) -> Column:
@@ -96,15 +122,13 @@ def resolve_overlaps(spans: Column | str) -> Column:
         kept = F.aggregate(ordered(cluster, best), none, lambda acc, s: F.when(free(acc, s), F.concat(acc, F.array(s))).otherwise(acc))
         return F.when(F.size(cluster) > 1, ordered(kept, first)).otherwise(cluster)
 
-    start = F.struct(F.array().cast(f"array<{SPAN}>").alias("done"), none.alias("open"), F.lit(-1).cast("bigint").alias("reach"))
-
-    def step(a: Column, s: Column) -> Column:
-        beyond = s["start"] >= a["reach"]
-        done = F.when(beyond, F.concat(a["done"], F.array(a["open"]))).otherwise(a["done"])
-        return F.struct(done.alias("done"), F.when(beyond, F.array(s)).otherwise(F.concat(a["open"], F.array(s))).alias("open"), F.greatest(a["reach"], s["end"]).alias("reach"))
+    def clusters(every: Column) -> Column:
+        reach = running(F.transform(every, lambda s: s["end"]), F.greatest, -1)
+        begins = lambda r: F.filter(F.transform(every, lambda s, i: F.when((i == 0) | (s["start"] >= F.get(r, i - 1)), i)), lambda i: i.isNotNull())
+        parts = lambda b: F.transform(b, lambda i, k: F.slice(every, i + 1, F.coalesce(F.get(b, k + 1), F.size(every)) - i))
+        return let(let(reach, begins), parts)
 
-    clusters = F.aggregate(ordered(spans, first), start, step, lambda a: F.concat(a["done"], F.array(a["open"])))
-    return F.flatten(F.transform(clusters, settled))
+    return F.flatten(F.transform(let(ordered(spans, first), clusters), settled))
 
 
 def found_spans(texts: DataFrame, key: str, text: str, min_confidence: float = 0.0) -> DataFrame:
@@ -163,23 +187,23 @@ def redact_texts(texts: DataFrame, key: str, text: str, nonce: str = "0", min_co
     """
     row = F.struct(F.lit(0).alias("none"), *[texts[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(texts.columns) if c != text])
     mask = [k for k, v in (strategies or {}).items() if v == "mask-chars"]
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).cast("bigint").alias("at"))
 
-    def put(s: Column, every: Column) -> Column:
-        ordinal = F.size(F.filter(every, lambda o: (o["kind"] == s["kind"]) & (o["start"] > s["start"]))) + 1
-        stars = F.repeat(F.lit("*"), (s["end"] - s["start"]).cast("int"))
-        return F.when(s["kind"].isin(*mask), stars).otherwise(placeholder(s["kind"], ordinal, nonce)) if mask else placeholder(s["kind"], ordinal, nonce)
+    def put(e: Column) -> Column:
+        stars = F.repeat(F.lit("*"), (e["end"] - e["start"]).cast("int"))
+        return F.when(e["kind"].isin(*mask), stars).otherwise(placeholder(e["kind"], e["ordinal"], nonce)) if mask else placeholder(e["kind"], e["ordinal"], nonce)
 
-    def rewritten(clean: Column, entries: Column) -> Column:
-        between = lambda a, e: F.substring(clean, (a["at"] + 1).cast("int"), (e["start"] - a["at"]).cast("int"))
-        step = lambda a, e: F.struct(F.concat(a["out"], F.array(between(a, e), e["put"])).alias("out"), e["end"].alias("at"))
-        rest = lambda a: F.substring(clean, (a["at"] + 1).cast("int"), F.greatest(F.length(clean) - a["at"].cast("int"), F.lit(0)))
-        return F.aggregate(entries, start, step, lambda a: F.array_join(F.concat(a["out"], F.array(rest(a))), ""))
+    def numbered(every: Column) -> Column:
+        """With their numbers: of a kind's spans the last has 1. Kinds are few, so each counts along all spans once."""
+        kinds = F.array_distinct(F.transform(every, lambda s: s["kind"]))
+        counts = F.transform(kinds, lambda k: running(F.transform(every, lambda s: F.when(s["kind"] == k, 1).otherwise(0).cast("bigint"))))
+        ordinal = lambda x, s, i: let(F.get(x["counts"], F.array_position(x["kinds"], s["kind"]).cast("int") - 1), lambda c: F.element_at(c, -1) - F.get(c, i) + 1)
+        return let(F.struct(kinds.alias("kinds"), counts.alias("counts")), lambda x: F.transform(every, lambda s, i: F.struct(s["kind"].alias("kind"), s["rule"].alias("rule"), s["start"].alias("start"), s["end"].alias("end"), ordinal(x, s, i).cast("int").alias("ordinal"))))
 
     def done(clean: Column) -> Column:
         held = F.filter(resolve_overlaps(text_spans(clean)), lambda s: s["confidence"] >= min_confidence)
-        entries = let(held, lambda every: F.transform(every, lambda s: F.struct(s["kind"].alias("kind"), s["rule"].alias("rule"), s["start"].alias("start"), s["end"].alias("end"), put(s, every).alias("put"))))
-        return let(entries, lambda e: F.struct(F.when(F.size(e) > 0, rewritten(clean, e)).otherwise(clean).alias("text"), e.alias("entries")))
+        told = lambda n: F.transform(n, lambda e: F.struct(e["kind"].alias("kind"), e["rule"].alias("rule"), e["start"].alias("start"), e["end"].alias("end"), put(e).alias("put")))
+        entries = let(let(held, numbered), told)
+        return let(entries, lambda e: F.struct(spliced(clean, e, lambda x: x["put"]).alias("text"), e.alias("entries")))
 
     # What may raise duplicates of a long expression stands behind a bound variable.
     found = texts.select(row.alias("row"), count_forgeries(F.col(text)).alias("forged"), let(strip_forgeries(F.col(text)), done).alias("done"))

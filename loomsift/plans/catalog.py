@@ -567,12 +567,6 @@ def n1_ambiguous_goals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "goal_id", "term", "role", elements.question(F.col("candidates")).alias("question"))
 
 
-@query("SELECT conv_id, turn, CASE WHEN trim(coalesce(text, '')) = '' THEN 'empty-input' ELSE 'no-json-found' END AS code FROM conversations WHERE text IS NULL OR NOT contains(text, '{')")
-def n6_parse_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").where(F.col("text").isNull() | ~F.contains("text", F.lit("{")))
-    return actions.parse_actions(rows.select("conv_id", "turn", "text")).select("conv_id", "turn", "action.code")
-
-
 @query()
 def n6_parse_all_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation row, those with JSON too, which SQL can't parse alike."""

@@ -203,10 +203,11 @@ def e4_screenshot_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return egress.inspect_screenshots(rows).select("l_orderkey", "l_linenumber")
 
 
-@query("SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'key sk-*** end' WHEN 1 THEN 'Authorization: Bearer *** ok' WHEN 2 THEN 'api_key=***;x' WHEN 3 THEN 'token: short' ELSE p_name END AS text FROM part")
+@query("SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'key *** end' WHEN 1 THEN 'Authorization: ***' || chr(10) || 'next' WHEN 2 THEN 'api_key=***;x' WHEN 3 THEN 'tokens: ' || p_partkey WHEN 4 THEN '{\"Password\": ***, \"a\": 1}' ELSE p_name END AS text FROM part")
 def e9_mask_credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("p_partkey")
-    text = F.when(k % 5 == 0, F.concat(F.lit("key sk-abcdefgh"), k.cast("string"), F.lit(" end"))).when(k % 5 == 1, F.concat(F.lit("Authorization: Bearer abcd.efgh/"), k.cast("string"), F.lit(" ok"))).when(k % 5 == 2, "api_key=abcdefgh12;x").when(k % 5 == 3, "token: short").otherwise(F.col("p_name"))
+    k, n = F.col("p_partkey") % 6, F.col("p_partkey").cast("string")
+    said = {0: F.concat(F.lit("key sk-abcdefghijklmnop"), n, F.lit(" end")), 1: F.concat(F.lit("Authorization: Bearer abcd.efgh/"), n, F.lit("\nnext")), 2: F.concat(F.lit("api_key=a"), n, F.lit(";x")), 3: F.concat(F.lit("tokens: "), n), 4: F.concat(F.lit('{"Password": "p w'), n, F.lit('", "a": 1}'))}
+    text = F.coalesce(*[F.when(k == i, t) for i, t in said.items()], F.col("p_name"))
     return table(spark, sf_dir, "part").select("p_partkey", T.mask_credentials(text).alias("text"))
 
 
@@ -341,6 +342,7 @@ def f12_over_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Actions
 
 _SAID = [
+    ('{"type":"wait","ms":1' + "0" * 400 + "}", "out-of-range"),
     ('I will {"type":"click","ref":"e1"} now', "ok"), ('{"action":{"type":"wait","ms":50}}', "ok"), ('{"type":"scroll","direction":"down"}', "ok"), ('{"type":"type","target":{"role":"textbox"},"text":"a } b"}', "ok"),
     ("", "empty-input"), ("   ", "empty-input"), ("no json here", "no-json-found"), ('{"type":"click"', "no-json-found"), ('{"type":"click","ref":"e1"} {"type":"wait"}', "multiple-actions"), ('{"type":"dance"}', "unknown-type"), ("{type: click}", "malformed-json"), ('{"kind":1}', "not-an-object"),
     ('{"type":"click"}', "missing-field"), ('{"type":"type","ref":"e1"}', "missing-field"), ('{"type":"click","target":{}}', "missing-field"), ('{"type":"scroll","direction":"around"}', "bad-field-type"), ('{"type":"click","ref":7}', "bad-field-type"), ('{"type":"wait","ms":"long"}', "bad-field-type"), ('{"type":"wait","ms":-1}', "out-of-range"), ('{"type":"scroll","direction":"up","amountPx":1e9}', "out-of-range"),

@@ -25,6 +25,13 @@ def test_parse_and_refuse(spark):
     assert got == cases
 
 
+def test_output_that_no_parser_bears(spark):
+    long, deep = '{"type":"wait","ms":1' + "0" * 400 + "}", '{"type":"wait","x":' + "[" * 60_000 + "]" * 60_000 + "}"
+    cases = {long: "out-of-range", deep: "malformed-json", '{"type":"wait","ms":-1' + "0" * 400 + "}": "out-of-range", '{"type":"wait","ms":1e999}': "bad-field-type", "{" * 30_000 + "}" * 30_000: "malformed-json", deep + '{"type":"wait","ms":5}': "ok"}
+    got = {r.text: r.action.code for r in actions.parse_actions(spark.createDataFrame([(t,) for t in cases], "text string")).collect()}
+    assert got == cases
+
+
 def test_report(spark):
     log = fixtures.telemetry(spark, 300)
     numbers = ["altitude_m", "velocity_ms", "fuel_pct"]

@@ -1,5 +1,7 @@
+import itertools
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -90,9 +92,9 @@ def test_redaction_leaves_nothing(spark):
 
 
 def test_text_that_leaves(spark):
-    row = spark.createDataFrame([("a​b\x07 ```x``` [INST]", "https://User@Ex.org/p/a?q=1#f", "Bearer abcdefghijk token=secretsecret", "Search for red shoes")], "a string, u string, m string, g string")
+    row = spark.createDataFrame([("a​b\x07 ```x``` [INST]", "https://User@Ex.org/p/a?q=1#f", "Authorization: Bearer abcdefghijk\ntoken=secretsecret", "Search for red shoes")], "a string, u string, m string, g string")
     got = row.select(T.neutralize("a"), T.sanitize_url("u"), T.mask_credentials("m"), T.text_intent("g"), T.data_atom("a")["text"], T.clip_name(F.repeat(F.lit("word "), 40))).first()
-    assert got[0] == "ab `·`·`x`·`·` [·I·N·S·T·]" and got[1] == "https://ex.org/p/a" and got[2] == "Bearer *** token=***" and got[3] == "red shoes"
+    assert got[0] == "ab `·`·`x`·`·` [·I·N·S·T·]" and got[1] == "https://ex.org/p/a" and got[2] == "Authorization: ***\ntoken=***" and got[3] == "red shoes"
     assert len(got[5]) < 121 and " … " in got[5]
 
 
@@ -127,3 +129,23 @@ def test_many_matches_in_one_text(spark):
     text = " ".join(f"n{i} a{i}@b.co 9{i:09d}" for i in range(700))
     row = spans.scan_texts(spark.createDataFrame([(1, text)], "id int, text string"), "id", "text").first()
     assert [(s.start, s.end, s.kind) for s in row.spans] == by_hand(text)
+
+
+def test_redaction_of_a_text_of_very_many_spans(spark):
+    n = 100_000
+    text = " é and ".join(f"user{i}@mail{i % 97}.example.org" for i in range(n))
+    began = time.perf_counter()
+    got = spans.redact_texts(spark.createDataFrame([(text,)], "text string"), "text", "text").first()
+    assert time.perf_counter() - began < 60  # a square of the spans would take hours
+    assert got.text == " é and ".join(f"[[PII:EMAIL:{n - i}:0]]" for i in range(n)) and got.redaction.n == n
+
+
+def test_running_and_pieces(spark):
+    values = [3, -1, 4, 1, -5, 9, 2, 6] * 80
+    text = "aé😀" * 1500
+    spots = [(0, 2), (2, 3), (1000, 1030), (2047, 2049), (4400, 4500)]
+    df = spark.createDataFrame([(values, text, spots)], "v array<bigint>, t string, s array<struct<start: bigint, end: bigint>>")
+    row = df.select(spans.running(F.col("v")), spans.running(F.col("v"), F.greatest, -9), spans.pieces(F.col("t"), F.col("s"))).first()
+    assert row[0] == list(itertools.accumulate(values)) and row[1] == list(itertools.accumulate(values, max))
+    ends = [0] + [e for _, e in spots]
+    assert row[2] == [text[a:b] for a, b in zip(ends, [s for s, _ in spots] + [len(text)], strict=True)]
