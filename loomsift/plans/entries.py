@@ -9,7 +9,7 @@ from loomsift.functions import cells as C
 from loomsift.functions import geometry as G
 from loomsift.functions import pii
 from loomsift.functions import text as T
-from loomsift.operators import actions, analysis, detections, egress, elements, redaction, scoring, spans
+from loomsift.operators import actions, analysis, detections, egress, elements, nesting, redaction, scoring, spans
 from loomsift.operators.lineage import written_once
 from loomsift.plans.catalog import _SQL_CLEAN, _SQL_REDACTED, _sql_resolved, _sql_spans, query, r, table
 from loomsift.sources import fixtures, html
@@ -481,3 +481,53 @@ def c9_redact_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = out.groupBy("page_id").agg(F.max(F.when(F.col("tag") == "p", F.get("texts", F.lit(0)))).alias("text"), value("email").alias("shown"), value("hidden").alias("hidden"))
     told = redaction.summarize_pages(out, "5eed").select("page_id", "applied", "owed", "residual_risk")
     return seen.join(told, "page_id").withColumnRenamed("page_id", "c_custkey")
+
+
+# Trees
+
+
+def _deep_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page per supplier: sections in each other, up to 119 deep, each with a heading; every third also holds a form; links at the bottom."""
+    n = (F.col("s_suppkey") % 120).cast("int")
+    opened = F.array_join(F.transform(F.sequence(F.lit(0), n), lambda i: F.concat(F.lit("<section title='s"), i.cast("string"), F.lit("'><h2>Part "), i.cast("string"), F.lit("</h2>"), F.when(i % 3 == 0, "<form title=empty><p>x</p></form>").otherwise(""))), "")
+    page = F.concat(F.lit("<body>"), opened, F.lit("<p><a href='/x'>Go "), F.col("s_suppkey").cast("string"), F.lit("</a></p>"), F.repeat(F.lit("</section>"), n + 1), F.lit("<a href='/y'>End</a></body>"))
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("page_id"), page.alias("html"))
+
+
+@query("""
+    SELECT s_suppkey AS page_id, i AS idx, 'section' AS tag, i - 1 AS parent, 's' || i AS title
+    FROM supplier, generate_series(0, s_suppkey % 120) AS g(i)
+""")
+def d9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers of pages of up to 119 levels; forms that hold no element are left out."""
+    nodes = written_once(html.dom_nodes(_deep_pages(spark, sf_dir)))
+    out = elements.containers(elements.extract(nodes), nodes)
+    return out.select("page_id", F.col("idx").cast("long").alias("idx"), "tag", F.coalesce("parent", F.lit(-1)).cast("long").alias("parent"), "title")
+
+
+@query("""
+    SELECT s_suppkey AS page_id, 'Go ' || s_suppkey AS name, 'Go ' || s_suppkey AS group_name FROM supplier UNION ALL SELECT s_suppkey, 'End', NULL FROM supplier
+    UNION ALL SELECT s_suppkey, 'Part ' || i, 'Part ' || i FROM supplier, generate_series(0, s_suppkey % 120) AS g(i)
+""")
+def d8_group_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections are named by their headings, and the small paragraph around a link by that link."""
+    found = elements.extract(html.dom_nodes(_deep_pages(spark, sf_dir)))
+    return found.select("page_id", "name", "group_name")
+
+
+@query("""
+    WITH x AS (SELECT p_partkey // 1024 AS page_id, p_partkey AS node_ord, p_partkey + least(1024, CAST(p_partkey & (-p_partkey) AS BIGINT)) - 1 AS last_ord, p_size % 3 = 0 AS box FROM part)
+    SELECT a.page_id, a.node_ord, coalesce(max(b.node_ord), -1) AS above, count(b.node_ord) AS around, (SELECT count(*) FROM x c WHERE c.page_id = a.page_id AND c.node_ord > a.node_ord AND c.node_ord <= a.last_ord AND c.box) AS below
+    FROM x a LEFT JOIN x b ON b.box AND a.page_id = b.page_id AND b.node_ord < a.node_ord AND a.node_ord <= b.last_ord GROUP BY ALL
+""")
+def d9_nested_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every node of a forest the innermost box above, the number of boxes above, and of those below."""
+    k, by = F.col("p_partkey"), ["page_id"]
+    last = k + F.least(F.lit(1024), k.bitwiseAND(-k)) - 1
+    rows = table(spark, sf_dir, "part").select(F.floor(k / 1024).cast("long").alias("page_id"), k.cast("int").alias("node_ord"), last.cast("int").alias("last_ord"), (F.col("p_size") % 3 == 0).alias("box"))
+    boxes = rows.where("box")
+    above = nesting.nearest_above(rows, boxes, by)
+    around = nesting.enclosing(rows.select(*by, "node_ord"), boxes, by).groupBy(*by, "node_ord").agg(F.count("*").alias("around"))
+    below = nesting.count_below(rows, boxes, by).withColumnRenamed("n", "below")
+    met = above.join(around, [*by, "node_ord"], "left").join(below, [*by, "node_ord"])
+    return met.select("page_id", F.col("node_ord").cast("long").alias("node_ord"), F.coalesce("above", F.lit(-1)).cast("long").alias("above"), F.coalesce("around", F.lit(0)).alias("around"), "below")
