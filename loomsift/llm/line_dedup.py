@@ -60,7 +60,7 @@ def duplicate_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", ed
     n = F.length("line")
     seen = lines_of(docs, key, text).where(n >= least_chars).select("key", "high", "place", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), "line")
     # Equal lines become one, with their first place; copies are merged before they move.
-    distinct = seen.groupBy("h1").agg(F.min(F.struct("key", "high", "place", "h2", "line")).alias("first"))
+    distinct = seen.groupBy("h1").agg(F.min(F.struct("key", "high", "place", "line")).alias("first"))
     distinct = distinct.select("h1", F.struct("first.key", "first.high", "first.place").alias("first"), F.col("first.line").alias("line"))
     entries = []
     for gap, i, shift in windows(edits):
