@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomsift.operators.spans import let
+
 from ._common import checkpoint
 
 def segment(n: Column, i: int, edits: int) -> tuple[Column, Column]:
@@ -92,11 +94,10 @@ def drop_duplicate_lines(docs: DataFrame, key: str = "doc_id", text: str = "text
     """
     found = checkpoint(duplicate_lines(docs, key, text, edits, least_chars)).select(F.col("key").alias("found_key"), F.col("text_number").alias("found_number"), "dropped")
     others = F.struct(F.lit(0).alias("none"), *[docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(docs.columns) if c != text])
-    # The lines move instead of the text: which of them stay is then looked up by number.
-    rows = docs.select(others.alias("row"), F.col(key).alias("key"), text_number(text).alias("text_number"), F.split(F.col(text), "\n", -1).alias("lines"))
+    rows = docs.select(others.alias("row"), F.col(key).alias("key"), text_number(text).alias("text_number"), F.col(text).alias("text"))
     met = rows.join(found, F.col("key").eqNullSafe(F.col("found_key")) & (F.col("text_number") == F.col("found_number")), "left")
-    every = F.when(F.size("lines") > 0, F.sequence(F.lit(0), F.size("lines") - 1))
-    kept = F.transform(F.array_except(every, "dropped"), lambda i: F.get(F.col("lines"), i))
-    cleaned = F.array_join(F.when(F.col("dropped").isNull(), F.col("lines")).otherwise(kept), "\n").alias(text)
+    kept = lambda lines: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "dropped"), lambda i: F.get(lines, i)), "\n")
+    # Cut behind a bound variable, so that a text is cut once.
+    cleaned = F.when(F.col("dropped").isNull(), F.col("text")).otherwise(let(F.split("text", "\n", -1), kept)).alias(text)
     back = [cleaned if c == text else F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns) if c.lower() != name.lower()]
     return met.select(*back, F.coalesce(F.size("dropped"), F.lit(0)).alias(name))
