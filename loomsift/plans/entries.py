@@ -516,14 +516,14 @@ def d8_group_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH x AS (SELECT p_partkey // 1024 AS page_id, p_partkey AS node_ord, p_partkey + least(1024, CAST(p_partkey & (-p_partkey) AS BIGINT)) - 1 AS last_ord, p_size % 3 = 0 AS box FROM part)
+    WITH x AS (SELECT p_partkey // 1024 AS page_id, p_partkey AS node_ord, p_partkey + greatest(1, least(1024, CAST(p_partkey & (-p_partkey) AS BIGINT))) - 1 AS last_ord, p_size % 3 = 0 AS box FROM part)
     SELECT a.page_id, a.node_ord, coalesce(max(b.node_ord), -1) AS above, count(b.node_ord) AS around, (SELECT count(*) FROM x c WHERE c.page_id = a.page_id AND c.node_ord > a.node_ord AND c.node_ord <= a.last_ord AND c.box) AS below
     FROM x a LEFT JOIN x b ON b.box AND a.page_id = b.page_id AND b.node_ord < a.node_ord AND a.node_ord <= b.last_ord GROUP BY ALL
 """)
 def d9_nested_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of every node of a forest the innermost box above, the number of boxes above, and of those below."""
     k, by = F.col("p_partkey"), ["page_id"]
-    last = k + F.least(F.lit(1024), k.bitwiseAND(-k)) - 1
+    last = k + F.greatest(F.lit(1), F.least(F.lit(1024), k.bitwiseAND(-k))) - 1
     rows = table(spark, sf_dir, "part").select(F.floor(k / 1024).cast("long").alias("page_id"), k.cast("int").alias("node_ord"), last.cast("int").alias("last_ord"), (F.col("p_size") % 3 == 0).alias("box"))
     boxes = rows.where("box")
     above = nesting.nearest_above(rows, boxes, by)
