@@ -1,5 +1,5 @@
-"""Queries by name: the catalog, and entries for single operators."""
+"""Queries by name: the catalog, entries for single operators, and whole requests."""
 
-from loomsift.plans import catalog, entries
+from loomsift.plans import catalog, entries, requests
 
-__all__ = ["catalog", "entries"]
+__all__ = ["catalog", "entries", "requests"]
