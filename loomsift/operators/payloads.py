@@ -11,7 +11,7 @@ import json
 import math
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import accumulate, chain
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -88,17 +88,20 @@ def _no_number(word: str):
     raise ValueError(word)
 
 
+_KINDS = {type(None): "null", bool: "boolean", float: "number", str: "string", list: "array"}
+
+
 def _kind(value) -> str:
-    if value is None:
-        return "null"
-    return {bool: "boolean", float: "number", str: "string", list: "array"}.get(type(value), "object")
+    return _KINDS.get(type(value), "object")
 
 
 def _scalar(value) -> str | None:
     """A scalar as text; halves of character pairs, which no column can hold, become question marks."""
     if isinstance(value, str):
-        return value.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
-    return None if value is None or isinstance(value, (dict, list)) else json.dumps(value)
+        return value if value.isascii() else value.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+    if isinstance(value, bool):
+        return "true" if value else "false"
+    return repr(value) if isinstance(value, float) else None
 
 
 def _values(text: str | None) -> Iterator[tuple]:
@@ -111,7 +114,7 @@ def _values(text: str | None) -> Iterator[tuple]:
     fit = isinstance(root, dict) and type(root.get("schemaVersion")) is float and root["schemaVersion"] == 1
     nonce = root.get("nonce") if isinstance(root, dict) else None
     own = f":{nonce}]]" if isinstance(nonce, str) and nonce else None
-    foreign = lambda s: sum(own not in m for m in re.findall(PLACEHOLDER, s, re.ASCII)) if own else 0
+    foreign = lambda s: sum(own not in m for m in re.findall(PLACEHOLDER, s, re.ASCII)) if own and "[[" in s else 0
     left = [("", "", "", root, None, 0)]
     while left:
         path, place, name, value, within, depth = left.pop()
@@ -141,13 +144,18 @@ def _walk(batches: Iterator) -> Iterator:
     """Batches of (key, request) as batches of values, of some 4 million characters each."""
     import pyarrow as pa
 
-    value = pa.struct([("kind", pa.string()), ("value", pa.string())])
-    types = [pa.string()] * 6 + [pa.map_(pa.string(), value), pa.bool_(), pa.int64(), pa.bool_()]
+    types = [pa.string()] * 6 + [None, pa.bool_(), pa.int64(), pa.bool_()]
+
+    def members(maps: list[dict]) -> pa.MapArray:
+        """The maps from three flat columns: names, kinds, values."""
+        ends = list(accumulate(map(len, maps), initial=0))
+        said = [v for m in maps for v in m.values()]
+        flat = pa.StructArray.from_arrays([pa.array([k for k, _ in said], pa.string()), pa.array([v for _, v in said], pa.string())], names=["kind", "value"])
+        return pa.MapArray.from_arrays(pa.array(ends, pa.int32()), pa.array([k for m in maps for k in m], pa.string()), flat)
 
     def packed(keys: pa.Array, at: list[int], rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-        columns = [list(c) for c in zip(*rows, strict=True)]
-        columns[6] = [[(k, {"kind": a, "value": b}) for k, (a, b) in m.items()] for m in columns[6]]
-        return pa.RecordBatch.from_arrays([keys.take(pa.array(at, pa.int64())), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], names=names)
+        columns = [pa.array(c, t) if t else members(c) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+        return pa.RecordBatch.from_arrays([keys.take(pa.array(at, pa.int64())), *columns], names=names)
 
     names = ["key", *[c.split()[0] for c in _VALUE.split(", ")]]
     for batch in batches:
