@@ -133,15 +133,19 @@ def receipts(events: DataFrame, block: int = BLOCK) -> DataFrame:
     so nothing that comes after a seal changes it, but for page/verified, which goes to the last receipt of its step in its session.
     """
     rows = _placed(events, block)
-    fills = _fills()
-    seal = F.struct("seq", "b.step", "b.ms", F.col("_backend.as").alias("backend"), F.col("_session").alias("session"))
-    done = _t() == "step/done"
-    own = rows.where("_live").groupBy("panel", F.col("_open.seq").alias("_begun")).agg(F.max_by(seal, F.when(done, F.col("seq"))).alias("_seal"), *(F.max_by(_slot(s), F.when(fills[s], F.col("seq"))).alias(s) for s in SLOTS)).where("_seal is not null")
-    other = rows.where(done & ~F.col("_live")).select("panel", seal.alias("_seal"))
-    sealed = own.drop("_begun").unionByName(other, allowMissingColumns=True).select("panel", F.col("_seal.seq").alias("seq"), F.col("_seal.session.seq").alias("_session"), F.col("_seal.session.task").alias("task"), F.col("_seal.step").alias("step"), F.col("_seal.ms").alias("e2e_ms"), F.col("_seal.backend").alias("backend"), *SLOTS)
+    done, check = _t() == "step/done", _t() == "page/verified"
+    # An event tells of the step it is in, and a seal or a check may tell of itself: one pass, one grouping.
+    of = lambda what, id_: F.struct(F.lit(what).alias("what"), F.col(id_).alias("id"))
+    told = F.array(F.when(F.col("_live"), of("step", "_open.seq")), F.when(done & ~F.col("_live"), of("empty", "seq")), F.when(check, of("check", "seq")))
+    rows = rows.withColumn("_of", F.explode(F.filter(told, lambda x: x.isNotNull())))
+    seal = F.struct("seq", "b.step", "b.ms", F.col("_backend.as").alias("backend"), "_session")
+    step = F.col("_of.what") == "step"
+    slots = [F.max_by(_slot(s), F.when(step & when, F.col("seq"))).alias(s) for s, when in _fills().items()]
+    found = F.max(F.when(check & ~step, F.struct("seq", "b.changed"))).alias("_check")
+    grouped = rows.groupBy("panel", "_of").agg(F.max_by(seal, F.when(done | ~step, F.col("seq"))).alias("_seal"), found, *slots).where("_seal is not null")
+    both = grouped.select("panel", F.col("_seal.seq").alias("seq"), F.col("_seal._session.seq").alias("_session"), F.col("_seal._session.task").alias("task"), F.col("_seal.step").alias("step"), F.col("_seal.ms").alias("e2e_ms"), F.col("_seal.backend").alias("backend"), "_check", *SLOTS)
     # Checks of pages meet the last receipt of their step before them, in order of seq.
-    checks = rows.where(_t() == "page/verified").select("panel", "seq", F.col("_session.seq").alias("_session"), F.col("b.step").alias("step"), F.struct("seq", "b.changed").alias("_check"))
-    both = sealed.withColumn("_seal", F.col("seq")).unionByName(checks, allowMissingColumns=True)
+    both = both.withColumn("_seal", F.when(F.col("_check").isNull(), F.col("seq")))
     w = Window.partitionBy("panel", "step", "_session").orderBy("seq")
     both = both.withColumn("_of", F.max("_seal").over(w))
     late = F.max("_check").over(Window.partitionBy("panel", "step", "_session", "_of"))["changed"]
