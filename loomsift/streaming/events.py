@@ -38,27 +38,29 @@ def _add(state: dict, events: pd.DataFrame) -> dict:
 def fold_stream(events: DataFrame, idle: str = "1 hour") -> DataFrame:
     """Receipts of a stream (task, seq, step, type, value): a step's row comes when its step/done does.
 
-    A task's open steps are its state. When a task is idle, its open steps come unsealed and its state goes.
+    A task's open steps and the numbers of those sealed are its state; events of a sealed step that come in a later batch are dropped. When a task is idle, its open steps come unsealed and its state goes.
     """
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = dict(zip(state.get[0], ([a, b, c, d] for a, b, c, d in zip(*state.get[1:], strict=True)), strict=True)) if state.exists else {}
+        held = dict(zip(state.get[0], ([a, b, c, d] for a, b, c, d in zip(*state.get[1:5], strict=True)), strict=True)) if state.exists else {}
+        sealed = set(state.get[5]) if state.exists else set()
         done: list[tuple] = []
         if state.hasTimedOut:
             done = [(key[0], s, *r, False) for s, r in sorted(held.items())]
             state.remove()
         else:
             for events in batches:
-                events = events.sort_values("seq")
+                events = events[~events["step"].isin(sealed)].sort_values("seq")
                 _add(held, events)
                 for s in events.loc[events["type"] == "step/done", "step"].unique():
                     done.append((key[0], int(s), *held.pop(int(s)), True))
+                    sealed.add(int(s))
             columns = [list(held), *map(list, zip(*held.values(), strict=True))] if held else [[], [], [], [], []]
-            state.update(tuple(columns))
+            state.update((*columns, sorted(sealed)))
             state.setTimeoutDuration(int(pd.Timedelta(idle).total_seconds() * 1000))
         yield pd.DataFrame(done, columns=["task", "step", "n_events", "n_redactions", "n_errors", "latency_ms", "sealed"])
 
-    held = "step array<bigint>, n array<bigint>, r array<bigint>, e array<bigint>, ms array<double>"
+    held = "step array<bigint>, n array<bigint>, r array<bigint>, e array<bigint>, ms array<double>, sealed array<bigint>"
     return events.groupBy("task").applyInPandasWithState(update, RECEIPT, held, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
