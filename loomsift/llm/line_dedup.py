@@ -1,8 +1,9 @@
 """Line dedup by a segment-partition edit join, in DataFrame operations only.
 
-A line is cut into one segment more than the edits allowed, so a line within that many edits holds
-one of them unchanged, near its place. Lines are probed with their substrings against the segments
-of lines of each length in reach, and pairs are verified by banded edit distance.
+Lines are in classes of near lengths. A line has one segment more than the edits allowed, so a line
+within that many edits holds one of them unchanged, near its place from the left or the right end.
+Lines are probed with their substrings against the segments of lines of each class in reach, and
+pairs are verified by banded edit distance.
 """
 
 from __future__ import annotations
@@ -14,29 +15,44 @@ from loomsift.operators.spans import let
 
 from ._common import checkpoint
 
-def segment(n: Column, i: int, edits: int) -> tuple[Column, Column]:
-    """First character (from 1) and length of segment i of a line of n characters; the later ones are the longer."""
-    parts = edits + 1
-    short = F.floor(n / parts)
-    longer = n % parts  # so many of the last segments have one character more
-    before = short * i + F.greatest(F.lit(0), F.lit(i) - (F.lit(parts) - longer))
-    return (before + 1).cast("int"), (short + F.when(F.lit(i) >= F.lit(parts) - longer, 1).otherwise(0)).cast("int")
+#: Lengths in a class of lines. Its segments are cut for the least of them.
+CLASS = 8
 
 
-def windows(edits: int) -> list[tuple[int, int, int]]:
-    """(length difference, segment, shift) of the substrings to probe; (0, i, 0) is the segment itself.
+def probes(edits: int) -> list[tuple[int, int, int, bool, bool]]:
+    """(length difference, segment, move, lead, own) of the substrings to look up.
 
-    With i segments in front and edits - i behind, edits that don't touch the segment shift it by
-    no more than i from the left and, counted from the right, by no more than edits - i.
+    With i segments in front and edits - i behind, edits that don't touch segment i shift it by no
+    more than i, counted from the left end, and by no more than edits - i, counted from the right.
+    It is placed from the end that allows fewer moves. Differences that lead to one class look up
+    the same: the first that allows a move is `lead`, later ones count where they enter another class.
+    `own` is the segment itself.
     """
     out = []
-    for gap in range(edits + 1):
-        for i in range(edits + 1):
-            low, high = max(-i, gap - (edits - i)), min(i, gap + (edits - i))
-            out += [(gap, i, shift) for shift in range(low, high + 1)]
+    for i in range(edits + 1):
+        near, far = min(i, edits - i), max(i, edits - i)
+        for move in range(-near, near + 1):
+            gaps = [gap for gap in range(edits + 1) if abs(gap - move) <= far]
+            out += [(gap, i, move, gap == gaps[0], not gap and not move) for gap in gaps]
     return out
 
 
+def postings(lines: DataFrame, edits: int, least_chars: int) -> DataFrame:
+    """h1, part, own of lines (h1, line): what a line looks up, `own` where others find it."""
+    parts = edits + 1
+    # One expression for all substrings, as a method with each of them written out is too long to be compiled.
+    each = F.array(*[F.struct(F.lit(gap).alias("gap"), F.lit(i).alias("i"), F.lit(move).alias("move"), F.lit(lead).alias("lead"), F.lit(own).alias("own")) for gap, i, move, lead, own in probes(edits)])
+    rows = lines.select("h1", "line", F.length("line").alias("n"), F.explode(each).alias("e")).select("h1", "line", "n", "e.*")
+    over = F.col("n") - F.col("gap") - least_chars
+    rows = rows.where((over >= 0) & (F.col("lead") | ((over + 1) % CLASS == 0)))
+    least = F.col("n") - F.col("gap") - over % CLASS
+    size = F.floor(least / parts).cast("int")
+    left = F.col("i") * size + F.col("move")
+    right = F.col("n") - (parts - F.col("i")) * size - F.col("move")
+    start = F.when(F.col("i") * 2 <= edits, left).otherwise(right) + 1
+    return rows.select("h1", F.xxhash64(least, "i", F.col("line").substr(start, size)).alias("part"), "own")
+
+
 def text_number(text: str) -> Column:
     """Tells texts of one key apart, all those of a null key too: 96 bits."""
     return F.struct(F.xxhash64(F.lit("text"), F.col(text)).alias("high"), F.hash(F.lit("text"), F.col(text)).alias("low"))
@@ -44,8 +60,11 @@ def text_number(text: str) -> Column:
 
 def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, high, place, line: the place has the low half of the text's number, then the line's, from 0."""
-    lines = docs.select(F.col(key).alias("key"), text_number(text).alias("number"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("pos", "line"))
-    return lines.select("key", F.col("number.high").alias("high"), (F.shiftleft(F.col("number.low").cast("bigint"), 32) + F.col("pos")).alias("place"), "line")
+    # Numbered before the lines are apart, or each line would number its text anew; the outer form,
+    # as the other one cuts each text twice more to leave out those without lines.
+    texts = docs.select(F.col(key).alias("key"), text_number(text).alias("number"), F.split(F.col(text), "\n", -1).alias("lines"))
+    lines = texts.select("key", F.col("number.high").alias("high"), F.shiftleft(F.col("number.low").cast("bigint"), 32).alias("low"), F.posexplode_outer("lines").alias("pos", "line"))
+    return lines.select("key", "high", (F.col("low") + F.col("pos")).alias("place"), "line")
 
 
 def duplicate_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = 2, least_chars: int = 30) -> DataFrame:
@@ -61,25 +80,20 @@ def duplicate_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", ed
         raise ValueError("least_chars must exceed the edits, or a segment would be empty")
     n = F.length("line")
     seen = lines_of(docs, key, text).where(n >= least_chars).select("key", "high", "place", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), "line")
-    # Equal lines become one, with their first place; copies are merged before they move.
-    distinct = seen.groupBy("h1").agg(F.min(F.struct("key", "high", "place", "line")).alias("first"))
-    distinct = distinct.select("h1", F.struct("first.key", "first.high", "first.place").alias("first"), F.col("first.line").alias("line"))
-    entries = []
-    for gap, i, shift in windows(edits):
-        first, size = segment(n - gap, i, edits)
-        entries.append(F.struct(F.xxhash64(n - gap, F.lit(i), F.col("line").substr(first + shift, size)).alias("part"), F.lit(not gap and not shift).alias("own")))
-    posted = distinct.select("h1", F.explode(F.array(*entries)).alias("e")).select("h1", "e.part", "e.own")
+    # Equal lines become one, with their first place; copies are merged before they move. The rows
+    # are read again below: all of them are taken whole (so the count is asked for), and shuffled once.
+    distinct = seen.groupBy("h1").agg(F.min(F.struct("key", "high", "place", "h2", "line")).alias("first"), F.count("*").alias("n")).where("n > 0")
+    posted = postings(distinct.select("h1", "first.line"), edits, least_chars)
     same = Window.partitionBy("part")
     shared = posted.withColumns({"low": F.min("h1").over(same), "high": F.max("h1").over(same), "indexed": F.max("own").over(same)}).where("low <> high and indexed").select("part", "h1", "own")
     # Only lines that share a segment take their text along. A line looks for any earlier one and
-    # stops at the first it finds, so no pairs come out.
-    told = shared.join(distinct, "h1")
-    late, early = told.select("part", "h1", "own", "first", "line"), told.select(F.col("part").alias("p"), F.col("own").alias("o"), F.col("first").alias("f"), F.col("line").alias("l"))
-    near = (F.col("part") == F.col("p")) & (F.col("own") | F.col("o")) & (F.col("f") < F.col("first")) & (F.abs(F.length("line") - F.length("l")) <= edits) & (F.levenshtein("line", "l", edits) >= 0)
-    # Written, so that what was shuffled to find these few numbers can go.
-    found = checkpoint(late.join(early, near, "left_semi").select("h1").distinct()).withColumn("late", F.lit(True))
+    # stops at the first it finds, so no pairs come out. Both sides have the same columns, so they move once.
+    told = shared.join(distinct, "h1").select("part", "h1", "own", F.struct("first.key", "first.high", "first.place").alias("first"), "first.line", F.length("first.line").alias("n"))
+    early = told.select(*[F.col(c).alias(f"e_{c}") for c in told.columns])
+    near = (F.col("part") == F.col("e_part")) & (F.col("own") | F.col("e_own")) & (F.abs(F.col("n") - F.col("e_n")) <= edits) & (F.col("h1") != F.col("e_h1")) & (F.col("e_first") < F.col("first")) & (F.levenshtein("line", "e_line", edits) >= 0)
+    found = told.join(early, near, "left_semi").select("h1").distinct().withColumn("late", F.lit(True))
     # Lines of equal h1 and another h2 are no copies of the first; they stay.
-    firsts = seen.groupBy("h1").agg(F.min(F.struct("key", "high", "place", "h2")).alias("first"), F.count("*").alias("n")).join(found, "h1", "left").where("n > 1 or late")
+    firsts = distinct.select("h1", F.struct("first.key", "first.high", "first.place", "first.h2").alias("first"), "n").join(found, "h1", "left").where("n > 1 or late")
     own = F.col("key").eqNullSafe(F.col("first.key")) & (F.col("high") == F.col("first.high")) & (F.col("place") == F.col("first.place"))
     places = seen.select("key", "high", "place", "h1", "h2").join(firsts, "h1").where((F.col("h2") == F.col("first.h2")) & (F.col("late").isNotNull() | ~own))
     lost = places.select("key", F.struct("high", F.shiftright("place", 32).cast("int").alias("low")).alias("text_number"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("pos"))

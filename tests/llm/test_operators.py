@@ -472,6 +472,50 @@ def test_line_dedup_finds_every_edit(spark):
     assert got == want
 
 
+def test_line_dedup_across_lengths(spark):
+    def distance(a, b):
+        last = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row = [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(row[-1] + 1, last[j] + 1, last[j - 1] + (x != y)))
+            last = row
+        return last[-1]
+
+    rng = np.random.default_rng(5)
+    letters = list("abcdefghäß€🙂 ")
+    for edits, least in ((1, 12), (2, 10), (3, 10), (4, 5)):
+        rows = []
+        for length in range(least, least + 20):
+            text = list(rng.choice(letters, length))
+            for _ in range(4):
+                t = list(text)
+                for _ in range(rng.integers(0, edits + 2)):
+                    k = int(rng.choice([0, len(t) - 1, rng.integers(0, len(t))]))
+                    t[k : k + int(rng.integers(0, 2))] = [str(rng.choice(list("xyzé")))] if rng.integers(0, 2) else []
+                rows.append((len(rows), "".join(t)))
+        want = {i for i, t in rows if len(t) >= least and any(j < i and len(u) >= least and distance(t, u) <= edits for j, u in rows)}
+        got = duplicate_lines(spark.createDataFrame(rows, "doc_id long, text string"), edits=edits, least_chars=least).collect()
+        assert {r.key for r in got} == want and len(want) > 20
+
+
+def test_line_dedup_moves_few_rows_a_line(spark):
+    rng = np.random.default_rng(6)
+    n = 4000
+    rows = [(i, "".join(rng.choice(list("abcdefghijklmnop"), int(rng.integers(30, 150))))) for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2).checkpoint()
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def moved():
+        every = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return {every.apply(k).stageId(): every.apply(k).shuffleWriteRecords() for k in range(every.size())}
+
+    before = moved()
+    assert duplicate_lines(docs, edits=2, least_chars=30).collect() == []
+    # A line itself, its postings (12 of them, were there one for each length in reach), and its place.
+    assert 6 * n < sum(x for k, x in moved().items() if k not in before) < 10 * n
+
+
 def test_mixing(docs, none):
     rows = mixture(docs, repetition_limit=2.0, block_tokens=100).collect()
     assert {r.doc_id for r in rows} == {t[0] for t in TEXTS}
