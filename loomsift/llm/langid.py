@@ -33,9 +33,9 @@ _tables: list[np.ndarray] = []
 def _letters() -> tuple[np.ndarray, np.ndarray]:
     """For every code point: is it a letter, and its lower case where that is one character."""
     if not _tables:
-        every = [chr(i) for i in range(0x110000)]
-        _tables.append(np.fromiter((c.isalpha() for c in every), bool, 0x110000))
-        _tables.append(np.fromiter((ord(c.lower()) if len(c.lower()) == 1 else i for i, c in enumerate(every)), np.uint32, 0x110000))
+        # One character at a time: a list of all takes some 75 MB of every worker.
+        _tables.append(np.fromiter((c.isalpha() for c in map(chr, range(0x110000))), bool, 0x110000))
+        _tables.append(np.fromiter((ord(c.lower()) if len(c.lower()) == 1 else i for i, c in enumerate(map(chr, range(0x110000)))), np.uint32, 0x110000))
     return _tables[0], _tables[1]
 
 

@@ -3,10 +3,13 @@
 import hashlib
 import os
 import re
+import tracemalloc
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from loomsift.llm import _common, langid
 from loomsift.llm._common import shared_folder
 from loomsift.llm.line_dedup import drop_duplicate_lines
 
@@ -132,3 +135,44 @@ def test_line_dedup_of_very_long_texts(spark):
     rows = [(1, "\n".join(lines)), (2, "\n".join(reversed(lines)) + "\nand one line that only the second has, at its end"), (3, "x" * 500_000)]
     got = {r.doc_id: r for r in corpus_pipeline.line_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), DATA).collect()}
     assert got[2].text == "and one line that only the second has, at its end" and got[3].text == rows[2][1]
+
+
+def test_texts_reach_workers_in_batches_of_bounded_bytes(spark, tmp_path):
+    setting = _common.BATCH_SETTING
+    long = spark.range(0, 6000, 1, 1).select(F.repeat(F.lit("word "), 800).alias("text"))  # 24 MB, below the 10,000 rows of a batch
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "bytes"])
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(20)
+    stages = dict(corpus_pipeline.STAGES)
+    try:
+        for name in ("language_id", "near_dedup", "pack"):
+            spark.conf.unset(setting)
+            stages[name](spark, docs, DATA)
+            found = long.mapInArrow(sizes, "n long, bytes long").collect()
+            assert sum(r.n for r in found) == 6000
+            assert max(r.bytes for r in found) < 2 * _common.BATCH_BYTES, name
+        # A bound of the session's own stays, and a run leaves the session as it was.
+        spark.conf.set(setting, "1000000")
+        stages["pack"](spark, docs, DATA)
+        assert spark.conf.get(setting) == "1000000"
+        spark.conf.unset(setting)
+        docs.write.parquet(f"{tmp_path}/documents.parquet")
+        corpus_pipeline.run(spark, str(tmp_path))
+        assert spark.conf.get(setting, None) is None
+    finally:
+        spark.conf.unset(setting)
+
+
+def test_letter_tables_take_no_list_of_all_characters(monkeypatch):
+    monkeypatch.setattr(langid, "_tables", [])
+    tracemalloc.start()
+    try:
+        is_letter, lower = langid._letters()
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(is_letter) == len(lower) == 0x110000 and most < 32e6
+    assert is_letter[ord("é")] and not is_letter[ord("7")] and lower[ord("É")] == ord("é") and lower[ord("İ")] == ord("İ")
