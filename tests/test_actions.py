@@ -79,3 +79,14 @@ def test_all_conversations_are_parsed(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn int, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     got = catalog.QUERIES["n6_parse_all_actions"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == [(k, k % 2, code) for k, (_, code) in enumerate(texts)]
+
+
+def test_a_question_splits_its_candidates_once(spark):
+    from loomsift.operators import elements
+
+    rows = spark.createDataFrame([(["Add A to cart", "Add B to cart"],), (["Open", "Open"],), (["x y", "x  z", "x "],), ([],), (None,)], "c array<string>").repartition(2)
+    asked = rows.select("c", elements.question(F.col("c")).alias("said"))
+    assert asked._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    assert {None if r.c is None else tuple(r.c): r.said for r in asked.collect()} == {
+        ("Add A to cart", "Add B to cart"): "Which one did you mean - A, or B? (both on: Add to cart)", ("Open", "Open"): "Which one did you mean - Open, or Open?", ("x y", "x  z", "x "): "Which one did you mean - x y, or x  z, or x ?", (): "Which one did you mean - ?", None: None,
+    }
