@@ -149,3 +149,18 @@ def test_running_and_pieces(spark):
     assert row[0] == list(itertools.accumulate(values)) and row[1] == list(itertools.accumulate(values, max))
     ends = [0] + [e for _, e in spots]
     assert row[2] == [text[a:b] for a, b in zip(ends, [s for s, _ in spots] + [len(text)], strict=True)]
+
+
+def test_marks_in_texts_are_no_matches(spark):
+    texts = ["\x01a@b.co\x01\x01 and \x02c@d.org\x01 tel\x019876543210\x01", "\x01", "\x01\x01 none \x02", "x\x01\x01y@z.in"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    got = sorted((r.key, r.rule, r.start, r.end) for r in spans.found_spans(rows, "k", "t").collect())
+    rules = [r for r in pii.RULES if not r.check]
+    assert [x for x in got if x[1] in {r.name for r in rules}] == sorted((k, r.name, m.start(), m.end()) for k, t in enumerate(texts) for r in rules for m in re.finditer(r.pattern, t, re.ASCII))
+
+
+def test_spans_of_a_text_are_found_once(spark):
+    rows = spark.createDataFrame([(1, "a@b.co")], "k int, t string").repartition(2)
+    found = spans.scan_texts(rows, "k", "t").select("k", F.explode("spans").alias("s"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("account-long-digits") == 1 and found.count() == 1
